@@ -147,8 +147,8 @@ class Judge:
         return best[1], 1.0 - best[0] / (self.depth * len(own))
 
 
-def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep: list[str], depth: int = DEPTH) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred`` and ``score``.
+def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep: list[str], depth: int = DEPTH, carry_text: bool = False) -> DataFrame:
+    """``keep`` columns of every row with ``lang_pred`` and ``score``; with ``carry_text``, the text too.
 
     A null text, an empty one or one without letters gets ``und`` and 0. Whole
     texts are judged; rows that are repeated are judged alike. With no profile
@@ -159,11 +159,12 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep:
         judge = Judge(profiles, depth)
         for batch in batches:
             said = [judge(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[not carry_text :], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names)
 
-    rows = docs.select(F.col(text).alias("__text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(judged, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(F.col(text), *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[not carry_text :]) + ", lang_pred string, score double"
+    names = [*rows.columns[not carry_text :], "lang_pred", "score"]
+    return rows.mapInArrow(judged, kinds)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateflux.llm import bpe, exact_dedup, langid, near_dedup, packing, pfor, topk, warc
+from stateflux.llm import bpe, exact_dedup, langid, licenses, near_dedup, packing, pfor, quality, topk, warc
 from stateflux.llm.common import load
 
 BYTE_BPE, MULTI_BPE, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), *vocabulary(BYTE_BPE), end=1)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -45,10 +49,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     profiles = langid.learned(docs, "text", "lang", ~langid.held_out())
     return langid.identified(docs.withColumn("held_out", langid.held_out()), profiles, "text", ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_minhash, op3_packing, op5_exact_dedup, op6_bpe, op7_token_files, op8_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_minhash, op3_packing, op4_quality, op5_exact_dedup, op6_bpe, op7_token_files, op8_warc, op9_licenses, op10_language_id)}
