@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,41 +70,54 @@ def bounds(size: int, least: int) -> tuple[int, int]:
     return -(-least * size // (2000 - least)), (2000 - least) * size // least
 
 
-#: Words: runs of letters and digits. PROBE characters at the start of a unit prove most long units too rich in words for any template.
-NOT_WORDS, PROBE = r"[^\p{L}\p{N}]+", 4000
+def units(text: Column) -> Column:
+    """The distinct lines, paragraphs and whole of a text, lower-cased, with one blank between words (runs of letters and digits)."""
+    whole = lambda x: F.trim(F.translate(x, "\n", " "))
 
+    def parts(plain: Column) -> Column:
+        paragraphs = F.when(plain.rlike(r"\n ?\n"), F.split(plain, r"\n ?\n")).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.transform(F.split(plain, "\n"), F.trim), F.transform(paragraphs, whole), F.array(whole(plain))))
 
-def units(text: Column) -> Column:
-    """The distinct lines, paragraphs and whole of a text."""
-    paragraphs = F.when(text.rlike(r"\n[\x20\x09-\x0D]*\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.split(text, r"\n"), paragraphs, F.array(text)))
+    # a lambda's argument is evaluated once, an expression wherever it stands
+    return F.flatten(F.transform(F.array(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")), parts))
+
+
+def gram_hash(gram: str) -> int:
+    """What Spark's xxhash64 makes of a bigram's two words."""
+    seed = 42
+    for word in gram.split(" "):
+        seed = xxhash.xxh64_intdigest(word.encode(), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
 
 
 def matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, dice of every unit of a text that is near a template, by the nearest (of several, the name that sorts last).
 
     Units are worked off inside one chain of array functions, each evaluated
-    once. A unit with n distinct words has n - 1 distinct bigrams at least, so
-    one whose beginning has too many is left out before it is split. A text
-    without words, an empty one and a null one match nothing. Repeated rows
-    match alike.
+    once. Most hold fewer of the templates' bigrams than any match needs and go
+    at once. A text without words, an empty one and a null one match nothing.
+    Repeated rows match alike.
     """
     rows = table(templates)
     bound = [bounds(len(grams), least) for _, _, grams in rows]
     low, high = min(b[0] for b in bound), max(b[1] for b in bound)
-    gram = lambda a, b: F.xxhash64(a, b)  # noqa: E731  64 bits tell a unit's bigrams apart
-    known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[gram(*map(F.lit, g.split(" "))) for g in grams]).alias("grams"), F.lit(len(grams)).alias("n"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high")) for (name, _, grams), b in zip(rows, bound)])
-    found = F.filter(units(F.col(text)), lambda u: F.size(F.array_distinct(F.split(F.lower(F.substring(u, 1, PROBE)), NOT_WORDS))) <= high + 4)
-    found = F.filter(F.transform(found, lambda u: F.filter(F.split(F.lower(u), NOT_WORDS), lambda w: w != "")), lambda ws: F.size(ws) > low)
-    found = F.transform(found, lambda ws: F.array_distinct(F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), gram)))
-    found = F.filter(found, lambda gs: F.size(gs).between(low, high))
+    every = sorted({gram_hash(g) for _, _, grams in rows for g in grams})
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(gram_hash(g)) for g in grams]).alias("grams"), F.lit(len(grams)).alias("n"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high")) for (name, _, grams), b in zip(rows, bound)])
+    words = F.transform(units(F.col(text)), lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
+    found = F.filter(words, lambda ws: F.size(ws) > low)
+    found = F.transform(found, lambda ws: F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b)))
+    # 2 c >= least (size + n) needs c >= low, as size >= c
+    found = F.filter(found, lambda gs: F.size(F.array_distinct(F.filter(gs, lambda g: g.isin(every)))) >= low)
+    found = F.filter(F.transform(found, F.array_distinct), lambda gs: F.size(gs).between(low, high))
 
     def nearest(gs: Column) -> Column:
         near = F.filter(known, lambda t: F.size(gs).between(t["low"], t["high"]))
         return F.array_max(F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["grams"], gs)) / (t["n"] + F.size(gs))).alias("dice"), t["license"].alias("license"))))
 
     found = F.filter(F.transform(found, nearest), lambda m: m["dice"] * 1000 >= least)
-    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("m")).select("doc_id", "m.license", "m.dice")
+    # explode() would have Spark evaluate the chain once more, in a filter on its size
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(found).alias("m"))
+    return out.where("m is not null").select("doc_id", "m.license", "m.dice")
 
 
 def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
