@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from stateflux.plans import sequence_queries  # noqa: F401
+from stateflux.plans import sequence_queries, table_queries  # noqa: F401
 from stateflux.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
