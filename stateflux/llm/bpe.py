@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stateflux.llm.common import slices
+
 #: Entries of a memo table before it is emptied; results do not depend on it.
 MEMO = 1 << 18
 #: States of a transducer before it starts anew; results do not depend on it.
@@ -285,7 +287,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encoder(t) if t else b"" for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary())], [*batch.schema.names[1:], "ids"])
 
@@ -309,7 +311,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, id_sums, text_sums = [], [], []
             for t in batch.column(0).to_pylist():
                 ids, back = encoder(t) if t else b"", hashlib.sha256()

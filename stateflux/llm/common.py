@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,10 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner")
     """
     dealt = groups.withColumn("salt", F.explode(salts_in("mask"))).drop("mask")
     return rows.join(dealt, [*on, "salt"], how).drop("salt")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: so many texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

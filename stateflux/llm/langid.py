@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stateflux.llm.common import slices
+
 UNKNOWN = "und"
 #: n-grams in a profile.
 DEPTH = 300
@@ -96,7 +98,7 @@ def learned(docs: DataFrame, text: str, lang: str, trained: Column, depth: int =
                 total[g] = total.get(g, 0) + n
             sizes[which] = 0
 
-        for batch in batches:
+        for batch in slices(batches):
             for which, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(which, []).append(t)
                 sizes[which] = sizes.get(which, 0) + len(t)
@@ -157,7 +159,7 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, depth)
-        for batch in batches:
+        for batch in slices(batches):
             said = [judge(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[not carry_text :], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, written
+from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, slices, written
 from stateflux.llm.components import connected
 from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
@@ -38,7 +38,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int, ro
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant(n_bands * rows)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, hashes, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, width)
@@ -56,7 +56,7 @@ def shingled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """id, n, s: each text's whole set of shingles, as sorted 64-bit hashes in one binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "s"])
 

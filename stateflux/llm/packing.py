@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import written
+from stateflux.llm.common import slices, written
 from stateflux.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -24,7 +24,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str | None, end: int, doc_id:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, encode, last = TaskContext.get().partitionId(), 0, encoder(path, pattern), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x + last for x in encode(batch.column(1).to_pylist())]
             ends = list(accumulate((len(x) // 4 for x in ids), initial=place))
             place = ends[-1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import scratch
+from stateflux.llm.common import scratch, slices
 from stateflux.llm.store import NewFile, reader
 from stateflux.llm.tokens import encoder
 
@@ -170,7 +170,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str | None, end: int, folder:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, writer = encoder(path, pattern), np.array([end], "<u4").tobytes(), None
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 writer = writer or Writer(folder)
                 writer.add(doc, ids + last)

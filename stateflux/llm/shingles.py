@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker remembers before it starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Values that are permuted at once.
 AT_ONCE = 1 << 15
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import salt, salt_mask, salts_in, scratch, written
+from stateflux.llm.common import salt, salt_mask, salts_in, scratch, slices, written
 from stateflux.llm.store import NewFile, reader
 
 #: Payloads shorter than this are always written in full.
@@ -99,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for batch in batches:
+        for batch in slices(batches):
             found: list[list] = [[] for _ in range(7)]
             for page, link, body, digest, last in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or NewFile(folder, ".warc.gz")
