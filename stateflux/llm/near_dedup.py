@@ -30,7 +30,7 @@ from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 #: Members of a bucket that are compared in one task; a larger bucket is compared by pairs of blocks of this size.
 BLOCK = 1024
 #: Cells of a dense matrix that one comparison may take.
-CELLS = 1 << 25
+CELLS = 1 << 22
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int, rows: int) -> DataFrame:
