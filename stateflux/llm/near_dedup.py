@@ -27,8 +27,8 @@ from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, slice
 from stateflux.llm.components import connected
 from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
-#: Members of a bucket that are compared in one task; a larger bucket is compared by pairs of blocks of this size.
-BLOCK = 1024
+#: Members of a bucket that are compared in one task, and their shingles; a larger bucket is compared by pairs of blocks of about this size.
+BLOCK, VOLUME = 1024, 1 << 20
 #: Cells of a dense matrix that one comparison may take.
 CELLS = 1 << 22
 
@@ -143,20 +143,22 @@ def links_between(components: np.ndarray, sets: list[np.ndarray], blocks: np.nda
         dense = np.zeros((n, min(step, width - first)), np.float32)
         dense[rows_[a:b], cells[a:b] - first] = 1
         common += dense @ dense.T
-    possible = (comp[:, None] < comp[None, :]) & similar(common, size[:, None], size[None, :], percent)
-    if block is not None:
-        possible &= block[:, None] != block[None, :]
-    for i, j in zip(*np.nonzero(possible)):
-        a, b = root(int(comp[i])), root(int(comp[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(comp[i]), int(comp[j])))
+    for first in range(0, n, 64):
+        some = slice(first, first + 64)
+        possible = (comp[some, None] < comp[None, :]) & similar(common[some].astype(np.int64), size[some, None], size[None, :], percent)
+        if block is not None:
+            possible &= block[some, None] != block[None, :]
+        for i, j in zip(*np.nonzero(possible)):
+            a, b = root(int(comp[first + i])), root(int(comp[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(comp[first + i]), int(comp[j])))
     return out
 
 
 def verified_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of components from members (key, rep, component, m) of buckets of m, all of which have two components or more."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    """Links (a, b) of components from members (key, rep, component, m, volume) of buckets of m members with ``volume`` shingles, all of which have two components or more."""
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("volume") / VOLUME)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "rep").join(sets.select(F.col("id").alias("rep"), "s"), "rep")
@@ -216,9 +218,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, n_bands:
     stars = stars.where(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     first = settled(connected(verified_stars(stars, sets, percent)))
 
-    placed = shared.select("key", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")).withColumn("salt", salt("rep"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), salt_mask("salt").alias("mask"))
-    open_ = open_.where("low != high").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("mask").alias("mask")).select("key", "m", "mask")
+    placed = shared.select("key", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")).withColumn("salt", salt("rep"))
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), salt_mask("salt").alias("mask"))
+    open_ = open_.where("low != high").groupBy("m", "volume", "x", "y").agg(F.min("key").alias("key"), F.min("mask").alias("mask")).select("key", "m", "volume", "mask")
     second = settled(connected(verified_buckets(meet(placed, open_, ["key"]), sets, percent)))
 
     components = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("id", F.coalesce("last", "component").alias("component"))
