@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import slices
+from stateflux.llm.common import slices, tidy
 
 #: Entries of a memo table before it is emptied; results do not depend on it.
 MEMO = 1 << 18
@@ -322,10 +322,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc
                 text_sums.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _mapped(df: DataFrame, first: str, keep: list[str], work, more: str) -> DataFrame:
     rows = df.select(F.col(first).alias("__first"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(work, f"{kinds}, {more}")
+    return rows.mapInArrow(tidy(work), f"{kinds}, {more}")

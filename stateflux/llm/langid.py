@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import slices
+from stateflux.llm.common import slices, tidy
 
 UNKNOWN = "und"
 #: n-grams in a profile.
@@ -110,7 +110,7 @@ def learned(docs: DataFrame, text: str, lang: str, trained: Column, depth: int =
             yield pa.RecordBatch.from_arrays([pa.array([which] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["l", "g", "n"])
 
     ranks = F.row_number().over(_by_count())
-    top = rows.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).withColumn("r", ranks).where(F.col("r") <= depth)
+    top = rows.mapInArrow(tidy(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).withColumn("r", ranks).where(F.col("r") <= depth)
     profiles: dict[str, list[int]] = {}
     for row in top.orderBy("l", "r").collect():
         profiles.setdefault(row["l"], []).append(row["g"])
@@ -166,7 +166,7 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep:
     rows = docs.select(F.col(text), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[not carry_text :]) + ", lang_pred string, score double"
     names = [*rows.columns[not carry_text :], "lang_pred", "score"]
-    return rows.mapInArrow(judged, kinds)
+    return rows.mapInArrow(tidy(judged), kinds)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

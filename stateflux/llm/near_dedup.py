@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, slices, written
+from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, slices, tidy, written
 from stateflux.llm.components import connected
 from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
@@ -49,7 +49,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int, ro
             h = np.array(hashes, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))], ["doc_id", "n", "h1", "h2", "keys"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(work, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(work), "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def shingled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -60,7 +60,7 @@ def shingled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "s"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(work, "id long, n long, s binary")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(tidy(work), "id long, n long, s binary")
 
 
 def similar(common, one, two, percent: int):
@@ -98,7 +98,7 @@ def verified_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                         found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner").mapInArrow(work, "a long, b long")
+    return first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner").mapInArrow(tidy(work), "a long, b long")
 
 
 def links_between(components: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -184,7 +184,7 @@ def verified_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataF
             yield compared()
 
     keys = ["key", "i", "j"]
-    return dealt.select(*keys, "block", "component", "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
+    return dealt.select(*keys, "block", "component", "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(work), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, n_bands: int = 25, rows: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

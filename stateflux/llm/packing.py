@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import slices, written
+from stateflux.llm.common import slices, tidy, written
 from stateflux.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -30,7 +30,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str | None, end: int, doc_id:
             place = ends[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(ends[:-1], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(work, "doc_id long, part int, place long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(work), "doc_id long, part int, place long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, pattern: str | None, end: int, window: int = 2048, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -67,4 +67,4 @@ def pack(docs: DataFrame, path: str, pattern: str | None, end: int, window: int
 
     kinds = PIECES + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in kinds.split(", ")]
-    return rows.select("doc_id", "part", "place", "ids").mapInArrow(cut, kinds)
+    return rows.select("doc_id", "part", "place", "ids").mapInArrow(tidy(cut), kinds)

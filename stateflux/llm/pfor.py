@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import scratch, slices
+from stateflux.llm.common import scratch, slices, tidy
 from stateflux.llm.store import NewFile, reader
 from stateflux.llm.tokens import encoder
 
@@ -179,7 +179,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str | None, end: int, folder:
             yield pa.RecordBatch.from_pylist([{"uri": uri, "docs": n_docs, "ids": n_ids, "null": writer.docs[0] is not None, "least": writer.docs[0] or 0}])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = rows.mapInArrow(work, "uri string, docs long, ids long, null boolean, least long").collect()
+    files = rows.mapInArrow(tidy(work), "uri string, docs long, ids long, null boolean, least long").collect()
     return [(f["uri"], f["docs"], f["ids"]) for f in sorted(files, key=lambda f: (f["null"], f["least"]))]
 
 
@@ -194,7 +194,7 @@ def read_back(spark, files: list[tuple[str, int, int]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame([(f[0], b) for f, b in zip(files, before)], "uri string, base long").repartition(max(1, len(files)))
-    return rows.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(work), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored_ids(docs: DataFrame, path: str, pattern: str | None, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

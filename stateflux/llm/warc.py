@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import salt, salt_mask, salts_in, scratch, slices, written
+from stateflux.llm.common import salt, salt_mask, salts_in, scratch, slices, tidy, written
 from stateflux.llm.store import NewFile, reader
 
 #: Payloads shorter than this are always written in full.
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if out:
             out.close()
 
-    return dealt.mapInArrow(write, INDEX)
+    return dealt.mapInArrow(tidy(write), INDEX)
 
 
 def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -148,7 +148,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
             at.close()
 
     places = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return places.mapInArrow(read, RECORDS if with_payload else RECORDS.rpartition(",")[0])
+    return places.mapInArrow(tidy(read), RECORDS if with_payload else RECORDS.rpartition(",")[0])
 
 
 def archived(pages: DataFrame, with_payload: bool = False) -> DataFrame:
