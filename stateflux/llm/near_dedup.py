@@ -2,8 +2,10 @@
 
 1. Every text becomes a set of shingles, a 128-bit hash of that set, a signature
    and band keys. Texts with one set are one class, held by its smallest id.
-2. Classes that share a band key share a bucket. Each is compared with two
-   members of the bucket, whose choice differs from bucket to bucket.
+2. Classes that share a band key share a bucket. Each is compared with one
+   member of the bucket, its pivot, whose choice differs from bucket to bucket.
+   This is a short cut: pairs that share too few buckets to be likely links are
+   left to the next step, which would compare them again.
 3. Links found make components. A bucket whose members are in one component is
    done. In all other buckets every pair from two components is compared,
    unless sizes or the shingles that other components have rule a link out.
@@ -29,6 +31,8 @@ from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
 #: Members of a bucket that are compared in one task, and their shingles; a larger bucket is compared by pairs of blocks of about this size.
 BLOCK, VOLUME = 1024, 1 << 20
+#: Members of the buckets that a class and a pivot share, counted bucket by bucket: with fewer, the two are left to step 3.
+LIKELY = 5
 #: Cells of a dense matrix that one comparison may take.
 CELLS = 1 << 22
 
@@ -206,13 +210,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, n_bands:
     held = prints.where("n > 0").join(classes.select("rep").where("rep is not null").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
     members = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n").withColumn("salt", salt("rep"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.expr("min(rep ^ key)").alias("one"), F.expr("max(rep ^ key)").alias("two"), salt_mask("salt").alias("mask")).where("m > 1 and one != two")
-    shared = settled(meet(members, buckets, ["key"]).select("key", "rep", "n", F.expr("one ^ key").alias("one"), F.expr("two ^ key").alias("two")))
+    shared = settled(meet(members, buckets, ["key"]).select("key", "rep", "n", "m", F.expr("one ^ key").alias("pivot")))
 
     listed = shared.select(F.col("rep").alias("id")).distinct()
     sets = written(shingled(docs.join(listed, docs[doc_id].cast("long") == listed["id"], "left_semi"), doc_id, text, width), "shingles")
 
-    stars = shared.select("rep", F.col("n").alias("b_n"), F.explode(F.array("one", "two")).alias("pivot")).where("rep != pivot")
-    stars = stars.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    stars = shared.where("rep != pivot").groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).agg(F.sum("m").alias("met"))
+    stars = stars.where(F.col("met") >= LIKELY)
     sizes = sets.select("id", "n")
     stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
     stars = stars.where(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
