@@ -41,6 +41,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_base(spark)}/stateflux-{what}-{uuid.uuid4().hex}"
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver look for plans that nothing refers to any more: Spark then removes their shuffle files from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str, cols: Iterable[str] | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and reread.
 
@@ -50,6 +56,7 @@ def written(df: DataFrame, what: str, cols: Iterable[str] | None = None) -> Data
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
+    freed(spark)
     return spark.read.schema(df.schema).parquet(path) if cols is None else spark.read.schema(df.schema).parquet(path).select(*cols)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import meet, salt, salt_mask, salts_in, settled, slices, tidy, written
+from stateflux.llm.common import freed, meet, salt, salt_mask, salts_in, settled, slices, tidy, written
 from stateflux.llm.components import connected
 from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, n_bands:
     stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
     stars = stars.where(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     first = settled(connected(verified_stars(stars, sets, percent)))
+    freed(docs.sparkSession)
 
     placed = shared.select("key", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")).withColumn("salt", salt("rep"))
     open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), salt_mask("salt").alias("mask"))
