@@ -314,6 +314,22 @@ def test_quality_against_the_definition(spark):
         assert abs(got[i]["perplexity"] - np.exp((quality.WEIGHT * mean - judged[i]) / (quality.WEIGHT + n))) < 1e-6
 
 
+def test_quality_of_unseen_words(spark):
+    rng = random.Random(9)
+    made = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    vocab = [made() for _ in range(20_000)]
+    weights = [1 / (10 + i) for i in range(len(vocab))]
+    texts = [" ".join(rng.choices(vocab, weights, k=80)) for _ in range(500)] + [" ".join(made() for _ in range(80)) for _ in range(20)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    assert sum(got[i]["keep"] for i in range(400, 500)) >= 98 and not any(got[i]["keep"] for i in range(500, 520))
+    assert min(got[i]["perplexity"] for i in range(500, 520)) > max(got[i]["perplexity"] for i in range(400, 500))
+    # every word counts, whatever the number of texts and partitions
+    again = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs.repartition(7), labels).collect()}
+    assert all(abs(again[i] - got[i]["perplexity"]) < 1e-6 * again[i] for i in got)
+
+
 def test_quality_without_trusted_text(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judged(documents(spark, ODD), labels).collect()
