@@ -4,7 +4,8 @@ Only DataFrame functions: no Python runs on rows. A document's lines, its
 paragraphs and the document itself are the units. For each, the templates whose
 number of bigrams is within the bounds that the coefficient allows are compared,
 with the templates as a constant of the plan: no join, and no shuffle until the
-few matches are gathered by document.
+few matches are gathered by document. Licences that no unit gives are looked for
+in stretches as long as a template, wherever lines and paragraphs end.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ TEMPLATES = {
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -93,6 +97,8 @@ def gram_hash(gram: str) -> int:
 def matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, dice of every unit of a text that is near a template, by the nearest (of several, the name that sorts last).
 
+    A licence that no unit gives but a stretch of words does has one row, with its nearest stretch.
+
     Units are worked off inside one chain of array functions, each evaluated
     once. Most hold fewer of the templates' bigrams than any match needs and go
     at once. A text without words, an empty one and a null one match nothing.
@@ -115,11 +121,51 @@ def matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, lea
         return F.array_max(F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["grams"], gs)) / (t["n"] + F.size(gs))).alias("dice"), t["license"].alias("license"))))
 
     found = F.filter(F.transform(found, nearest), lambda m: m["dice"] * 1000 >= least)
+    both = F.flatten(F.transform(F.array(found), lambda f: F.concat(f, F.filter(stretches(F.col(text), known, every, low, least), lambda m: ~F.exists(f, lambda u: u["license"] == m["license"])))))
     # explode() would have Spark evaluate the chain once more, in a filter on its size
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(found).alias("m"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(both).alias("m"))
     return out.where("m is not null").select("doc_id", "m.license", "m.dice")
 
 
+def stretches(text: Column, known: Column, every: list[int], low: int, least: int) -> Column:
+    """(dice, license) of the licences that stretches with as many bigrams as a template are near to, by each licence's best stretch.
+
+    A stretch begins where the template would if a bigram that both have were at
+    its place in the template. Of stretches that overlap, the nearest to its
+    template counts (of several, the name that sorts last). Templates of which
+    the whole text has too few bigrams are not tried.
+    """
+    once = lambda x, f: F.flatten(F.transform(F.array(x), f))  # noqa: E731  # a lambda's argument is evaluated once
+    none = F.array().cast("array<struct<dice:double,license:string,at:int,n:int>>")
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+    def tried(t: Column, hits: Column, gs: Column) -> Column:
+        def near(at: Column) -> Column:
+            def said(own: Column) -> Column:
+                dice = F.lit(2.0) * F.size(F.array_intersect(t["grams"], own)) / (t["n"] + F.size(own))
+                return F.array(F.struct(dice.alias("dice"), t["license"].alias("license"), at.alias("at"), t["n"].alias("n")))
+
+            return once(F.array_distinct(F.slice(gs, at, t["n"])), said)
+
+        def within(own: Column) -> Column:
+            starts = F.array_distinct(F.transform(own, lambda h: F.greatest(h["p"] - F.array_position(t["grams"], h["g"]).cast("int") + 1, F.lit(1))))
+            return F.when(F.size(F.array_distinct(own["g"])) >= t["low"], F.filter(F.flatten(F.transform(starts, near)), lambda m: m["dice"] * 1000 >= least)).otherwise(none)
+
+        return once(F.filter(hits, lambda h: F.array_contains(t["grams"], h["g"])), within)
+
+    def nearest(ms: Column) -> Column:
+        rank = lambda m: F.struct(m["dice"], m["license"])
+        alone = F.filter(ms, lambda m: ~F.exists(ms, lambda o: (o["at"] < m["at"] + m["n"]) & (m["at"] < o["at"] + o["n"]) & (rank(o) > rank(m))))
+        return once(alone, lambda a: F.array_distinct(F.transform(F.filter(a, lambda m: ~F.exists(a, lambda o: (o["license"] == m["license"]) & (o["dice"] > m["dice"]))), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))))
+
+    def places(gs: Column) -> Column:
+        hits = F.filter(F.transform(gs, lambda g, i: F.struct(g.alias("g"), (i + 1).cast("int").alias("p"))), lambda h: h["g"].isin(every))
+        return once(hits, lambda h: F.when(F.size(h) >= low, F.flatten(F.transform(known, lambda t: tried(t, h, gs)))).otherwise(none))
+
+    grams = lambda ws: F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    return F.coalesce(once(once(once(words, grams), places), nearest), F.array().cast("array<struct<dice:double,license:string>>"))
+
+
 def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, license, n_units, dice of every licence found in a document: in how many different units, and the best coefficient."""
+    """doc_id, license, n_units, dice of every licence found in a document: in how many different units (1 if only in a stretch), and the best coefficient."""
     return matches(docs, templates, least, doc_id, text).groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))

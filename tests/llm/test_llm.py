@@ -345,6 +345,19 @@ def test_licences_in_odd_texts(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licences_inside_lines_and_over_paragraphs(spark):
+    last = {name: own[-1] for name, own in licenses.TEMPLATES.items()}
+    texts = [f"This is the first sentence of a line. {t} And here is another sentence after it." for t in last.values()]
+    mit, bsd = last["mit"], licenses.TEMPLATES["bsd-2-clause"][1]
+    texts.append("Copyright (c) 2020 Somebody\n" + re.sub(r"(.{60}\S*) ", r"\1\n", mit) + "\nThe software is provided as is, without warranty of any kind, express or implied")
+    texts.append("Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + bsd.replace("met: ", "met:\n\n").replace(" 2. ", "\n\n2. ") + "\n\nThis software is provided as is and any express or implied warranties are disclaimed")
+    got = {}
+    for row in licenses.scan(documents(spark, texts)).collect():
+        got.setdefault(row["doc_id"], set()).add(row["license"])
+    want = {i: {name} for i, name in enumerate(last)} | {len(last): {"mit"}, len(last) + 1: {"all-rights-reserved", "bsd-2-clause"}}
+    assert got == want
+
+
 # -- the pipeline
 
 
