@@ -14,15 +14,20 @@ from stateflux.llm.common import load, written
 from stateflux.llm.queries import BYTE_BPE, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose n-grams are this far out of place for every language is in none of them.
-LEAST_SCORE = 0.2
+#: A text goes if its score is below this quantile of its language's training texts, less ROOM times the quantile's distance from their median.
+QUANTILE, ROOM = 0.002, 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a known language: those without letters, or unlike every profile, go."""
+    """Texts of a known language: those without letters, or less like every profile than the texts it was learned from, go."""
     profiles = langid.learned(docs, "text", "lang", ~langid.held_out())
-    kept = langid.identified(docs, profiles, "text", [c for c in COLUMNS if c != "text"], carry_text=True)
-    return kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    judged = written(langid.identified(docs, profiles, "text", [c for c in COLUMNS if c != "text"], carry_text=True), "languages")
+    learned = judged.where(~langid.held_out() & (F.col("lang") == F.col("lang_pred")))
+    limits = learned.groupBy("lang").agg(F.percentile_approx("score", [QUANTILE, 0.5], 100_000).alias("q")).collect()
+    if not limits:
+        return judged.where("false").select(*COLUMNS)
+    least = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["q"][0] - ROOM * (r["q"][1] - r["q"][0]))])[F.col("lang_pred")]
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -391,3 +391,18 @@ def test_pipeline_against_its_stages(spark):
     clean = [r["doc_id"] for r in docs.collect() if labels.get(r["doc_id"]) == 1]
     good = {r["doc_id"] for r in p.good_text(spark, docs, folder).collect()}
     assert sum(i in good for i in clean) >= 0.98 * len(clean)
+
+
+def test_pipeline_drops_unknown_languages(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*p.COLUMNS)
+    italian = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura"
+    finnish = "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan"
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(300))
+    # ids whose crc32 says held out: no profile is learned from them
+    ids = [i for i in range(10**7, 10**7 + 50) if zlib.crc32(str(i).encode()) % 3 == 1][:3]
+    foreign = spark.createDataFrame([(i, t, None, None, None) for i, t in zip(ids, (italian, finnish, letters))], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in p.language(spark, docs.union(foreign.select(*[foreign[c].cast(docs.schema[c].dataType) for c in p.COLUMNS])), "").select("doc_id").collect()}
+    assert not kept & set(ids) and len(kept) >= 0.99 * docs.count()
