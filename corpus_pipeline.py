@@ -30,22 +30,47 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
+#: Row numbers that are no doc_id begin here.
+OTHERS = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``row``: doc_id, or where that is null or on several rows, OTHERS and more by a hash of id, language and text.
+
+    Rows that are equal in these have one number.
+    """
+    unsure = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("unsure"), F.lit(True).alias("_many"))
+    if unsure.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    parts = [x for c in ("doc_id", "lang", "text") for x in (F.col(c).isNull(), F.col(c))]
+    other = F.lit(OTHERS) + F.shiftrightunsigned(F.xxhash64(*parts), 2)
+    found = docs.join(unsure, F.col("doc_id") == F.col("unsure"), "left")
+    return found.withColumn("row", F.when(F.col("doc_id").isNull() | F.col("_many").isNotNull(), other).otherwise(F.col("doc_id").cast("long"))).drop("unsure", "_many")
+
+
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose perplexity is within their language's limits."""
-    kept = quality.judged(docs, load(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    kept = quality.judged(rows, load(spark, sf_dir, "labels"), row="row").where("keep").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id; of rows that repeat it, one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of equal texts, the row with the smallest doc_id, a null one last; of rows that repeat it, one."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
+    rows = docs.withColumn("sha", F.sha2(exact_dedup.normalised("text"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*COLUMNS)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id (five-word shingles, similarity of 0.8)."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80, n_bands=32, rows=4).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies, the document with the smallest doc_id (five-word shingles, similarity of 0.8).
+
+    Rows whose doc_id is null or on several rows come after all others, by a hash.
+    """
+    rows = keyed(docs)
+    kept = near_dedup.near_duplicates(rows, doc_id="row", width=5, percent=80, n_bands=32, rows=4).where("kept").select(F.col("doc_id").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,23 @@ def test_pipeline_drops_unknown_languages(spark):
     foreign = spark.createDataFrame([(i, t, None, None, None) for i, t in zip(ids, (italian, finnish, letters))], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in p.language(spark, docs.union(foreign.select(*[foreign[c].cast(docs.schema[c].dataType) for c in p.COLUMNS])), "").select("doc_id").collect()}
     assert not kept & set(ids) and len(kept) >= 0.99 * docs.count()
+
+
+def test_pipeline_keeps_null_and_repeated_ids_apart(spark):
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(*p.COLUMNS)
+    rng = random.Random(13)
+    new = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    one, two, three, four = new(), new(), new(), new()
+    rows = [(None, one), (None, two), (-5, three), (-5, four), (-5, four), (-6, "! # " * 3), (-7, one), (None, three + " more")]
+    odd = spark.createDataFrame([(i, t, "xx", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    held = odd.select(*[odd[c].cast(docs.schema[c].dataType) for c in p.COLUMNS])
+    texts = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    assert texts(p.good_text(spark, docs.union(held), folder).where("lang = 'xx'")) == texts(held)
+    once = p.no_copies(spark, held, folder)
+    assert texts(once) == texts(held.where("doc_id is not null or text <> '" + one + "'").distinct())
+    near = texts(p.no_near_copies(spark, spark.createDataFrame(once.collect(), once.schema), folder))
+    # of three and its near copy one is left; both have other numbers than their ids
+    assert len(near) == 5 and {one, two, four} <= {t for _, _, t in near}
