@@ -330,6 +330,20 @@ def test_quality_of_unseen_words(spark):
     assert all(abs(again[i] - got[i]["perplexity"]) < 1e-6 * again[i] for i in got)
 
 
+def test_quality_of_null_and_rare_languages(spark):
+    rng = random.Random(10)
+    some = lambda vocab: " ".join(rng.choices(vocab.split(), k=60))
+    common, rare = "the cat sat on mat dog and ran to house", "kissa istui matolla koira juoksi talo ja meni"
+    junk = ["## $$ %% " * 40, "XX QZ VRT " * 40]
+    texts = [some(common) for _ in range(300)] + [some(rare) for _ in range(14)] + [*junk, some(rare)] + [*junk, some(common)]
+    langs = ["en"] * 300 + ["fi"] * 17 + [None] * 3
+    labels = spark.createDataFrame([(i, 1) for i in range(314)], "doc_id long, quality int").selectExpr("if(doc_id < 300, doc_id, doc_id * 10) as doc_id", "quality")
+    rows = [(i if i < 300 else 10 * i, t, l, None, None, 1, "x") for i, (t, l) in enumerate(zip(texts, langs))]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, DOCS), labels).collect()}
+    held = spark.range(3000, 3140, 10).selectExpr(f"pmod(xxhash64(id, 11), {quality.CALIBRATE}) = 0 as h").where("h").count()
+    assert 0 < held < quality.LEAST and [got[10 * i]["keep"] for i in range(314, 320)] == [False, False, True] * 2
+
+
 def test_quality_without_trusted_text(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judged(documents(spark, ODD), labels).collect()
