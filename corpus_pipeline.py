@@ -57,10 +57,11 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id, a null one last; of rows that repeat it, one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
-    rows = docs.withColumn("sha", F.sha2(exact_dedup.normalised("text"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*COLUMNS)
+    # plain columns: the join and the grouping after it then deal rows out alike, once
+    own = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(*own, F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.select("*", *own, F.sha2(exact_dedup.normalised("text"), 256).alias("sha"))
+    return rows.join(kept, ["id", "no_id", "sha"], "left_semi").dropDuplicates(["id", "no_id", "sha"]).select(*COLUMNS)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
