@@ -75,12 +75,12 @@ def bounds(size: int, least: int) -> tuple[int, int]:
 
 
 def units(text: Column) -> Column:
-    """The distinct lines, paragraphs and whole of a text, lower-cased, with one blank between words (runs of letters and digits)."""
-    whole = lambda x: F.trim(F.translate(x, "\n", " "))
+    """The words (runs of letters and digits, lower-cased) of a text's lines, paragraphs and whole; equal units once."""
+    words = lambda x: F.filter(F.split(F.translate(x, "\n", " "), " "), lambda w: w != "")
 
     def parts(plain: Column) -> Column:
         paragraphs = F.when(plain.rlike(r"\n ?\n"), F.split(plain, r"\n ?\n")).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(F.transform(F.split(plain, "\n"), F.trim), F.transform(paragraphs, whole), F.array(whole(plain))))
+        return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), paragraphs, F.array(plain)), words))
 
     # a lambda's argument is evaluated once, an expression wherever it stands
     return F.flatten(F.transform(F.array(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")), parts))
@@ -95,9 +95,10 @@ def gram_hash(gram: str) -> int:
 
 
 def matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, license, dice of every unit of a text that is near a template, by the nearest (of several, the name that sorts last).
+    """doc_id, license, dice, unit of every unit of a text that is near a template, by the nearest (of several, the name that sorts last).
 
-    A licence that no unit gives but a stretch of words does has one row, with its nearest stretch.
+    ``unit`` is a 64-bit hash of the unit's words. A licence that no unit gives but
+    a stretch of words does has one row, with its nearest stretch and null as unit.
 
     Units are worked off inside one chain of array functions, each evaluated
     once. Most hold fewer of the templates' bigrams than any match needs and go
@@ -109,22 +110,22 @@ def matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, lea
     low, high = min(b[0] for b in bound), max(b[1] for b in bound)
     every = sorted({gram_hash(g) for _, _, grams in rows for g in grams})
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(gram_hash(g)) for g in grams]).alias("grams"), F.lit(len(grams)).alias("n"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high")) for (name, _, grams), b in zip(rows, bound)])
-    words = F.transform(units(F.col(text)), lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
-    found = F.filter(words, lambda ws: F.size(ws) > low)
-    found = F.transform(found, lambda ws: F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b)))
+    found = F.filter(units(F.col(text)), lambda ws: F.size(ws) > low)
+    grams = lambda ws: F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))
+    found = F.transform(found, lambda ws: F.struct(ws.alias("ws"), grams(ws).alias("gs")))
     # 2 c >= least (size + n) needs c >= low, as size >= c
-    found = F.filter(found, lambda gs: F.size(F.array_distinct(F.filter(gs, lambda g: g.isin(every)))) >= low)
-    found = F.filter(F.transform(found, F.array_distinct), lambda gs: F.size(gs).between(low, high))
+    found = F.filter(found, lambda u: F.size(F.array_distinct(F.filter(u["gs"], lambda g: g.isin(every)))) >= low)
+    found = F.filter(F.transform(found, lambda u: F.struct(F.xxhash64(F.array_join(u["ws"], " ")).alias("unit"), F.array_distinct(u["gs"]).alias("gs"))), lambda u: F.size(u["gs"]).between(low, high))
 
-    def nearest(gs: Column) -> Column:
-        near = F.filter(known, lambda t: F.size(gs).between(t["low"], t["high"]))
-        return F.array_max(F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["grams"], gs)) / (t["n"] + F.size(gs))).alias("dice"), t["license"].alias("license"))))
+    def nearest(u: Column) -> Column:
+        near = F.filter(known, lambda t: F.size(u["gs"]).between(t["low"], t["high"]))
+        return F.array_max(F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["grams"], u["gs"])) / (t["n"] + F.size(u["gs"]))).alias("dice"), t["license"].alias("license"), u["unit"].alias("unit"))))
 
     found = F.filter(F.transform(found, nearest), lambda m: m["dice"] * 1000 >= least)
     both = F.flatten(F.transform(F.array(found), lambda f: F.concat(f, F.filter(stretches(F.col(text), known, every, low, least), lambda m: ~F.exists(f, lambda u: u["license"] == m["license"])))))
     # explode() would have Spark evaluate the chain once more, in a filter on its size
     out = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(both).alias("m"))
-    return out.where("m is not null").select("doc_id", "m.license", "m.dice")
+    return out.where("m is not null").select("doc_id", "m.license", "m.dice", "m.unit")
 
 
 def stretches(text: Column, known: Column, every: list[int], low: int, least: int) -> Column:
@@ -156,16 +157,22 @@ def stretches(text: Column, known: Column, every: list[int], low: int, least: in
     def nearest(ms: Column) -> Column:
         rank = lambda m: F.struct(m["dice"], m["license"])
         alone = F.filter(ms, lambda m: ~F.exists(ms, lambda o: (o["at"] < m["at"] + m["n"]) & (m["at"] < o["at"] + o["n"]) & (rank(o) > rank(m))))
-        return once(alone, lambda a: F.array_distinct(F.transform(F.filter(a, lambda m: ~F.exists(a, lambda o: (o["license"] == m["license"]) & (o["dice"] > m["dice"]))), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))))
+        return once(alone, lambda a: F.array_distinct(F.transform(F.filter(a, lambda m: ~F.exists(a, lambda o: (o["license"] == m["license"]) & (o["dice"] > m["dice"]))), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), F.lit(None).cast("long").alias("unit")))))
 
     def places(gs: Column) -> Column:
         hits = F.filter(F.transform(gs, lambda g, i: F.struct(g.alias("g"), (i + 1).cast("int").alias("p"))), lambda h: h["g"].isin(every))
         return once(hits, lambda h: F.when(F.size(h) >= low, F.flatten(F.transform(known, lambda t: tried(t, h, gs)))).otherwise(none))
 
     grams = lambda ws: F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-    return F.coalesce(once(once(once(words, grams), places), nearest), F.array().cast("array<struct<dice:double,license:string>>"))
+    return F.coalesce(once(once(once(words, grams), places), nearest), F.array().cast("array<struct<dice:double,license:string,unit:bigint>>"))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, license, n_units, dice of every licence found in a document: in how many different units (1 if only in a stretch), and the best coefficient."""
-    return matches(docs, templates, least, doc_id, text).groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))
+    """doc_id, license, n_units, dice of every licence found in a document: in how many different units (1 if only in a stretch), and the best coefficient.
+
+    Rows that share a doc_id are one document: a unit that they repeat counts
+    once. A null doc_id is one document too. Only matches are shuffled, summed
+    in each task before.
+    """
+    found = matches(docs, templates, least, doc_id, text).groupBy("doc_id", "license", "unit").agg(F.max("dice").alias("dice"))
+    return found.groupBy("doc_id", "license").agg(F.greatest(F.count("unit"), F.lit(1)).alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stateflux.llm.licenses import LEAST, TEMPLATES, table
+from stateflux.llm.licenses import LEAST, TEMPLATES, bounds, table
 
 SQL = {
     "op1_topk": """
@@ -45,22 +45,36 @@ SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
 
 
 def _licenses() -> str:
-    """The template table as values, and the coefficient over distinct bigrams of every unit."""
+    """The template table as values; the coefficient over distinct bigrams of every unit, then of stretches as long as a template."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, _, grams in table(TEMPLATES))
+    rows = table(TEMPLATES)
+    values = ", ".join(f"({quoted(name)}, {k}, [{', '.join(map(quoted, grams))}], {bounds(len(grams), LEAST)[0]})" for name, k, grams in rows)
+    fewest = min(bounds(len(grams), LEAST)[0] for _, _, grams in rows)
     return rf"""
-WITH t(license, grams) AS (VALUES {values}),
-p AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+WITH t(license, place, grams, low) AS (VALUES {values}),
+p AS (SELECT doc_id, row_number() OVER () AS line, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
 u AS (
-  SELECT DISTINCT doc_id, unit FROM (
-    SELECT doc_id, trim(unnest(string_split(x, chr(10)))) AS unit FROM p
-    UNION ALL SELECT doc_id, trim(replace(unnest(regexp_split_to_array(x, '\n ?\n')), chr(10), ' ')) FROM p
-    UNION ALL SELECT doc_id, trim(replace(x, chr(10), ' ')) FROM p)
-), w AS (SELECT doc_id, unit, list_filter(string_split(unit, ' '), lambda a: a <> '') AS ws FROM u),
-g AS (SELECT doc_id, unit, list_distinct(list_transform(list_zip(ws[:-2], ws[2:]), lambda a: a[1] || ' ' || a[2])) AS gs FROM w WHERE len(ws) >= 3),
-m AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(gs, grams)) / (len(gs) + len(grams)) AS d FROM g, t),
-b AS (SELECT doc_id, unit, arg_max(license, (d, license)) AS license, max(d) AS d FROM m WHERE d * 1000 >= {LEAST} GROUP BY doc_id, unit)
-SELECT doc_id, license, count(*) AS n_units, round(max(d), 6) AS dice FROM b GROUP BY doc_id, license
+  SELECT doc_id, line, unnest(string_split(x, chr(10))) AS unit FROM p
+  UNION ALL SELECT doc_id, line, replace(unnest(regexp_split_to_array(x, '\n ?\n')), chr(10), ' ') FROM p
+  UNION ALL SELECT doc_id, line, replace(x, chr(10), ' ') FROM p
+), w AS (SELECT DISTINCT doc_id, line, list_filter(string_split(unit, ' '), lambda a: a <> '') AS ws FROM u),
+g AS (SELECT doc_id, line, ws, list_distinct(list_transform(list_zip(ws[:-2], ws[2:]), lambda a: a[1] || ' ' || a[2])) AS gs FROM w WHERE len(ws) >= 3),
+m AS (SELECT doc_id, line, ws, license, 2.0 * len(list_intersect(gs, grams)) / (len(gs) + len(grams)) AS d FROM g, t),
+b AS (SELECT doc_id, line, ws, arg_max(license, (d, license)) AS license, max(d) AS d FROM m WHERE d * 1000 >= {LEAST} GROUP BY doc_id, line, ws),
+a AS (SELECT doc_id, line, list_filter(string_split(replace(x, chr(10), ' '), ' '), lambda a: a <> '') AS ws FROM p),
+s AS (SELECT doc_id, line, list_transform(list_zip(ws[:-2], ws[2:]), lambda a: a[1] || ' ' || a[2]) AS gs FROM a WHERE len(ws) >= 2),
+h AS (SELECT line, unnest(gs) AS gram, unnest(range(1, len(gs) + 1)) AS spot FROM s),
+k AS (SELECT license, place, low, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS pos FROM t),
+o AS (SELECT h.*, license, place, low, pos FROM h JOIN k USING (gram)),
+e AS (SELECT line FROM o GROUP BY line HAVING count(DISTINCT spot) >= {fewest}),
+r AS (SELECT line, license, place FROM o SEMI JOIN e USING (line) GROUP BY ALL HAVING count(DISTINCT gram) >= any_value(low)),
+c AS (SELECT DISTINCT line, license, place, greatest(spot - pos + 1, 1) AS begins FROM o SEMI JOIN r USING (line, license, place)),
+n AS (SELECT doc_id, line, c.license, begins, len(grams) AS size, grams, list_distinct(gs[begins:begins + len(grams) - 1]) AS own FROM c JOIN s USING (line) JOIN t USING (license, place)),
+q AS (SELECT doc_id, line, license, begins, size, 2.0 * len(list_intersect(own, grams)) / (len(own) + size) AS d FROM n),
+z AS (SELECT * FROM q WHERE d * 1000 >= {LEAST}),
+alone AS (SELECT * FROM z ANTI JOIN z AS y ON z.line = y.line AND y.begins < z.begins + z.size AND z.begins < y.begins + y.size AND (y.d, y.license) > (z.d, z.license)),
+found AS (SELECT doc_id, ws, license, d FROM b UNION ALL SELECT doc_id, NULL, license, d FROM alone ANTI JOIN b ON b.line = alone.line AND b.license = alone.license)
+SELECT doc_id, license, greatest(count(DISTINCT ws), 1) AS n_units, round(max(d), 6) AS dice FROM found GROUP BY doc_id, license
 """
 
 
