@@ -19,8 +19,8 @@ from stateflux.llm.common import slices, tidy
 UNKNOWN = "und"
 #: n-grams in a profile.
 DEPTH = 300
-#: Characters that are counted at once while a profile is learned.
-CHUNK = 1 << 21
+#: Characters that are counted at once while a profile is learned, and n-grams whose counts a task holds before it passes them on.
+CHUNK, HELD = 1 << 21, 1 << 20
 
 _alpha: np.ndarray | None = None
 
@@ -83,7 +83,10 @@ def learned(docs: DataFrame, text: str, lang: str, trained: Column, depth: int =
     """Profiles of each language in ``lang``, from all rows for which ``trained`` is true.
 
     Every task sums its own rows first and sends one row for each language and
-    n-gram. Only the ranked profiles, ``depth`` numbers a language, reach the driver.
+    n-gram, or several if it meets more than HELD of them. Only the ranked
+    profiles, ``depth`` numbers a language, reach the driver. Ties of counts go
+    to the smaller packed n-gram. Repeated rows count each time; rows without
+    text or language, or with an empty text, teach nothing.
     """
     rows = docs.where(trained & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
 
@@ -98,16 +101,25 @@ def learned(docs: DataFrame, text: str, lang: str, trained: Column, depth: int =
                 total[g] = total.get(g, 0) + n
             sizes[which] = 0
 
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for which, total in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([which] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["l", "g", "n"])
+            totals.clear()
+
         for batch in slices(batches):
             for which, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(which, []).append(t)
                 sizes[which] = sizes.get(which, 0) + len(t)
                 if sizes[which] >= CHUNK:
                     add(which)
+            if sum(sizes.values()) >= CHUNK:  # of many languages together
+                for which in list(held):
+                    add(which)
+            if sum(map(len, totals.values())) > HELD:
+                yield from passed_on()  # counts of one n-gram are summed after the shuffle, however often they were passed on
         for which in list(held):
             add(which)
-        for which, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([which] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["l", "g", "n"])
+        yield from passed_on()
 
     ranks = F.row_number().over(_by_count())
     top = rows.mapInArrow(tidy(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).withColumn("r", ranks).where(F.col("r") <= depth)
@@ -153,8 +165,10 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], text: str, keep:
     """``keep`` columns of every row with ``lang_pred`` and ``score``; with ``carry_text``, the text too.
 
     A null text, an empty one or one without letters gets ``und`` and 0. Whole
-    texts are judged; rows that are repeated are judged alike. With no profile
-    (no training row) all rows get ``und``.
+    texts are judged; rows that are repeated are judged alike; languages equally
+    far go to the name that sorts first. With no profile (no training row) all
+    rows get ``und``; an empty table gives no rows. ``keep`` names columns that
+    pass unchanged, others are ignored.
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
