@@ -29,8 +29,10 @@ from stateflux.llm.common import slices, tidy
 
 #: Entries of a memo table before it is emptied; results do not depend on it.
 MEMO = 1 << 18
-#: States of a transducer before it starts anew; results do not depend on it.
-STATES = 1 << 20
+#: States of a transducer, and entries of its tables, before it starts anew; results do not depend on them.
+STATES, ENTRIES = 1 << 18, 1 << 20
+#: Bytes of a piece that are read before the tables' sizes are looked at again.
+STRIDE = 1 << 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,18 +178,27 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token is that token, reachable by merges or not
             return [whole]
-        if len(self.states) > STATES or len(self.fits) > STATES:
-            self._reset()
-        state, out, table = self.start, [], self.table
-        for byte in piece:
-            found = table.get(state << 8 | byte)
-            if found is None:
-                found = self.step(state, byte)
-            state, said = found
-            if said:
-                out.extend(said)
+        state, out = self.start, []
+        for at in range(0, len(piece), STRIDE):
+            state = self._room(state)
+            table = self.table
+            for byte in piece[at : at + STRIDE]:
+                found = table.get(state << 8 | byte)
+                if found is None:
+                    found = self.step(state, byte)
+                state, said = found
+                if said:
+                    out.extend(said)
         return out + self.finish(state)
 
+    def _room(self, state: int) -> int:
+        """The number of the same state, after the tables were emptied if they had grown too large."""
+        if len(self.states) <= STATES and max(len(self.fits), len(self.table)) <= ENTRIES:
+            return state
+        memory = self.states[state]
+        self._reset()
+        return self._state(memory)
+
 
 class Encoder(dict):
     """Texts to token ids as little-endian 32-bit integers; a bounded memo of pieces, filled by the transducer."""
@@ -307,7 +318,13 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "ids", keep:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded in one pass over the rows."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded in one pass over the rows.
+
+    A null text is empty: no tokens, and the digests of nothing. Each row stands
+    for itself, whether its id is null or repeated; other columns are ignored.
+    An empty table gives no rows. A very long text is split whole; a piece of any
+    length needs no more memory than the tables' bounds and its ids.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path, pattern)
