@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stateflux.llm.store import remove
+
 #: Bits of a salt mask: one hot group is dealt to this many tasks at most.
 SALTS = 63
 
@@ -36,36 +39,73 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_left: set[str] = set()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_base(spark)}/stateflux-{what}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder; what is written there is removed when the driver's process ends."""
+    path = f"{shared_base(spark)}/stateflux-{what}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
+
+
+@atexit.register
+def _remove_left() -> None:
+    for path in _left:
+        remove(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Has the driver look for plans that nothing refers to any more: Spark then removes their shuffle files from the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: With it, Spark removes an execution's shuffle files when the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str, cols: Iterable[str] | None = None) -> DataFrame:
+def _put(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and reread.
 
     It cuts lineage with a table that outlives any executor; with the files in
     the shared store, a lost executor costs the tasks it ran and nothing else.
+    The table stays until the driver's process ends: results are read from it.
     """
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    freed(spark)
-    return spark.read.schema(df.schema).parquet(path) if cols is None else spark.read.schema(df.schema).parquet(path).select(*cols)
+    return _put(df, scratch(df.sparkSession, what))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder: reliable, and dropped by Spark's cleaner once unused."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+class Work:
+    """The tables that an operator writes on its way, to be removed when its result is written.
+
+    ``with Work() as work:`` removes them at the end of the block, so nothing
+    that the block returns may still read them.
+    """
+
+    def __enter__(self) -> Work:
+        self.tables: list[tuple[DataFrame, str]] = []
+        return self
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        """As the function of that name, but removed with the others, or before by :meth:`done`."""
+        path = scratch(df.sparkSession, what)
+        out = _put(df, path)
+        self.tables.append((out, path))
+        return out
+
+    def done(self, *tables: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                remove(path)
+                _left.discard(path)
+
+    def __exit__(self, *_) -> None:
+        self.done(*(t for t, _ in self.tables))
 
 
 def salt(*cols: str) -> Column:
@@ -94,6 +134,11 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner")
     return rows.join(dealt, [*on, "salt"], how).drop("salt")
 
 
+def parts_for(spark: SparkSession, size: int, least: int, most: int) -> int:
+    """Into how many parts ``size`` bytes are dealt: of ``least`` bytes, or larger ones if these are over four for each core, but never over ``most``."""
+    return max(1, min(-(-size // least), max(4 * spark.sparkContext.defaultParallelism, -(-size // most))))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: so many texts are Python objects at a time."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import freed, meet, salt, salt_mask, salts_in, settled, slices, tidy, written
+from stateflux.llm.common import Work, meet, salt, salt_mask, salts_in, slices, tidy, written
 from stateflux.llm.components import connected
 from stateflux.llm.shingles import Circulant, bands, set_hash, shingle_set
 
@@ -72,26 +72,24 @@ def similar(common, one, two, percent: int):
     return 100 * common >= percent * (one + two - common)
 
 
-def _size_fits(one: Column, two: Column, percent: int) -> Column:
-    return 100 * F.least(one, two) >= percent * F.greatest(one, two)
-
-
 def verified_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that are similar. Rows stream past their ``a``, whose set is all that a task holds.
 
-    An ``a`` with many partners is copied to several salts.
+    An ``a`` with many partners is copied to several salts; a ``b`` has few pairs.
     """
     pairs = pairs.withColumn("salt", salt("b"))
-    centres = pairs.groupBy("a").agg(salt_mask("salt").alias("mask"))
-    centres = centres.join(sets.select(F.col("id").alias("a"), "n", "s"), "a")
-    first = centres.select("a", F.explode(salts_in("mask")).alias("salt"), F.lit(False).alias("partner"), F.col("a").alias("b"), "n", "s")
-    rest = pairs.join(sets.select(F.col("id").alias("b"), "n", "s"), "b").select("a", "salt", F.lit(True).alias("partner"), "b", "n", "s")
+    centres = pairs.groupBy("a").agg(salt_mask("salt").alias("mask")).join(sets.select(F.col("id").alias("a"), "n", "s"), "a")
+    sized = pairs.join(sets.select(F.col("id").alias("b"), "n", "s"), "b")
+    one, two = F.col("n"), F.col("n_a")
+    sized = sized.join(centres.select("a", F.explode(salts_in("mask")).alias("salt"), F.col("n").alias("n_a")), ["a", "salt"]).where(100 * F.least(one, two) >= percent * F.greatest(one, two))
+    first = centres.select("a", F.explode(salts_in("mask")).alias("salt"), F.lit(False).alias("partner"), F.col("a").alias("b"), "s")
+    rest = sized.select("a", "salt", F.lit(True).alias("partner"), "b", "s")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            for a, partner, b, s in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 5))):
+            for a, partner, b, s in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 values = np.frombuffer(s, np.uint64)
                 if not partner:
                     centre, own = a, values
@@ -199,38 +197,38 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, n_bands:
     that links lead to. With the default bands a pair at the threshold shares no
     bucket with a chance of 4e-7; whatever shares one is compared exactly.
 
-    Documents without words are linked with nothing. Those with equal sets are
-    linked by that. A null text is empty; rows with a null id are linked with
-    nothing but their equals. Rows that repeat an id are one document with
-    several sets. An empty table gives no rows.
+    Documents without words, null texts among them, are linked with nothing.
+    Those with equal sets are linked by that, however long. A null id is a row
+    that takes part only as an equal of others: it is never kept if another row
+    has its set, and has component null if none has. Rows that repeat an id
+    are one document with several sets. Other columns are ignored. An empty
+    table gives no rows. Shingles are compared by 64-bit hashes: two different
+    ones of a pair of texts with n shingles in all meet with a chance of n * n /
+    2 ** 65, a hundred-millionth for texts of a million words.
     """
-    prints = written(signed(docs, doc_id, text, width, n_bands, rows), "signatures")
-    prints = prints.withColumn("salt", salt("doc_id"))
-    classes = settled(prints.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), salt_mask("salt").alias("mask")))
-    held = prints.where("n > 0").join(classes.select("rep").where("rep is not null").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    members = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n").withColumn("salt", salt("rep"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.expr("min(rep ^ key)").alias("one"), F.expr("max(rep ^ key)").alias("two"), salt_mask("salt").alias("mask")).where("m > 1 and one != two")
-    shared = settled(meet(members, buckets, ["key"]).select("key", "rep", "n", "m", F.expr("one ^ key").alias("pivot")))
-
-    listed = shared.select(F.col("rep").alias("id")).distinct()
-    sets = written(shingled(docs.join(listed, docs[doc_id].cast("long") == listed["id"], "left_semi"), doc_id, text, width), "shingles")
-
-    stars = shared.where("rep != pivot").groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).agg(F.sum("m").alias("met"))
-    stars = stars.where(F.col("met") >= LIKELY)
-    sizes = sets.select("id", "n")
-    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    stars = stars.where(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    first = settled(connected(verified_stars(stars, sets, percent)))
-    freed(docs.sparkSession)
-
-    placed = shared.select("key", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")).withColumn("salt", salt("rep"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), salt_mask("salt").alias("mask"))
-    open_ = open_.where("low != high").groupBy("m", "volume", "x", "y").agg(F.min("key").alias("key"), F.min("mask").alias("mask")).select("key", "m", "volume", "mask")
-    second = settled(connected(verified_buckets(meet(placed, open_, ["key"]), sets, percent)))
-
-    components = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("id", F.coalesce("last", "component").alias("component"))
-    components = components.union(second.join(first, "id", "left_anti").select("id", "component"))
-    classes = classes.join(components, classes["rep"] == components["id"], "left").select("h1", "h2", "n", "mask", F.coalesce("component", "rep").alias("component"))
-    out = meet(prints.select("doc_id", "n", "h1", "h2", "salt"), classes, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with Work() as work:
+        prints = work.written(signed(docs, doc_id, text, width, n_bands, rows), "signatures").withColumn("salt", salt("doc_id"))
+        classes = work.written(prints.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), salt_mask("salt").alias("mask")), "classes")
+        held = prints.where("n > 0").join(classes.select("rep").where("rep is not null").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+        members = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n").withColumn("salt", salt("rep"))
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.expr("min(rep ^ key)").alias("one"), F.expr("max(rep ^ key)").alias("two"), salt_mask("salt").alias("mask")).where("m > 1 and one != two")
+        shared = work.written(meet(members, buckets, ["key"]).select("key", "rep", "n", "m", F.expr("one ^ key").alias("pivot")), "buckets")
+
+        listed = shared.select(F.col("rep").alias("id")).distinct()
+        sets = work.written(shingled(docs.join(listed, docs[doc_id].cast("long") == listed["id"], "left_semi"), doc_id, text, width), "shingles")
+
+        stars = shared.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.sum("m").alias("met"))
+        first = connected(verified_stars(stars.where(F.col("met") >= LIKELY).select("a", "b"), sets, percent))
+
+        placed = shared.select("key", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")).withColumn("salt", salt("rep"))
+        open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), salt_mask("salt").alias("mask"))
+        open_ = open_.where("low != high").groupBy("m", "volume", "x", "y").agg(F.min("key").alias("key"), F.min("mask").alias("mask")).select("key", "m", "volume", "mask")
+        second = connected(verified_buckets(meet(placed, open_, ["key"]), sets, percent))
+        work.done(shared, sets)
+
+        components = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("id", F.coalesce("last", "component").alias("component"))
+        components = components.union(second.join(first, "id", "left_anti").select("id", "component"))
+        classes = classes.join(components, classes["rep"] == components["id"], "left").select("h1", "h2", "n", "mask", F.coalesce("component", "rep").alias("component"))
+        out = meet(prints.select("doc_id", "n", "h1", "h2", "salt"), classes, ["h1", "h2", "n"], "left")
+        component = F.coalesce("component", "doc_id")
+        return written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near")

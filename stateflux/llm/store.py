@@ -33,3 +33,12 @@ class NewFile:
 def reader(uri: str):
     files, path = opened(uri)
     return files.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """Removes a folder and all in it, if it is there."""
+    try:
+        files, path = opened(uri)
+        files.delete_dir(path)
+    except OSError:
+        pass  # gone already, or the store is: nothing reads the folder any more
