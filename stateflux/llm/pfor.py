@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import scratch, slices, tidy
+from stateflux.llm.common import parts_for, scratch, slices, tidy
 from stateflux.llm.store import NewFile, reader
 from stateflux.llm.tokens import encoder
 
@@ -34,6 +34,8 @@ PERCENTILE = 0.9
 TRAILER = struct.Struct("<QQQQ8s")
 #: Blocks packed at once, and bytes read at once.
 GROUP, READ = 256, 1 << 22
+#: Bytes of text whose ids stand in one file, at least and at most (about).
+SPAN = 1 << 24, 1 << 30
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -164,23 +166,30 @@ def write_ids(docs: DataFrame, path: str, pattern: str | None, end: int, folder:
     """Writes the ids of every whole text, ``end`` after each, in ascending id order; returns (file, documents, ids) in that order.
 
     Rows are dealt out by ranges of ids and sorted in each, then tokenised and
-    written as they pass; nothing but one row a file reaches the driver. Null
-    texts are empty, null ids come first, repeated ids stand next to each other.
+    written as they pass; nothing but one row a file reaches the driver. The
+    number of files follows from the bytes of text. Null texts are empty, null
+    ids come first. Rows with one id stand next to each other in the order of a
+    hash of their texts, and ranges may end between them, so an id that very many
+    rows have is dealt to several files. Other columns are ignored.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, writer = encoder(path, pattern), np.array([end], "<u4").tobytes(), None
+        encode, last, writer, first = encoder(path, pattern), np.array([end], "<u4").tobytes(), None, 0
         for batch in slices(batches):
+            if writer is None and batch.num_rows:
+                writer, first = Writer(folder), batch.column(2)[0].as_py()
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                writer = writer or Writer(folder)
                 writer.add(doc, ids + last)
         if writer:
             uri, n_docs, n_ids = writer.close()
-            yield pa.RecordBatch.from_pylist([{"uri": uri, "docs": n_docs, "ids": n_ids, "null": writer.docs[0] is not None, "least": writer.docs[0] or 0}])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = rows.mapInArrow(tidy(work), "uri string, docs long, ids long, null boolean, least long").collect()
-    return [(f["uri"], f["docs"], f["ids"]) for f in sorted(files, key=lambda f: (f["null"], f["least"]))]
+            yield pa.RecordBatch.from_pylist([{"uri": uri, "docs": n_docs, "ids": n_ids, "null": writer.docs[0] is not None, "least": writer.docs[0] or 0, "hash": first}])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("hash"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    rows = rows.repartitionByRange(parts_for(docs.sparkSession, size, *SPAN), *order).sortWithinPartitions(*order)
+    files = rows.mapInArrow(tidy(work), "uri string, docs long, ids long, null boolean, least long, hash long").collect()
+    return [(f["uri"], f["docs"], f["ids"]) for f in sorted(files, key=lambda f: (f["null"], f["least"], f["hash"]))]
 
 
 def read_back(spark, files: list[tuple[str, int, int]]) -> DataFrame:

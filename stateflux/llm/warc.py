@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import salt, salt_mask, salts_in, scratch, slices, tidy, written
+from stateflux.llm.common import parts_for, salt, salt_mask, salts_in, scratch, slices, tidy, written
 from stateflux.llm.store import NewFile, reader
 
 #: Payloads shorter than this are always written in full.
 LEAST = 1000
 #: Two ranges with at most GAP bytes between them are read at once, up to READ bytes.
 GAP, READ = 1 << 16, 1 << 23
+#: Bytes of records that one task reads, at least and at most (about).
+SPAN = 1 << 22, 1 << 29
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -87,8 +89,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     and only the places of the one that counts are in the index.
 
     Null html is empty, a null URL is left out, a null id has a record id of its
-    own kind. Rows that repeat an id are records like others; all rows with a
-    group's largest id are responses.
+    own kind and is the largest of a group only if it is alone there. Rows that
+    repeat an id are records like others; all rows with a group's largest id are
+    responses. Other columns are ignored; an empty table writes no file and
+    gives no rows. A payload of any length is one record, held whole in a task.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("salt", salt("page_id"))
@@ -117,8 +121,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records at the places in ``selected`` (rows of an index), read in order of place.
 
-    Places are dealt out by ranges and sorted; neighbours with small gaps are one read.
+    Places are dealt out by ranges and sorted; neighbours with small gaps are one
+    read. The number of ranges follows from the bytes that the selected records
+    have, not from the index, which is small.
     """
+    size = selected.agg(F.sum("length")).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, name = None, [], None
@@ -147,7 +154,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
         if at:
             at.close()
 
-    places = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = selected.select("file", "offset", "length").repartitionByRange(parts_for(selected.sparkSession, size, *SPAN), "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(tidy(read), RECORDS if with_payload else RECORDS.rpartition(",")[0])
 
 
