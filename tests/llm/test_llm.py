@@ -49,12 +49,34 @@ def test_exact_dedup_of_odd_texts(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MARK_DIGITS", 1)  # texts without copies share marks with copies
+    rng = random.Random(21)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "", " ", "one", "two\ttwo", "two two", "é" * 9000, f"own {i}"])) for i in range(300)]
+    rows += [(None, "only null"), (None, "only null"), (3, "null and three"), (None, "null and three"), (None, "alone")]
+    extra = spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], "doc_id long, text string, size int, norm string, text_sha256 string, salt int")
+    groups: dict[str, list] = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    want = []
+    for i, t in rows:
+        own = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        least = min((x for x in groups[own] if x is not None), default=None)
+        want.append((i, least, len(groups[own]), i == least, hashlib.sha256(own.encode()).hexdigest()))
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(extra).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_one_large_group_of_copies(spark):
     got = exact_dedup.exact_dedup(spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', concat('t', id)) as text"))
     assert got.where("kept").count() == 2001 and got.where("group_size = 1000 and keep_id = 0").count() == 1000
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("span", [1 << 22, 64])
+def test_top_k_against_brute_force(spark, monkeypatch, span):
+    # with a span of 64 components the index has many parts, and a first pass gives floors
+    monkeypatch.setattr(topk, "SPAN", span)
+    monkeypatch.setattr(topk, "SAMPLE", 4)
     random.seed(3)
     base = [[random.gauss(0, 0.3) for _ in range(8)] for _ in range(120)]
     rows = [(i, base[i % 120] if i % 5 else base[0]) for i in range(400)] + [(500, None), (550, []), (600, [1.0, None]), (650, [float("nan")] * 8), (700, [1.0] * 3), (1, base[7])]
@@ -74,6 +96,36 @@ def test_top_k_against_brute_force(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    big = [[2.0**21, 1.0], [2.0**21, 0.0], [-(2.0**21), 3.0], [1e30, 0.0], [2.0**23, 0.0], [0.0, 0.0]]
+    rows = [(50 * i, v, 1, "x") for i, v in enumerate(big)] + [(None, [1.0, 1.0], 1, "x"), (7, [], 1, "x")]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, ids string"), k=9)
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v, _, _ in rows if i is not None and v and sum((256 * x) ** 2 for x in v) < 2.0**62}
+    assert 150 not in whole and 200 not in whole
+    want = {(q, i): sum(a * b for a, b in zip(whole[q], whole[i])) for q in whole for i in whole if i != q}
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got.collect()} == want
+
+
+def test_proof_ends_the_work_on_a_block_early():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4000, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    vectors[17] *= 50  # an outlier
+    ids, none = np.arange(4000), np.full(200, topk.NONE)
+    block = topk.Segments(ids, vectors)
+    which, found, scores = topk.foremost(*block.best(vectors[:200], ids[:200], 5, none), 5)
+    truth = vectors[:200] @ vectors.T
+    np.fill_diagonal(truth[:, :200], -(10**9))
+    want = np.lexsort((np.broadcast_to(ids, truth.shape), -truth))[:, :5]
+    assert found.reshape(200, 5).tolist() == want.tolist() and scores.reshape(200, 5).tolist() == np.take_along_axis(truth, want, 1).tolist()
+    assert block.early == block.proofs == 1
+    # with the score to be reached known, fewer are scored
+    floors = np.take_along_axis(truth, want, 1)[:, 4]
+    fewer = block.best(vectors[:200], ids[:200], 5, floors)
+    again = topk.foremost(*fewer, 5)
+    assert len(fewer[0]) <= len(block.best(vectors[:200], ids[:200], 5, none)[0]) and [x.tolist() for x in again] == [which.tolist(), found.tolist(), scores.tolist()]
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 900
     rows = [(1, "http://a/ \r\né%20", big), (2, None, big), (3, "", None), (4, "u", "short"), (5, "u", "short"), (None, "u", big + "x"), (-7, "u", "<b>")]
@@ -164,6 +216,28 @@ def test_transducer_is_tiktoken(spark):
     assert all(trip[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and trip[i]["n_tokens"] == len(plain.encode_ordinary(t or "")) for i, t in enumerate(ODD))
 
 
+def test_long_pieces_start_anew(spark, monkeypatch):
+    import tiktoken
+
+    path, pattern = queries.vocabulary(queries.MULTI_BPE)
+    ranks = bpe.read_ranks(path)
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(31)
+    piece = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé漢", k=60_000))
+    whole = plain.encode_ordinary(piece)
+    machine = bpe.Transducer(ranks)
+    assert machine.encode(piece.encode()) == whole
+    for states, stride in ((50, 7), (1000, 64)):
+        monkeypatch.setattr(bpe, "STATES", states)
+        monkeypatch.setattr(bpe, "STRIDE", stride)
+        machine = bpe.Transducer(ranks)
+        assert machine.encode(piece.encode()) == whole and len(machine.states) <= states + stride + 1
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.round_trip(empty, path, pattern).count() == 0 and bpe.encode_texts(empty, path, pattern).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (1, None), (1, "b b"), (1, "b b")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.round_trip(odd, path, pattern).collect()) == [(0, 1), (1, 0), (1, 2), (1, 2)]
+
+
 def test_small_vocabularies_follow_the_definition():
     rng = random.Random(4)
     for _ in range(30):
@@ -279,6 +353,49 @@ def test_gram_counts_against_brute_force():
     assert dict(zip(*(x.tolist() for x in langid.gram_counts(text)))) == want
 
 
+def test_language_query_against_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    def grams(text):
+        counts: Counter = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {w} "
+            for n in (1, 2, 3):
+                counts.update(g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+        return counts
+
+    def profile(counts):
+        packed = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return sorted(counts, key=lambda g: (-counts[g], packed(g)))[: langid.DEPTH]
+
+    def judge(text, profiles):
+        own, best = profile(grams(text)), None
+        for lang in sorted(profiles):
+            place = {g: i for i, g in enumerate(profiles[lang])}
+            out = sum(abs(place[g] - i) if g in place else langid.DEPTH for i, g in enumerate(own))
+            if best is None or out < best[0]:
+                best = out, lang
+        return ("und", 0.0) if not own or not profiles else (best[1], round(1 - best[0] / (langid.DEPTH * len(own)), 9))
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    # ties between languages, repeated rows, null ids and letters that are none
+    odd = spark.createDataFrame([(None, "zz zz", "b"), (2, "zz zz", "a"), (2, "zz zz", "a"), (4, None, "en"), (5, "", None), (6, "1 2 3 --", "en"), (7, "ßÉ İi ǅ", "en"), (None, "the cat", None)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(odd)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    totals: dict = {}
+    for r in rows.collect():
+        if not held(r["doc_id"]) and r["lang"] is not None and grams(r["text"]):
+            totals.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    profiles = {lang: profile(c) for lang, c in totals.items()}
+    want = sorted((repr((r["doc_id"], held(r["doc_id"]), *judge(r["text"], profiles))) for r in rows.collect()))
+    for limit in (1 << 20, 50):
+        monkeypatch.setattr(langid, "HELD", limit)
+        monkeypatch.setattr(langid, "CHUNK", 2000)
+        learned = langid.learned(rows, "text", "lang", ~langid.held_out())
+        got = langid.identified(rows.withColumn("held_out", langid.held_out()), learned, "text", ["doc_id", "held_out"])
+        assert sorted(repr((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9))) for r in got.collect()) == want
+
+
 def test_quality_against_the_definition(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choices(["the", "cat", "sat", "on", "mat", "dog"], weights=[6, 2, 2, 3, 1, 1], k=rng.randrange(5, 60))) for _ in range(300)] + ["XX ## " * 60, "", None]
@@ -359,6 +476,25 @@ def test_licences_in_odd_texts(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licences_are_those_of_sql(spark):
+    last = [own[-1] for own in licenses.TEMPLATES.values()]
+    texts = [
+        "0 first\n1 second\nThis work is licensed under the GNU General Public License, version 2\n0", "Licensed under CC BY 4.0", "Released under the MIT License.", "  Released under the MIT License. \n\nReleased under the\nMIT License",
+        "All rights reserved.\n2 2 2\n3 3", "This work is licensed under the GNU General Public License, version 2", None, "", "2\n1\n0", *ODD[4:], *last, *[f"Before it, words. {t} After it, more words. {t}" for t in last],
+    ]
+    rows = [(i, t, None, None, None, 1, "x") for i, t in enumerate(texts)]
+    rows += [*rows[:6], (4, "Released under the MIT License. All rights reserved.", None, None, None, 1, "x"), (None, texts[1], None, None, None, 1, "x"), (None, texts[1], None, None, None, 1, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    con = connect(FOLDER)
+    con.execute("DROP VIEW documents")
+    con.register("documents", docs.toPandas())
+    same(licenses.scan(docs), con, SQL["op9_licenses"])
+    got = {(r["doc_id"], r["license"]): (r["n_units"], r["dice"]) for r in licenses.scan(docs).collect()}
+    assert got[0, "gpl-2.0"] == (2, 1.0)  # the line, and the whole text, which is near enough
+    assert got[1, "cc-by-4.0"] == got[2, "mit"] == got[5, "gpl-2.0"] == got[None, "cc-by-4.0"] == (1, 1.0)
+    assert (0, "gpl-3.0") not in got and got[3, "mit"][0] == 2
+
+
 def test_licences_inside_lines_and_over_paragraphs(spark):
     last = {name: own[-1] for name, own in licenses.TEMPLATES.items()}
     texts = [f"This is the first sentence of a line. {t} And here is another sentence after it." for t in last.values()]
