@@ -24,32 +24,59 @@ def norm(v: Column) -> Column:
     return F.sqrt(total(F.transform(v, lambda x: x * x)))
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x evaluated once a row: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def centred(v: Column) -> Column:
     """Average reference: less the mean over channels."""
-    return F.transform(v, lambda x: x - mean(v))
+    return let(v, lambda w: let(mean(w), lambda m: F.transform(w, lambda x: x - m)))
 
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
     """Zero mean and unit length; a constant map becomes zeros."""
-    c = centred(v)
-    return F.transform(c, lambda x: x / F.when(norm(c) < eps, 1.0).otherwise(norm(c)))
+    return let(centred(v), lambda c: let(norm(c), lambda s: F.transform(c, lambda x: x / F.when(s < eps, 1.0).otherwise(s))))
 
 
 def unit_rms(v: Column, eps: float = 1e-12) -> Column:
     """Zero mean and unit root mean square."""
-    c = centred(v)
-    size = norm(c) / F.sqrt(F.size(v).cast("double"))
-    return F.transform(c, lambda x: x / F.when(size < eps, 1.0).otherwise(size))
+    return let(centred(v), lambda c: let(norm(c) / F.sqrt(F.size(c).cast("double")), lambda s: F.transform(c, lambda x: x / F.when(s < eps, 1.0).otherwise(s))))
 
 
 def gfp_rms(v: Column) -> Column:
     """Population spread over channels."""
-    return norm(centred(v)) / F.sqrt(F.size(v).cast("double"))
+    return let(centred(v), lambda c: norm(c) / F.sqrt(F.size(c).cast("double")))
 
 
 def gfp_sd(v: Column) -> Column:
     """Sample spread over channels; null for one channel."""
-    return F.sqrt(F.try_divide(dot(centred(v), centred(v)), (F.size(v) - 1).cast("double")))
+    return let(centred(v), lambda c: F.sqrt(F.try_divide(dot(c, c), (F.size(c) - 1).cast("double"))))
+
+
+def padded(v: Column, n: int) -> Column:
+    """The first ``n`` elements, with nulls behind if there are fewer; a null is all nulls."""
+    full = F.coalesce(v, F.array().cast("array<double>"))
+    return F.slice(F.concat(full, F.array_repeat(F.lit(None).cast("double"), n)), 1, n)
+
+
+def clamped(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def log_sum_exp(v: Column) -> Column:
+    return let(v, lambda w: let(F.array_max(w), lambda m: m + F.ln(F.aggregate(w, F.lit(0.0), lambda a, x: a + F.exp(x - m)))))
+
+
+def gaussian_log_pdf(x: Column, mu: Column, variance: Column) -> Column:
+    """Of a vector, with a diagonal covariance."""
+    terms = F.zip_with(F.zip_with(x, mu, lambda a, b: a - b), variance, lambda d, v: F.ln(v) + d * d / v)
+    return -0.5 * (F.size(x) * math.log(2 * math.pi) + total(terms))
+
+
+def argmax(v: Column) -> Column:
+    """The place, from 1, of the greatest element, the first of several."""
+    return F.array_position(v, F.array_max(v)).cast("int")
 
 
 def outer(v: Column) -> Column:
@@ -83,6 +110,16 @@ def fit_statistics(labelled: DataFrame, by: list[str] | None = None, map_: str =
     return w.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_maps"), F.round(F.try_divide(F.sum("fit"), F.sum("p")), 6).alias("gev"), F.round(F.sum(F.col("p") - F.col("fit")), 6).alias("wss"), F.round(F.avg(F.abs("corr")), 6).alias("mean_abs_corr"))
 
 
+def state_shares(labelled: DataFrame, k: int, map_: str = "map") -> DataFrame:
+    """Of each state that occurs: maps, share, mean similarity; beside them the residual variance of all and its cross-validation for k states."""
+    power = dot(F.col(map_), F.col(map_))
+    per = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("n_maps"), F.avg(F.abs("corr")).alias("r"), F.sum(power - F.col("corr") * F.col("corr")).alias("_w"), F.sum(power).alias("_p"), F.max(F.size(map_)).alias("_c"))
+    w = Window.partitionBy()  # states are few
+    residual = F.try_divide(F.sum("_w").over(w), F.sum("_p").over(w))
+    factor = F.pow((F.max("_c").over(w) - 1) / F.greatest(F.lit(1), F.max("_c").over(w) - k - 1), 2)
+    return per.select("k", "n_maps", F.round(F.col("n_maps") / F.sum("n_maps").over(w), 6).alias("share"), F.round("r", 6).alias("mean_abs_corr"), F.round(residual, 6).alias("residual_variance"), F.round(residual * factor, 6).alias("cross_validation"))
+
+
 def centroid_silhouette(maps: DataFrame, centres: DataFrame, id_: str = "id", map_: str = "map") -> DataFrame:
     """id, silhouette: from the two nearest centres, with distance 1 - |corr|."""
     few = centres.groupBy().agg(F.collect_list("centre").alias("cs"))

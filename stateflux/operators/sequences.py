@@ -1,13 +1,18 @@
 """Operators on label sequences: runs, state metrics, information, events in time.
 
 A sequence has a record, an order (one or more columns) and a state. All windows
-are partitioned by record, so records spread over tasks; nothing is collected.
+are partitioned by record, so records spread over tasks; nothing is collected. What
+comes next is looked for with a running frame over the descending order: a frame
+that begins at the current row and has no end would be summed anew for each row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,17 @@ def _over(rec: str, order: tuple[str, ...] = ORDER):
     return Window.partitionBy(rec).orderBy(*order)
 
 
+def last_seen(value: Column, rec: str, order: tuple[str, ...] = ORDER, own: bool = True) -> Column:
+    """The last value that is not null up to a sample, or before it."""
+    return F.last(value, ignorenulls=True).over(_over(rec, order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+
+
+def next_seen(value: Column, rec: str, order: tuple[str, ...] = ORDER, own: bool = True) -> Column:
+    """The first value that is not null from a sample on, or after it."""
+    back = Window.partitionBy(rec).orderBy(*[F.col(c).desc() for c in order])
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+
+
 def entries(df: DataFrame, rec: str = "rec", state: str = "state", order: tuple[str, ...] = ORDER) -> DataFrame:
     """Adds ``entry``: whether a sample begins a run (the first of its record does)."""
     before = F.lag(state).over(_over(rec, order))
@@ -61,7 +77,7 @@ def transitions(df: DataFrame, rec: str = "rec", state: str = "state") -> DataFr
 
 
 def pairwise_information(df: DataFrame, rec: str = "rec", state: str = "state") -> DataFrame:
-    """Mutual information, in bits, of the indicators of two states of a record, and over the smaller entropy.
+    """Mutual information, in bits, of the indicators of two states of a record, and over the geometric mean of their entropies.
 
     States exclude one another, so the joint table follows from the two shares.
     """
@@ -73,7 +89,7 @@ def pairwise_information(df: DataFrame, rec: str = "rec", state: str = "state")
     pi, pj = F.col("pi"), F.col("pj")
     none = 1 - pi - pj
     mi = term(pi, pi * (1 - pj)) + term(pj, pj * (1 - pi)) + F.when(none > 1e-9, none * F.log2(none / F.greatest((1 - pi) * (1 - pj), F.lit(1e-12)))).otherwise(0.0)
-    return pairs.select(rec, "state_i", "state_j", F.round(mi, 6).alias("mi_bits"), F.round(F.try_divide(mi, F.least(h(pi), h(pj))), 6).alias("nmi"))
+    return pairs.select(rec, "state_i", "state_j", F.round(mi, 6).alias("mi_bits"), F.round(mi / F.greatest(F.sqrt(h(pi) * h(pj)), F.lit(2.220446049250313e-16)), 6).alias("nmi"))
 
 
 def near_change(df: DataFrame, half: int, rec: str = "rec", state: str = "state", order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -82,11 +98,89 @@ def near_change(df: DataFrame, half: int, rec: str = "rec", state: str = "state"
     return changed.withColumn("near", F.max(F.col("change").cast("int")).over(_over(rec, order).rowsBetween(-half, half)) == 1).drop("entry", "change")
 
 
-def local_maxima(df: DataFrame, share: float, rec: str = "rec", value: str = "gfp", order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Samples above the one before, not below the one after, and at or above the record's quantile ``share``."""
+def local_maxima(df: DataFrame, share: float | Sequence[float], least: int = 0, rec: str = "rec", value: str = "gfp", order: tuple[str, ...] = ORDER, tie: str = "right") -> DataFrame:
+    """Peaks of a record that reach its quantile ``share``: above one neighbour, not below the other.
+
+    A tie with the sample after is allowed, or with ``tie="left"`` that with the one
+    before. Of several shares, in the order given, the first that leaves ``least``
+    peaks counts, else the last that leaves any.
+    """
+    shares = [share] if isinstance(share, float) else list(share)
     w = _over(rec, order)
-    peaks = df.withColumn("l", F.lag(value).over(w)).withColumn("r", F.lead(value).over(w)).withColumn("floor", F.percentile(value, F.lit(share)).over(Window.partitionBy(rec)))
-    return peaks.where((F.col(value) > F.col("l")) & (F.col(value) >= F.col("r")) & (F.col(value) >= F.col("floor"))).drop("l", "r", "floor")
+    left, right = F.col(value) - F.lag(value).over(w), F.col(value) - F.lead(value).over(w)
+    tops = df.withColumn("_top", (left > 0) & (right >= 0) if tie == "right" else (left >= 0) & (right > 0)).where("_top").drop("_top")
+    floors = df.groupBy(rec).agg(F.percentile(value, F.array(*[F.lit(x) for x in shares])).alias("_floors"))
+    met = tops.join(floors, rec)
+    if len(shares) > 1:
+        counts = met.groupBy(rec).agg(*[F.count_if(F.col(value) >= F.col("_floors")[i]).alias(f"_n{i}") for i in range(len(shares))])
+        enough = F.coalesce(*[F.when(F.col(f"_n{i}") >= max(1, least), F.lit(i)) for i in range(len(shares))], *[F.when(F.col(f"_n{i}") > 0, F.lit(i)) for i in reversed(range(len(shares)))], F.lit(0))
+        met = met.join(counts.select(rec, enough.alias("_use")), rec)
+    else:
+        met = met.withColumn("_use", F.lit(0))
+    return met.where(F.col(value) >= F.col("_floors")[F.col("_use")]).drop("_floors", "_use")
+
+
+def spaced_peaks(peaks: DataFrame, distance: int, rec: str = "rec", pos: str = "pos", value: str = "gfp", strict: bool = True) -> DataFrame:
+    """Of the peaks of a record, highest first (ties to the earlier), those with no chosen one within ``distance``; without ``strict`` one exactly that far does not count.
+
+    The choice depends on the order, so a record's peaks, not its samples, go through one Python call.
+    """
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([value, pos], ascending=[False, True])
+        at, kept, keep = pdf[pos].to_numpy(), np.empty(0, np.int64), []
+        for p in at:
+            i = np.searchsorted(kept, p)
+            near = [abs(int(p) - int(kept[j])) for j in (i - 1, i) if 0 <= j < len(kept)]
+            good = all(d > distance if strict else d >= distance for d in near)
+            keep.append(good)
+            if good:
+                kept = np.insert(kept, i, p)
+        return pdf[keep]
+
+    return peaks.groupBy(rec).applyInPandas(chosen, peaks.schema)
+
+
+def collapsed_train(marks: DataFrame, gap: int, rec: str = "rec", pos: str = "pos") -> DataFrame:
+    """Of marked positions, those more than ``gap`` after the last one kept; the first is kept."""
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, keep, last = np.sort(pdf[pos].to_numpy()), [], None
+        for p in at:
+            if last is None or p - last > gap:
+                keep.append(p)
+                last = p
+        return pd.DataFrame({rec: [pdf[rec].iloc[0]] * len(keep), pos: keep})
+
+    return marks.select(rec, pos).groupBy(rec).applyInPandas(kept, marks.select(rec, pos).schema)
+
+
+def plausible_trains(events: DataFrame, low_s: float = 0.25, high_s: float = 2.5, rec: str = "rec", at: str = "us") -> DataFrame:
+    """rec, n, median_s: trains of at least five events whose median interval is within the limits."""
+    w = Window.partitionBy(rec).orderBy(at)
+    gaps = events.withColumn("_gap", (F.col(at) - F.lag(at).over(w)) / 1e6)
+    out = gaps.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.median("_gap").alias("median_s"))
+    return out.where((F.col("n") >= 5) & F.col("median_s").between(low_s, high_s))
+
+
+def marker_events(events: DataFrame, markers: DataFrame, rec: str = "rec", condition: str = "condition", text: str = "description") -> DataFrame:
+    """Events whose description has one of their condition's markers (condition, marker, preferred); the others count only where no event of the record has a preferred one."""
+    met = events.join(F.broadcast(markers), condition).where(F.col(text).contains(F.col("marker")))  # a handful of markers
+    best = met.groupBy(rec).agg(F.max(F.col("preferred").cast("int")).alias("_best"))
+    used = met.join(best, rec).where(F.col("preferred").cast("int") == F.col("_best"))
+    return used.select(events.columns).distinct()
+
+
+def cropped(points: DataFrame, intervals: DataFrame, rec: str = "rec", at: str = "us", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Points within the intervals (rec, start_us, stop_us) of their record, ends included, with ``pos``: their place, from 0, in the intervals one after the other.
+
+    Intervals must not overlap: merge them first. Both are one sorted stream; no point meets another interval than the last one begun.
+    """
+    marks = intervals.select(rec, F.col("start_us").alias(at), F.struct("start_us", "stop_us").alias("_span"))
+    both = points.withColumn("_span", F.lit(None).cast(marks.schema["_span"].dataType)).withColumn("_kind", F.lit(1)).unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    span = F.last("_span", ignorenulls=True).over(Window.partitionBy(rec).orderBy(at, "_kind", *[c for c in order if c != at]).rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("_in", span).where((F.col("_kind") == 1) & (F.col(at) <= F.col("_in.stop_us")))
+    return inside.withColumn("pos", F.row_number().over(_over(rec, order)) - 1).select(*points.columns, "pos")
 
 
 def merged_intervals(df: DataFrame, gap: int, rec: str = "rec", start: str = "start_us", stop: str = "stop_us") -> DataFrame:
@@ -97,34 +191,49 @@ def merged_intervals(df: DataFrame, gap: int, rec: str = "rec", start: str = "st
     return flagged.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(rec, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count(F.lit(1)).alias("n"))
 
 
-def beats(df: DataFrame, event: str, rec: str = "rec", state: str = "state") -> DataFrame:
-    """Reference events of each record with the intervals before and after, in seconds."""
+def beats(df: DataFrame, event: str, rec: str = "rec", state: str = "state", limits_s: tuple[float, float] | None = None) -> DataFrame:
+    """Reference events of each record with the intervals before and after, in seconds.
+
+    With ``limits_s``, those whose intervals are both within: the first and the last of a record go.
+    """
     w = Window.partitionBy(rec).orderBy("us", "seq")
     marked = df.where(F.col(state) == event).select(rec, "us", "seq")
-    return marked.withColumn("rr_prev", (F.col("us") - F.lag("us").over(w)) / 1e6).withColumn("rr_next", (F.lead("us").over(w) - F.col("us")) / 1e6)
+    out = marked.withColumn("rr_prev", (F.col("us") - F.lag("us").over(w)) / 1e6).withColumn("rr_next", (F.lead("us").over(w) - F.col("us")) / 1e6)
+    return out if limits_s is None else out.where(F.col("rr_prev").between(*limits_s) & F.col("rr_next").between(*limits_s))
 
 
 def phase(df: DataFrame, event: str, rec: str = "rec", state: str = "state") -> DataFrame:
-    """As-of join of every sample with the reference events around it, as an angle between them in [0, 2 pi).
+    """As-of join of every sample with the reference events around it (r0, r1), as an angle between them in [0, 2 pi).
 
-    One sort of the record: the last event at or before a sample and the first
-    after it are carried along windows, so no sample meets another one's events.
+    One sort of the record each way: the last event at or before a sample and the
+    first after it are carried along, so no sample meets another one's events.
     """
-    back = Window.partitionBy(rec).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(rec).orderBy("us", "seq").rowsBetween(1, Window.unboundedFollowing)
     mark = F.when(F.col(state) == event, F.col("us"))
-    found = df.withColumn("r0", F.last(mark, ignorenulls=True).over(back)).withColumn("r1", F.first(mark, ignorenulls=True).over(ahead))
-    return found.where("r0 is not null and r1 is not null and r1 > r0").withColumn("phase", 2 * math.pi * (F.col("us") - F.col("r0")) / (F.col("r1") - F.col("r0"))).drop("r0", "r1")
+    found = df.withColumn("r0", last_seen(mark, rec)).withColumn("r1", next_seen(mark, rec, own=False))
+    return found.where("r0 is not null and r1 is not null and r1 > r0").withColumn("phase", 2 * math.pi * (F.col("us") - F.col("r0")) / (F.col("r1") - F.col("r0")))
+
+
+def period_shares(phased: DataFrame, primary: str, early_s: tuple[float, float], rec: str = "rec", state: str = "state") -> DataFrame:
+    """rec, r0, early, late: of the samples of each interval between reference events (from :func:`phase`) the share in the primary state, in the stretch ``early_s`` after the event and in the rest; null without samples."""
+    since = F.col("us") - F.col("r0")
+    early = (since >= int(early_s[0] * 1e6)) & (since < int(early_s[1] * 1e6))
+    hit = (F.col(state) == primary).cast("double")
+    return phased.groupBy(rec, "r0").agg(F.avg(F.when(early, hit)).alias("early"), F.avg(F.when(~early, hit)).alias("late"))
 
 
-def nearest(df: DataFrame, event: str, target: str, limit_s: float, rec: str = "rec", state: str = "state") -> DataFrame:
-    """Each event with the nearest target of its record within ``limit_s`` seconds; a tie goes to the earlier one."""
-    order = Window.partitionBy(rec).orderBy("us", "seq")
+def nearest(df: DataFrame, event: str, target: str, limit_s: float, rec: str = "rec", state: str = "state", best: bool = False) -> DataFrame:
+    """Each event with the nearest target of its record within ``limit_s`` seconds; a tie goes to the earlier one.
+
+    With ``best``, of the events that have one target only the nearest, the earlier of two.
+    """
     mark = F.when(F.col(state) == target, F.col("us"))
-    both = df.where(F.col(state).isin(event, target)).withColumn("left_us", F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right_us", F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both = df.where(F.col(state).isin(event, target)).withColumn("left_us", last_seen(mark, rec)).withColumn("right_us", next_seen(mark, rec))
     d0, d1 = F.col("us") - F.col("left_us"), F.col("right_us") - F.col("us")
     hit = F.when(d1.isNull() | (d0 <= d1), F.col("left_us")).otherwise(F.col("right_us"))
-    return both.where(F.col(state) == event).withColumn("hit_us", hit).where(F.abs(F.col("us") - F.col("hit_us")) <= int(limit_s * 1e6)).select(rec, "seq", "us", "hit_us", ((F.col("us") - F.col("hit_us")) / 1e6).alias("delay_s"))
+    met = both.where(F.col(state) == event).withColumn("hit_us", hit).where(F.abs(F.col("us") - F.col("hit_us")) <= int(limit_s * 1e6)).select(rec, "seq", "us", "hit_us", ((F.col("us") - F.col("hit_us")) / 1e6).alias("delay_s"))
+    if best:
+        met = met.withColumn("_r", F.row_number().over(Window.partitionBy(rec, "hit_us").orderBy(F.abs("delay_s"), "us", "seq"))).where("_r = 1").drop("_r")
+    return met
 
 
 def within(points: DataFrame, centres: DataFrame, low_s: float, high_s: float, rec: str = "rec") -> DataFrame:
@@ -154,15 +263,144 @@ def phase_bins(df: DataFrame, bins: int, by: list[str], state: str = "state", gf
     return counts.withColumn("coverage", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by, "bin")), 6))
 
 
+def circular_states(phased: DataFrame, rec: str = "rec", state: str = "state", gfp: str = "gfp", angle: str = "phase") -> DataFrame:
+    """Of every record and state that occurs: coverage, first and second moments of its indicator over all samples, resultant, angle, and the moments of GFP over its own samples."""
+    total = phased.groupBy(rec).agg(F.count(F.lit(1)).alias("n_phase_samples"))
+    sums = phased.groupBy(rec, state).agg(
+        F.count(F.lit(1)).alias("m"), *[F.sum(f(F.lit(k) * F.col(angle))).alias(f"{name}{k}") for k in (1, 2) for name, f in (("cos", F.cos), ("sin", F.sin))],
+        F.avg(F.col(gfp) * F.cos(angle)).alias("gfp_cos1"), F.avg(F.col(gfp) * F.sin(angle)).alias("gfp_sin1"),
+    )
+    met = sums.join(total, rec)
+    n, mean = F.col("n_phase_samples"), F.atan2("sin1", "cos1")
+    return met.select(
+        rec, state, "n_phase_samples", F.round(F.col("m") / n, 6).alias("coverage"), *[F.round(F.col(c) / n, 6).alias(c) for c in ("cos1", "sin1", "cos2", "sin2")],
+        F.round(F.hypot("cos1", "sin1") / n, 6).alias("resultant"), F.round(F.when(mean < 0, mean + 2 * math.pi).otherwise(mean), 5).alias("mean_phase"), F.round("gfp_cos1", 5).alias("gfp_cos1"), F.round("gfp_sin1", 5).alias("gfp_sin1"),
+    )
+
+
 def fill_from_peaks(df: DataFrame, is_peak: Column, rec: str = "rec", state: str = "state", order: tuple[str, ...] = ORDER) -> DataFrame:
     """``filled``: the state of the nearest peak by position; from the midpoint on, that of the next one."""
-    w = _over(rec, order)
-    placed = df.withColumn("pos", F.row_number().over(w)).withColumn("mark", F.when(is_peak, F.struct("pos", state)))
-    left = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = placed.withColumn("l", left).withColumn("r", right)
-    to_left = F.col("r").isNull() | (F.col("l").isNotNull() & (F.col("pos") <= F.floor((F.col("l.pos") + F.col("r.pos")) / 2)))
-    return both.withColumn("filled", F.when(to_left, F.col(f"l.{state}")).otherwise(F.col(f"r.{state}"))).drop("l", "r", "mark")
+    placed = df.withColumn("_pos", F.row_number().over(_over(rec, order))).withColumn("_mark", F.when(is_peak, F.struct("_pos", state)))
+    both = placed.withColumn("_l", last_seen(F.col("_mark"), rec, order)).withColumn("_n", next_seen(F.col("_mark"), rec, order))
+    to_left = F.col("_n").isNull() | (F.col("_l").isNotNull() & (F.col("_pos") <= F.floor((F.col("_l._pos") + F.col("_n._pos")) / 2)))
+    return both.withColumn("filled", F.when(to_left, F.col(f"_l.{state}")).otherwise(F.col(f"_n.{state}"))).drop("_pos", "_mark", "_l", "_n")
+
+
+def backfit_metrics(weights: DataFrame, rate: float, keys: list[str], order: list[str], state: str = "state") -> DataFrame:
+    """Of each key and state: occupancy (mean weight), percentage of samples assigned, GFP weighted by it, occurrences, and their rate.
+
+    ``weights`` has a row for each sample and state: keys, order, state, w, gfp and
+    ``assigned``, whether the state is the sample's own. Null weights are 0. A
+    state without weight has null metrics.
+    """
+    w = F.coalesce("w", F.lit(0.0))
+    before = F.lag("assigned").over(Window.partitionBy(*keys, state).orderBy(*order))
+    marked = weights.withColumn("_entry", F.col("assigned") & ~F.coalesce(before, F.lit(False)))
+    sums = marked.groupBy(*keys, state).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(w).alias("_w"), F.sum(w * F.col("gfp")).alias("_g"), F.avg(F.col("assigned").cast("double")).alias("_a"), F.sum(F.col("_entry").cast("long")).alias("_e"))
+    there = F.col("_w") > 2.220446049250313e-16
+    seconds = F.col("n_samples") / rate
+    return sums.select(
+        *keys, state, "n_samples", F.when(there, F.col("_w") / F.col("n_samples")).alias("occupancy"), F.when(there, 100 * F.col("_a")).alias("percentage_present"),
+        F.when(there, F.try_divide(F.col("_g"), F.col("_w"))).alias("mean_gfp"), F.when(there, F.col("_e")).alias("occurrences"), F.when(there, F.col("_e") / seconds).alias("rate_hz"),
+    )
+
+
+def joint_entropy(rows: DataFrame, by: list[str], weights: str) -> DataFrame:
+    """entropy_bits: the differential entropy of a group's rows of weights, each summing to one, by three to five equal bins a dimension; null for fewer than 16 rows."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    bins = F.least(F.lit(5), F.greatest(F.lit(3), F.round(F.pow(F.col("_n").cast("double"), 1.0 / F.greatest(F.size(weights) + 1, F.lit(2)))).cast("int")))
+    binned = rows.withColumn("_n", n).withColumn("_b", bins).withColumn("_cell", F.transform(weights, lambda x: F.least(F.floor(F.greatest(x, F.lit(0.0)) * F.col("_b")), F.col("_b") - 1).cast("int")))
+    counts = binned.groupBy(*by, "_n", "_b", F.size(weights).alias("_d"), "_cell").agg(F.count(F.lit(1)).alias("c"))
+    h = F.log2(F.first("_n").cast("double")) - F.sum(F.col("c") * F.log2(F.col("c").cast("double"))) / F.first("_n") - F.first("_d") * F.log2(F.first("_b").cast("double"))
+    return counts.groupBy(*by).agg(F.first("_n").alias("n"), F.when(F.first("_n") >= 16, h).alias("entropy_bits"))
+
+
+def binned_information(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """n, mi_bits, nmi of two quantities of a group, each scaled to [0, 1], by 6 to 16 equal bins; null for fewer than 16 rows or a constant quantity."""
+    w = Window.partitionBy(*by)
+    scaled = rows.withColumn("_n", F.count(F.lit(1)).over(w))
+    for name, c in (("_x", a), ("_y", b)):
+        low, high = F.min(c).over(w), F.max(c).over(w)
+        scaled = scaled.withColumn(name, F.when(high > low, (F.col(c) - low) / (high - low)))
+    bins = F.least(F.lit(16), F.greatest(F.lit(6), F.round(F.sqrt(F.col("_n").cast("double")) / 2).cast("int")))
+    cell = lambda c: F.least(F.floor(F.col(c) * F.col("_b")), F.col("_b") - 1).cast("int").alias(c)
+    counts = scaled.withColumn("_b", bins).groupBy(*by, "_n", cell("_x"), cell("_y")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("_p", F.col("c") / F.col("_n")).withColumn("_px", F.sum("c").over(Window.partitionBy(*by, "_x")) / F.col("_n")).withColumn("_py", F.sum("c").over(Window.partitionBy(*by, "_y")) / F.col("_n"))
+    # a marginal's entropy is the mean of -log2 of it over the joint
+    sums = counts.groupBy(*by).agg(F.first("_n").alias("n"), F.sum(F.col("_p") * F.log2(F.col("_p") / (F.col("_px") * F.col("_py")))).alias("mi"), F.sum(-F.col("_p") * F.log2("_px")).alias("hx"), F.sum(-F.col("_p") * F.log2("_py")).alias("hy"), F.count_if(F.col("_x").isNull() | F.col("_y").isNull()).alias("_flat"))
+    good = (F.col("n") >= 16) & (F.col("_flat") == 0)
+    return sums.select(*by, "n", F.when(good, F.col("mi")).alias("mi_bits"), F.when(good, F.col("mi") / F.greatest(F.sqrt(F.col("hx") * F.col("hy")), F.lit(2.220446049250313e-16))).alias("nmi"))
+
+
+def upper_outliers(df: DataFrame, by: list[str], value: str, multiplier: float = 3.0, share: float = 0.995, least: int = 5) -> DataFrame:
+    """Adds ``threshold`` and ``keep``: values up to median + multiplier * 1.4826 * MAD, or, where the MAD is 0, up to the quantile ``share``.
+
+    A group with fewer than max(5, ``least``) values, or one that would keep fewer than ``least``, keeps all.
+    """
+    medians = df.groupBy(*by).agg(F.median(value).alias("_m"), F.percentile(value, F.lit(share)).alias("_q"), F.count(value).alias("_n"))
+    dev = df.join(medians, by)
+    mads = dev.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"))
+    dev = dev.join(mads, by).withColumn("threshold", F.when(F.col("_n") >= max(5, least), F.when(F.col("_mad") > 2.220446049250313e-16, F.col("_m") + multiplier * 1.4826 * F.col("_mad")).otherwise(F.col("_q"))))
+    below = F.coalesce(F.col(value) <= F.col("threshold"), F.lit(True))
+    kept = F.sum(below.cast("long")).over(Window.partitionBy(*by))
+    return dev.withColumn("keep", below | (kept < least)).drop("_m", "_q", "_n", "_mad")
+
+
+def axis_dynamics(samples: DataFrame, centres: DataFrame, rate: float, least: int = 2, rec: str = "rec", order: str = "pos", map_: str = "map", state: str = "k") -> DataFrame:
+    """How the samples of each record and state move about the state's axis: projections, angles, energy, principal components of the residual and its precession.
+
+    A record's samples (rec, pos, map, k) go through one Python call, as singular
+    vectors and phases need them together. Centres (k, centre) are a model's states.
+    """
+    axes = {r["k"]: np.asarray(r["centre"], float) for r in centres.collect()}  # a model has some tens of states at most
+    if len(axes) > 1000:
+        raise ValueError("too many states for one model")
+    metrics = "projection_rms projection_sd projection_mean_abs zero_crossing_hz energy_fraction pc1_pct pc2_pct pc1_axis_corr angle_mean_deg angle_sd_deg angle_median_deg perpendicular_fraction residual_pc1_pct residual_pc2_pct phase_resultant precession_deg_s precession_abs_deg_s precession_median_deg_s abs_cycles_s net_cycles_s directionality positive_fraction negative_fraction".split()
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(axis=-1, keepdims=True)
+        n = np.linalg.norm(x, axis=-1, keepdims=True)
+        return x / np.where(n <= 1e-12, 1.0, n)
+
+    def components(x: np.ndarray, axis: np.ndarray) -> tuple[float, float, float, np.ndarray | None]:
+        if len(x) < 2:
+            return math.nan, math.nan, math.nan, None
+        _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        latent = s**2 / (len(x) - 1)
+        if latent.sum() <= 1e-15:
+            return math.nan, math.nan, math.nan, None
+        return 100 * latent[0] / latent.sum(), 100 * latent[1] / latent.sum() if len(latent) > 1 else math.nan, abs(v[0] @ axis), v.T
+
+    def of_record(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        raw, labels = np.stack(pdf[map_].to_numpy()).astype(float), pdf[state].to_numpy()
+        unit, out = normal(raw), []
+        for k in sorted(axes):
+            axis, on = normal(axes[k]), labels == k
+            at = np.flatnonzero(on)
+            row = dict.fromkeys(metrics, math.nan)
+            if len(at) >= max(2, least):
+                seconds, next_to = len(at) / rate, np.diff(at) == 1
+                signal, proj = raw @ axis, np.clip(unit @ axis, -1, 1)
+                a, b = signal[at[:-1]], signal[at[1:]]
+                angles = np.degrees(np.arccos(np.abs(proj[on])))
+                row.update(projection_rms=np.sqrt((signal[on] ** 2).mean()), projection_sd=signal[on].std(ddof=1), projection_mean_abs=np.abs(signal[on]).mean(), zero_crossing_hz=((a * b < 0) & next_to).sum() / seconds, energy_fraction=(proj[on] ** 2).mean(), angle_mean_deg=angles.mean(), angle_sd_deg=angles.std(ddof=1), angle_median_deg=np.median(angles), perpendicular_fraction=(1 - proj[on] ** 2).mean())
+                row["pc1_pct"], row["pc2_pct"], row["pc1_axis_corr"], _ = components(unit[on], axis)
+                rest = unit * np.where(proj < 0, -1.0, 1.0)[:, None] - np.abs(proj)[:, None] * axis
+                row["residual_pc1_pct"], row["residual_pc2_pct"], _, basis = components(rest[on], axis)
+                if basis is not None and basis.shape[1] >= 2:
+                    phase_ = np.arctan2(rest @ basis[:, 1], rest @ basis[:, 0])
+                    row["phase_resultant"] = abs(np.exp(1j * phase_[on]).mean())
+                    turn = np.angle(np.exp(1j * (phase_[at[1:]] - phase_[at[:-1]])))[next_to]
+                    if len(turn):
+                        deg = rate * 180 / np.pi
+                        row.update(precession_deg_s=turn.mean() * deg, precession_abs_deg_s=np.abs(turn).mean() * deg, precession_median_deg_s=np.median(np.abs(turn)) * deg, abs_cycles_s=np.abs(turn).sum() / (2 * np.pi) / seconds, net_cycles_s=turn.sum() / (2 * np.pi) / seconds, directionality=abs(turn.sum()) / max(np.abs(turn).sum(), 1e-15), positive_fraction=(turn > 0).mean(), negative_fraction=(turn < 0).mean())
+            starts = len(at) and 1 + int((np.diff(at) > 1).sum())
+            out.append({rec: pdf[rec].iloc[0], state: k, "n_samples": len(pdf), "n_active": len(at), "active_fraction": len(at) / len(pdf), "n_runs": starts, **row})
+        return pd.DataFrame(out)
+
+    kinds = f"{rec} {samples.schema[rec].dataType.simpleString()}, {state} {samples.schema[state].dataType.simpleString()}, n_samples long, n_active long, active_fraction double, n_runs long, " + ", ".join(f"{m} double" for m in metrics)
+    return samples.select(rec, order, map_, state).groupBy(rec).applyInPandas(of_record, kinds)
 
 
 def adjacent_clusters(df: DataFrame, flag: Column, by: list[str], at: str, effect: str) -> DataFrame:

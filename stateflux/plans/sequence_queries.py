@@ -52,7 +52,7 @@ x AS (SELECT a.rec, a.state AS state_i, b.state AS state_j, a.p AS pi, b.p AS pj
 y AS (SELECT *, CASE WHEN pi * (1 - pj) > 0 THEN pi * log2(pi / (pi * (1 - pj))) ELSE 0 END + CASE WHEN pj * (1 - pi) > 0 THEN pj * log2(pj / (pj * (1 - pi))) ELSE 0 END
  + CASE WHEN z > 1e-9 THEN z * log2(z / greatest((1 - pi) * (1 - pj), 1e-12)) ELSE 0 END AS mi,
  -(pi * log2(pi) + CASE WHEN 1 - pi > 1e-12 THEN (1 - pi) * log2(1 - pi) ELSE 0 END) AS hi, -(pj * log2(pj) + CASE WHEN 1 - pj > 1e-12 THEN (1 - pj) * log2(1 - pj) ELSE 0 END) AS hj FROM x)
-SELECT rec, state_i, state_j, round(mi, 6) AS mi_bits, round(mi / nullif(least(hi, hj), 0), 6) AS nmi FROM y""")
+SELECT rec, state_i, state_j, round(mi, 6) AS mi_bits, round(mi / greatest(sqrt(hi * hj), 2.220446049250313e-16), 6) AS nmi FROM y""")
 def g6_pairwise_information(spark, d):
     return S.pairwise_information(sequence(spark, d))
 
@@ -134,12 +134,79 @@ def g14_two_level_means(spark, d):
     return per.groupBy("state").agg(F.count(F.lit(1)).alias("n_records"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.avg("g"), 6).alias("mean_gfp"))
 
 
-@query(f"""WITH {EV}, x AS (SELECT rec, median(gfp) AS med FROM ev GROUP BY rec), y AS (SELECT ev.*, med, abs(gfp - med) AS dev FROM ev JOIN x USING (rec)), z AS (SELECT rec, median(dev) AS mad FROM y GROUP BY rec)
-SELECT y.rec, seq, CASE WHEN mad > 0 THEN dev > 3 * 1.4826 * mad ELSE false END AS outlier FROM y JOIN z ON y.rec = z.rec""")
+@query(f"""WITH {EV}, x AS (SELECT rec, median(gfp) AS med, quantile_cont(gfp, 0.9) AS q, count(*) AS n FROM ev GROUP BY rec), y AS (SELECT ev.*, med, q, n, abs(gfp - med) AS dev FROM ev JOIN x USING (rec)), z AS (SELECT rec, median(dev) AS mad FROM y GROUP BY rec),
+t AS (SELECT y.rec, seq, gfp, CASE WHEN n >= 5 THEN CASE WHEN mad > 2.220446049250313e-16 THEN med + 1.4826 * mad ELSE q END END AS threshold FROM y JOIN z ON y.rec = z.rec)
+SELECT rec, seq, round(threshold, 6) AS threshold, coalesce(gfp <= threshold, true) OR sum(CAST(coalesce(gfp <= threshold, true) AS INTEGER)) OVER (PARTITION BY rec) < 5 AS keep FROM t""")
 def g11_mad_outliers(spark, d):
-    w = F.median
+    out = S.upper_outliers(sequence(spark, d), ["rec"], "gfp", 1.0, 0.9)
+    return out.select("rec", "seq", F.round("threshold", 6).alias("threshold"), "keep")
+
+
+@query(f"""WITH {EV}, r AS (SELECT rec, min(us) AS a FROM ev GROUP BY rec), o AS (SELECT ev.*, row_number() OVER (PARTITION BY rec ORDER BY us, seq) AS pos FROM ev), st AS (SELECT DISTINCT state FROM ev), md AS (SELECT unnest(['hard', 'mixture']) AS mode),
+w AS (SELECT rec, mode, st.state, pos, gfp, CASE WHEN mode = 'hard' THEN CAST(o.state = st.state AS DOUBLE) WHEN o.state = st.state THEN 0.75 WHEN st.state = 'view' AND o.state <> 'view' THEN 0.25 ELSE 0 END AS w, o.state = st.state AS assigned FROM o, st, md),
+e AS (SELECT *, assigned AND NOT coalesce(lag(assigned) OVER (PARTITION BY rec, mode, state ORDER BY pos), false) AS en FROM w), s AS (SELECT rec, mode, state, count(*) AS n_samples, sum(w) AS sw, sum(w * gfp) AS sg, avg(CAST(assigned AS INTEGER)) AS sa, count(*) FILTER (en) AS se FROM e GROUP BY ALL)
+SELECT rec, mode, state, n_samples, CASE WHEN sw > 0 THEN round(sw / n_samples, 6) END AS occupancy, CASE WHEN sw > 0 THEN round(100 * sa, 6) END AS percentage_present, CASE WHEN sw > 0 THEN round(sg / sw, 6) END AS mean_gfp, CASE WHEN sw > 0 THEN se END AS occurrences, CASE WHEN sw > 0 THEN round(se / (n_samples / 250.0), 6) END AS rate_hz FROM s""")
+def g2_backfit_metrics(spark, d):
     ev = sequence(spark, d)
-    med = ev.groupBy("rec").agg(w("gfp").alias("med"))
-    dev = ev.join(med, "rec").withColumn("dev", F.abs(F.col("gfp") - F.col("med")))
-    mad = dev.groupBy("rec").agg(w("dev").alias("mad"))
-    return dev.join(mad, "rec").select("rec", "seq", F.when(F.col("mad") > 0, F.col("dev") > 3 * 1.4826 * F.col("mad")).otherwise(False).alias("outlier"))
+    states, modes = ev.select(F.col("state").alias("k")).distinct(), spark.createDataFrame([("hard",), ("mixture",)], "mode string")
+    rows = ev.crossJoin(F.broadcast(states)).crossJoin(F.broadcast(modes))  # a few states, two modes
+    own = F.col("state") == F.col("k")
+    soft = F.when(own, 0.75).when((F.col("k") == "view") & (F.col("state") != "view"), 0.25).otherwise(0.0)
+    rows = rows.select("rec", "mode", "us", "seq", F.col("k").alias("state"), "gfp", own.alias("assigned"), F.when(F.col("mode") == "hard", own.cast("double")).otherwise(soft).alias("w"))
+    out = S.backfit_metrics(rows, 250.0, ["rec", "mode"], ["us", "seq"])
+    return out.select("rec", "mode", "state", "n_samples", *[F.round(c, 6).alias(c) for c in ("occupancy", "percentage_present", "mean_gfp")], "occurrences", F.round("rate_hz", 6).alias("rate_hz"))
+
+
+@query(f"""WITH {PHASE}, n AS (SELECT rec, count(*) AS n FROM ph GROUP BY rec), s AS (SELECT rec, state, count(*) AS m, sum(cos(phase)) AS c1, sum(sin(phase)) AS s1, sum(cos(2 * phase)) AS c2, sum(sin(2 * phase)) AS s2, avg(gfp * cos(phase)) AS g1, avg(gfp * sin(phase)) AS h1 FROM ph GROUP BY ALL)
+SELECT s.rec, state, n AS n_phase_samples, round(m / n, 6) AS coverage, round(c1 / n, 6) AS cos1, round(s1 / n, 6) AS sin1, round(c2 / n, 6) AS cos2, round(s2 / n, 6) AS sin2, round(sqrt(c1 * c1 + s1 * s1) / n, 6) AS resultant, round(CASE WHEN atan2(s1, c1) < 0 THEN atan2(s1, c1) + 2 * pi() ELSE atan2(s1, c1) END, 5) AS mean_phase, round(g1, 5) AS gfp_cos1, round(h1, 5) AS gfp_sin1 FROM s JOIN n ON s.rec = n.rec""")
+def g9_circular_states(spark, d):
+    return S.circular_states(S.phase(sequence(spark, d), "click"))
+
+
+@query(f"""WITH {PHASE.replace("phase FROM ph0", "phase, r0, r1 FROM ph0")} SELECT rec, r0, round(avg(CASE WHEN state = 'view' THEN 1.0 ELSE 0 END) FILTER (us - r0 >= 36000000000 AND us - r0 < 720000000000), 6) AS early, round(avg(CASE WHEN state = 'view' THEN 1.0 ELSE 0 END) FILTER (NOT (us - r0 >= 36000000000 AND us - r0 < 720000000000)), 6) AS late FROM ph GROUP BY rec, r0""")
+def j10_period_shares(spark, d):
+    out = S.period_shares(S.phase(sequence(spark, d), "click"), "view", (36_000.0, 720_000.0))
+    return out.select("rec", "r0", F.round("early", 6).alias("early"), F.round("late", 6).alias("late"))
+
+
+@query(f"""WITH {EV}, b AS (SELECT *, CASE WHEN state = 'click' THEN us END AS mk FROM ev WHERE state IN ('click', 'purchase')),
+n AS (SELECT *, last_value(mk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS l, first_value(mk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM b),
+h AS (SELECT *, CASE WHEN r IS NULL OR us - l <= r - us THEN l ELSE r END AS hit_us FROM n WHERE state = 'purchase'), k AS (SELECT *, row_number() OVER (PARTITION BY rec, hit_us ORDER BY abs(us - hit_us), us, seq) AS q FROM h WHERE abs(us - hit_us) <= 864000000000) SELECT rec, seq, us, hit_us, round((us - hit_us) / 1e6, 6) AS delay_s FROM k WHERE q = 1""")
+def j9_best_event(spark, d):
+    return S.nearest(sequence(spark, d), "purchase", "click", 864_000, best=True).withColumn("delay_s", F.round("delay_s", 6))
+
+
+@query(f"""WITH {EV}, c AS (SELECT rec, seq, us, round((us - lag(us) OVER w) / 1e6, 6) AS rr_prev, round((lead(us) OVER w - us) / 1e6, 6) AS rr_next FROM ev WHERE state = 'click' WINDOW w AS (PARTITION BY rec ORDER BY us, seq)) SELECT rec, seq, rr_prev, rr_next FROM c WHERE rr_prev BETWEEN 3600 AND 864000 AND rr_next BETWEEN 3600 AND 864000""")
+def w14_plausible_beats(spark, d):
+    out = S.beats(sequence(spark, d), "click", limits_s=(3600.0, 864_000.0))
+    return out.select("rec", "seq", F.round("rr_prev", 6).alias("rr_prev"), F.round("rr_next", 6).alias("rr_next"))
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, lag(gfp) OVER w AS l, lead(gfp) OVER w AS r FROM ev WINDOW w AS (PARTITION BY rec ORDER BY us, seq)), f AS (SELECT rec, quantile_cont(gfp, 0.9) AS a, quantile_cont(gfp, 0.6) AS b, quantile_cont(gfp, 0.2) AS c FROM ev GROUP BY rec), t AS (SELECT x.*, a, b, c FROM x JOIN f ON x.rec = f.rec WHERE gfp > l AND gfp >= r),
+n AS (SELECT rec, count(*) FILTER (gfp >= a) AS na, count(*) FILTER (gfp >= b) AS nb, count(*) FILTER (gfp >= c) AS nc FROM t GROUP BY rec) SELECT t.rec, seq, gfp FROM t JOIN n ON t.rec = n.rec WHERE gfp >= CASE WHEN na >= 6 THEN a WHEN nb >= 6 THEN b WHEN nc >= 6 THEN c WHEN nc > 0 THEN c WHEN nb > 0 THEN b ELSE a END""")
+def w1_peak_schedule(spark, d):
+    return S.local_maxima(sequence(spark, d), [0.9, 0.6, 0.2], 6).select("rec", "seq", "gfp")
+
+
+@query(f"""WITH {EV}, i0 AS (SELECT rec, us AS a, us + 360000000000 AS b, seq FROM ev WHERE state = 'click'), i1 AS (SELECT *, CASE WHEN max(b) OVER p IS NULL OR a > max(b) OVER p THEN 1 ELSE 0 END AS nw FROM i0 WINDOW p AS (PARTITION BY rec ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i2 AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM i1), iv AS (SELECT rec, g, min(a) AS a, max(b) AS b FROM i2 GROUP BY rec, g) SELECT ev.rec, seq, row_number() OVER (PARTITION BY ev.rec ORDER BY us, seq) - 1 AS pos FROM ev JOIN iv ON ev.rec = iv.rec AND us BETWEEN a AND b""")
+def s16_cropped_intervals(spark, d):
+    ev = sequence(spark, d)
+    spans = ev.where("state = 'click'").select("rec", F.col("us").alias("start_us"), (F.col("us") + 360_000_000_000).alias("stop_us"))
+    return S.cropped(ev, S.merged_intervals(spans, 0)).select("rec", "seq", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT rec, us, (us - lag(us) OVER (PARTITION BY rec ORDER BY us)) / 1e6 AS gap FROM ev WHERE state = 'click'), m AS (SELECT rec, count(*) AS n, median(gap) AS md FROM g GROUP BY rec) SELECT rec, n, round(md, 6) AS median_s FROM m WHERE n >= 5 AND md BETWEEN 10000 AND 200000""")
+def s17_plausible_trains(spark, d):
+    return S.plausible_trains(sequence(spark, d).where("state = 'click'"), 10_000.0, 200_000.0).withColumn("median_s", F.round("median_s", 6))
+
+
+@query(f"""WITH {EV}, x AS (SELECT rec, seq, CASE WHEN rec % 2 = 0 THEN 'intero' ELSE 'feedback' END AS cond, CASE WHEN rec % 3 = 0 THEN 'code 10' || (seq % 8) ELSE 'HBT_' || substr('abcd', CAST(seq % 4 + 1 AS INTEGER), 1) || (seq % 3) END AS dsc FROM ev), m(cond, mk, pf) AS (VALUES ('intero', 'HBT_b1', true), ('intero', 'HBT_b2', true), ('feedback', 'HBT_c', true), ('intero', '103', false), ('intero', '104', false), ('feedback', '105', false)),
+j AS (SELECT rec, seq, cond, dsc, pf FROM x JOIN m USING (cond) WHERE contains(dsc, mk)), b AS (SELECT rec, max(CAST(pf AS INTEGER)) AS p FROM j GROUP BY rec) SELECT DISTINCT j.rec, seq, cond AS condition, dsc AS description FROM j JOIN b ON j.rec = b.rec AND CAST(pf AS INTEGER) = p""")
+def s18_marker_events(spark, d):
+    ev, seq = sequence(spark, d), F.col("seq")
+    code = F.concat(F.lit("code 10"), (seq % 8).cast("string"))
+    tap = F.concat(F.lit("HBT_"), F.substring(F.lit("abcd"), (seq % 4 + 1).cast("int"), F.lit(1)), (seq % 3).cast("string"))
+    rows = ev.select("rec", "seq", F.when(F.col("rec") % 2 == 0, "intero").otherwise("feedback").alias("condition"), F.when(F.col("rec") % 3 == 0, code).otherwise(tap).alias("description"))
+    markers = [("intero", "HBT_b1", True), ("intero", "HBT_b2", True), ("feedback", "HBT_c", True), ("intero", "103", False), ("intero", "104", False), ("feedback", "105", False)]
+    return S.marker_events(rows, spark.createDataFrame(markers, "condition string, marker string, preferred boolean"))

@@ -35,35 +35,6 @@ def p1_path_identifiers(spark, d):
     return table(spark, d, "pages").select("page_id", X.participant(F.col("url"), F.col("page_id")).alias("participant"), X.identifier(F.col("url")).alias("ident"), condition.alias("condition"))
 
 
-@query(r"""SELECT s_suppkey, regexp_replace(regexp_replace(regexp_replace(lower('EEG ' || s_name), '^(eeg|channel|chan)', ''), '[^a-z0-9]', '', 'g'), '^0+([0-9])', '\1') AS channel, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS token,
- regexp_replace(regexp_replace(upper('ms_' || s_name), '^(MICROSTATE|STATE|MS)', ''), '[^A-Z0-9]', '', 'g') AS state FROM supplier""")
-def p4_labels_and_tokens(spark, d):
-    s = table(spark, d, "supplier")
-    return s.select("s_suppkey", X.channel(F.concat(F.lit("EEG "), "s_name")).alias("channel"), X.token(F.col("s_name")).alias("token"), X.state_name(F.concat(F.lit("ms_"), "s_name")).alias("state"))
-
-
-@query(r"""SELECT o_orderkey, TRY_CAST(replace(regexp_replace(trim('> ' || o_orderpriority), '^[<>=~ ]+', ''), ',', '') AS DOUBLE) AS bad, TRY_CAST(replace(regexp_replace('>1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), '^[<>=~ ]+', ''), ',', '') AS DOUBLE) AS num,
- (o_orderkey % 50 + o_orderkey % 50 + 5) / 2.0 AS mid, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE o_orderstatus END AS status FROM orders""")
-def p8_tolerant_numbers(spark, d):
-    k = F.col("o_orderkey")
-    low = (k % 50).cast("string")
-    return table(spark, d, "orders").select(
-        "o_orderkey", X.number(F.concat(F.lit("> "), "o_orderpriority")).alias("bad"), X.number(F.concat(F.lit(">1,"), F.lpad((k % 1000).cast("string"), 3, "0"))).alias("num"),
-        X.age_midpoint(F.concat(low, F.lit("-"), (k % 50 + 5).cast("string"))).alias("mid"), X.filled(F.when(k % 7 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")), "unknown").alias("status"),
-    )
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
-def s10_json_states(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
-@query("""SELECT c_custkey, CASE WHEN c_custkey BETWEEN 0 AND 99 THEN 'study1' WHEN c_custkey BETWEEN 100 AND 999 THEN 'study2' ELSE 'study3' END AS study, upper(left(c_mktsegment, 3)) AS grp FROM customer""")
-def p7_ranges_to_groups(spark, d):
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", F.when(k.between(0, 99), "study1").when(k.between(100, 999), "study2").otherwise("study3").alias("study"), F.upper(F.left("c_mktsegment", F.lit(3))).alias("grp"))
-
-
 # -- scaling, ranks, adjustment
 
 
@@ -73,12 +44,6 @@ def p17_standardise(spark, d):
     return T.standardised(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal").select("c_custkey", F.round("z", 6).alias("z"), F.round("unit", 6).alias("unit"))
 
 
-@query("""WITH x AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
-SELECT c_mktsegment, c_custkey FROM x WHERE n <= 20 OR r = 1 OR floor((r - 1) * 19 / (n - 1)) <> floor((r - 2) * 19 / (n - 1))""")
-def p19_even_sample(spark, d):
-    return T.spread_sample(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey", 20).select("c_mktsegment", "c_custkey")
-
-
 @query("SELECT c_custkey, rank() OVER w + (count(*) OVER (PARTITION BY c_mktsegment, round(c_acctbal, -3)) - 1) / 2.0 AS avg_rank FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3))")
 def w10_average_ranks(spark, d):
     c = table(spark, d, "customer").withColumn("v", F.round("c_acctbal", -3))
@@ -118,19 +83,6 @@ def w18_first_rows(spark, d):
 # -- joins
 
 
-@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-def j1_manifest_join(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
-
-
-@query("""WITH g AS (SELECT l_suppkey AS k, year(l_shipdate) AS y, l_returnflag AS f, max(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS a, max(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS b FROM lineitem GROUP BY ALL)
-SELECT k, y, f, a, b, round(b - a, 6) AS diff FROM g WHERE a IS NOT NULL AND b IS NOT NULL""")
-def j3_paired_methods(spark, d):
-    x = _line(spark, d).select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").cast("long").alias("y"), F.col("l_returnflag").alias("f"), "l_linestatus", "l_extendedprice")
-    return T.paired(x, ["k", "y", "f"], "l_linestatus", "F", "O", "l_extendedprice").withColumn("diff", F.round("diff", 6))
-
-
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def j4_intersection(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
@@ -156,11 +108,6 @@ def j17_spec_build(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderstatus").distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def o3_difference(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("SELECT c_custkey AS k, c_acctbal AS bal, NULL AS nat FROM customer UNION ALL SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier")
 def o1_stacked(spark, d):
     return T.stacked([table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nat"))])
@@ -180,12 +127,6 @@ def g13_descriptives(spark, d):
     return T.described(_line(spark, d), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
-@query("""SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS hits, count(*) FILTER (o_orderstatus <> 'F') AS misses, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS hit_rate, round(avg(o_totalprice), 6) AS mean_price, round(stddev_samp(o_totalprice), 6) AS sd_price FROM orders GROUP BY o_custkey""")
-def g12_hit_rates(spark, d):
-    hit = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"), F.round(F.stddev_samp("o_totalprice"), 6).alias("sd_price"))
-
-
 @query("""WITH x AS (SELECT l_linestatus AS method, l_returnflag AS criterion, CAST(l_linenumber AS INTEGER) AS k_true, CAST(l_quantity AS INTEGER) % 7 + 1 AS k_est FROM lineitem)
 SELECT method, criterion, count(*) AS n, round(avg(CASE WHEN k_est = k_true THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(abs(k_est - k_true)), 6) AS k_abs_error, round(avg(k_est - k_true), 6) AS k_signed_error, round(stddev_samp(k_est - k_true), 6) AS sd, round(avg(CASE WHEN k_est > k_true THEN 1.0 ELSE 0 END), 6) AS over_rate FROM x GROUP BY ALL""")
 def g15_k_accuracy(spark, d):
@@ -237,12 +178,6 @@ def g29_design_crosstab(spark, d):
     return _line(spark, d).groupBy(F.year("l_shipdate").cast("long").alias("y")).pivot("l_linestatus", ["F", "O"]).count().select("y", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
 
 
-@query("SELECT o_custkey, round(var_samp(o_totalprice), 0) AS variance, round(ln(var_samp(o_totalprice)), 6) AS log_variance FROM orders GROUP BY o_custkey HAVING count(*) >= 3 AND var_samp(o_totalprice) > 0")
-def g30_latency_variance(spark, d):
-    v = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.var_samp("o_totalprice").alias("v")).where("n >= 3 and v > 0")
-    return v.select("o_custkey", F.round("v", 0).alias("variance"), F.round(F.ln("v"), 6).alias("log_variance"))
-
-
 @query("""WITH e AS (SELECT l_returnflag AS curve, l_suppkey AS unit, avg(l_quantity) AS y, var_samp(l_quantity) / count(*) AS v FROM lineitem GROUP BY ALL HAVING count(*) > 2 AND var_samp(l_quantity) > 0), a AS (SELECT curve, sum(1 / v) AS s0, sum(y / v) / sum(1 / v) AS m, sum(1 / v / v) AS s2, count(*) AS k FROM e GROUP BY curve),
 q AS (SELECT e.curve, sum((y - m) * (y - m) / v) AS q FROM e JOIN a USING (curve) GROUP BY e.curve), t AS (SELECT a.curve, greatest(0, coalesce((q - (k - 1)) / nullif(s0 - s2 / s0, 0), 0)) AS tau2 FROM a JOIN q USING (curve)), m2 AS (SELECT curve, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS m2 FROM e JOIN t USING (curve) GROUP BY curve)
 SELECT curve, unit, round(tau2, 6) AS tau2, round(tau2 / (tau2 + v) * y + (1 - tau2 / (tau2 + v)) * m2, 6) AS shrunk FROM e JOIN t USING (curve) JOIN m2 USING (curve)""")
@@ -266,25 +201,6 @@ def _curve(spark, d):
     return _line(spark, d).groupBy(F.col("l_returnflag").alias("fit"), F.col("l_linenumber").alias("k")).agg((F.avg("l_discount") * F.first("l_linenumber")).alias("score"))
 
 
-@query(f"""WITH {CURVE}, e AS (SELECT *, first_value(k) OVER w AS x0, last_value(k) OVER w AS x1, first_value(score) OVER w AS y0, last_value(score) OVER w AS y1 FROM c WINDOW w AS (PARTITION BY fit ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT fit, k, round(abs((score - y0) / (y1 - y0) - (k - x0) / (x1 - x0)) / sqrt(2), 6) AS elbow FROM e""")
-def w11_elbow(spark, d):
-    return T.elbow(_curve(spark, d), ["fit"], "k", "score").select("fit", "k", F.round("elbow", 6).alias("elbow"))
-
-
-@query(f"""WITH {CURVE}, e AS (SELECT *, min(k) OVER (PARTITION BY fit) AS a, max(k) OVER (PARTITION BY fit) AS b, count(*) OVER (PARTITION BY fit) AS n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, k) AS r FROM e WHERE n <= 4 OR (k <> a AND k <> b))
-SELECT fit, k, round(score, 6) AS score FROM r WHERE r = 1""")
-def w12_select_k(spark, d):
-    return T.selected(_curve(spark, d), ["fit"], "k", "score", exclude_edges=True).select("fit", "k", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {CURVE}, e AS (SELECT *, min(score) OVER (PARTITION BY fit) AS lo, max(score) OVER (PARTITION BY fit) AS hi, row_number() OVER (PARTITION BY fit ORDER BY score DESC, k) AS r FROM c) SELECT fit, k, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) AS score_norm, r = 1 AS selected FROM e""")
-def w13_candidates(spark, d):
-    c = T.standardised(_curve(spark, d), ["fit"], "score")
-    best = F.row_number().over(Window.partitionBy("fit").orderBy(F.col("score").desc(), "k")) == 1
-    return c.select("fit", "k", F.round("unit", 6).alias("score_norm"), best.alias("selected"))
-
-
 @query("SELECT l_returnflag AS criterion, round(avg(l_discount), 9) AS score FROM lineitem GROUP BY ALL ORDER BY score DESC, criterion LIMIT 1")
 def w19_best_criterion(spark, d):
     means = _line(spark, d).groupBy(F.col("l_returnflag").alias("criterion")).agg(F.round(F.avg("l_discount"), 9).alias("score"))
@@ -294,13 +210,6 @@ def w19_best_criterion(spark, d):
 # -- vectors
 
 
-@query(f"""WITH {MAPS}, c AS (SELECT id, list_transform(map, lambda x: x - list_avg(map)) AS c FROM mp), n AS (SELECT id, c, sqrt({DOT.format('c', 'c')}) AS s FROM c)
-SELECT id, round(s / 8, 6) AS gfp_rms, round(s / sqrt(63), 6) AS gfp_sd, round(c[1], 6) AS avg_ref, round(c[1] / s, 6) AS unit_first, round(c[1] / (s / 8), 6) AS rms_first FROM n""")
-def a1_normalised_maps(spark, d):
-    m = F.col("map")
-    return maps(spark, d).select("id", F.round(A.gfp_rms(m), 6).alias("gfp_rms"), F.round(A.gfp_sd(m), 6).alias("gfp_sd"), F.round(A.centred(m)[0], 6).alias("avg_ref"), F.round(A.unit(m)[0], 6).alias("unit_first"), F.round(A.unit_rms(m)[0], 6).alias("rms_first"))
-
-
 @query(f"WITH {SCORES} SELECT id, k, round(corr, 6) AS corr FROM asg")
 def a12_polarity_invariant_assignment(spark, d):
     return A.assigned(maps(spark, d), _centres(spark, d)).select("id", "k", F.round("corr", 6).alias("corr"))
@@ -317,25 +226,6 @@ def g21_centroid_silhouette(spark, d):
     return A.centroid_silhouette(maps(spark, d), _centres(spark, d)).withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query(f"WITH {MAPS} SELECT id, len(map) * (len(map) + 1) // 2 AS dims, round(map[1] * map[1], 6) AS first, round(sqrt(2) * map[1] * map[2], 6) AS second, round(map[-1] * map[-1], 6) AS last FROM mp")
-def a14_outer_products(spark, d):
-    o = maps(spark, d).select("id", A.outer(F.col("map")).alias("o"))
-    return o.select("id", F.size("o").cast("long").alias("dims"), F.round(F.col("o")[0], 6).alias("first"), F.round(F.col("o")[1], 6).alias("second"), F.round(F.element_at("o", -1), 6).alias("last"))
-
-
-@query(f"WITH {MAPS}, r AS (SELECT map AS ref FROM mp WHERE id = 0), x AS (SELECT id, map, {DOT.format('map', 'ref')} AS dp FROM mp, r) SELECT id, round(CASE WHEN dp < 0 THEN -map[1] ELSE map[1] END, 6) AS first, round(abs(dp), 6) AS dot FROM x")
-def a19_sign_alignment(spark, d):
-    ref = maps(spark, d).where("id = 0").select(F.col("map").alias("ref"))
-    x = maps(spark, d).crossJoin(F.broadcast(ref)).select("id", A.aligned(F.col("map"), F.col("ref")).alias("v"), "ref")  # the reference is one row
-    return x.select("id", F.round(F.col("v")[0], 6).alias("first"), F.round(A.dot(F.col("v"), F.col("ref")), 6).alias("dot"))
-
-
-@query(f"WITH {MAPS}, p AS (SELECT grp, id, generate_subscripts(map, 1) AS pos, unnest(map) AS x FROM mp), m AS (SELECT grp, pos, sum((id % 3 + 1) * x) / sum(id % 3 + 1) AS m FROM p GROUP BY ALL) SELECT grp, round(sum(m), 6) AS total, round(max(m), 6) AS peak, count(*) AS n FROM m GROUP BY grp")
-def a20_weighted_mean_maps(spark, d):
-    w = A.mean_map(maps(spark, d).withColumn("w", F.col("id") % 3 + 1), ["grp"], weight=F.col("w").cast("double"))
-    return w.select("grp", F.round(A.total(F.col("mean_map")), 6).alias("total"), F.round(F.array_max("mean_map"), 6).alias("peak"), F.size("mean_map").cast("long").alias("n"))
-
-
 @query(f"WITH {MAPS}, p AS (SELECT grp, generate_subscripts(map, 1) AS pos, unnest(map) AS x FROM mp), m AS (SELECT grp, pos, avg(x) AS m FROM p GROUP BY ALL), g AS (SELECT *, m - avg(m) OVER (PARTITION BY pos) AS d FROM m), r AS (SELECT grp, avg(d * d) AS ms FROM g GROUP BY grp) SELECT round(sqrt(avg(ms)), 6) AS statistic, count(*) AS n_levels FROM r")
 def t4_tanova_statistic(spark, d):
     return A.level_statistic(maps(spark, d).select("grp", F.posexplode("map").alias("pos", "x")), "grp")
@@ -355,39 +245,12 @@ def a7_neighbour_weights(spark, d):
 # -- statistics in closed form
 
 
-@query("""WITH x AS (SELECT c_mktsegment AS g, c_acctbal AS v FROM customer), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk, v FROM x), n AS (SELECT count(*) AS n FROM x), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM x GROUP BY v)), s AS (SELECT sum(rs * rs / m) AS s, count(*) AS k FROM (SELECT sum(rk) AS rs, count(*) AS m FROM r GROUP BY g))
-SELECT round((12.0 / (n * (n + 1.0)) * s - 3 * (n + 1)) / (1 - t / (n * (n * n - 1.0))), 6) AS h, k - 1 AS df, round((12.0 / (n * (n + 1.0)) * s - 3 * (n + 1)) / (1 - t / (n * (n * n - 1.0))) / (n - 1.0), 6) AS epsilon2 FROM n, t, s""")
-def t6_kruskal_wallis(spark, d):
-    from stateflux.operators.statistics import kruskal_wallis
-
-    return kruskal_wallis(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
-
-
-@query("""WITH m AS (SELECT l_suppkey AS u, avg(l_quantity) FILTER (l_linestatus = 'F') AS a, avg(l_quantity) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY ALL), s AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, count(a) AS na, count(b) AS nb FROM m)
-SELECT round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d FROM s""")
-def t7_welch(spark, d):
-    from stateflux.operators.statistics import welch
-
-    side = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
-    m = _line(spark, d).groupBy("l_suppkey").agg(side("F").alias("a"), side("O").alias("b"))
-    return welch(m, "a", "b")
-
-
 @query("""SELECT l_returnflag AS feature, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY ALL""")
 def t8_correlation_and_regression(spark, d):
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
     return _line(spark, d).groupBy(F.col("l_returnflag").alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(q, p), 6).alias("pearson"), F.round(F.regr_slope(p, q), 4).alias("slope"), F.round(F.regr_intercept(p, q), 4).alias("intercept"))
 
 
-@query("""WITH x AS (SELECT cos(phase) AS a, sin(phase) AS b FROM (SELECT value / 100.0 AS phase FROM events)), m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM x)
-SELECT n, round(n * (ma * ma * vb - 2 * ma * mb * c + mb * mb * va) / (va * vb - c * c), 4) AS t2, round((n - 2.0) / (2.0 * (n - 1)) * n * (ma * ma * vb - 2 * ma * mb * c + mb * mb * va) / (va * vb - c * c), 4) AS f FROM m""")
-def t10_hotelling(spark, d):
-    from stateflux.operators.statistics import hotelling
-
-    x = sequence(spark, d).select(F.cos(F.col("gfp") / 100.0).alias("a"), F.sin(F.col("gfp") / 100.0).alias("b"))
-    return hotelling(x, "a", "b")
-
-
 @query("""WITH m AS (SELECT o_custkey AS u, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY ALL), x AS (SELECT c_mktsegment AS grp, b - a AS dv FROM m JOIN customer ON u = c_custkey WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT grp, count(*) AS n, round(avg(dv), 4) AS mean_diff, round(avg(dv) / (stddev_samp(dv) / sqrt(count(*))), 6) AS t, round(avg(dv) / stddev_samp(dv), 6) AS cohen_d FROM x GROUP BY grp""")
 def t16_paired_differences(spark, d):
