@@ -19,14 +19,20 @@ QUANTILE, ROOM = 0.002, 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a known language: those without letters, or less like every profile than the texts it was learned from, go."""
+    """Texts of a known language: those without letters, or less like every profile than the texts it was learned from, go.
+
+    Null and empty texts have no letters and go. Rows are judged one by one by
+    their whole texts: repeated ones alike, null ids like others. With no row to
+    learn from, none is known and all go; an empty table stays empty. A language
+    none of whose own texts is taken for it has no limit, and no text is in it.
+    """
     profiles = langid.learned(docs, "text", "lang", ~langid.held_out())
-    judged = written(langid.identified(docs, profiles, "text", [c for c in COLUMNS if c != "text"], carry_text=True), "languages")
-    learned = judged.where(~langid.held_out() & (F.col("lang") == F.col("lang_pred")))
-    limits = learned.groupBy("lang").agg(F.percentile_approx("score", [QUANTILE, 0.5], 100_000).alias("q")).collect()
+    training = langid.identified(docs.where(~langid.held_out() & F.col("lang").isNotNull()), profiles, "text", ["lang"])
+    limits = training.where(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile_approx("score", [QUANTILE, 0.5], 100_000).alias("q")).collect()
     if not limits:
-        return judged.where("false").select(*COLUMNS)
+        return docs.where("false").select(*COLUMNS)
     least = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["q"][0] - ROOM * (r["q"][1] - r["q"][0]))])[F.col("lang_pred")]
+    judged = langid.identified(docs, profiles, "text", [c for c in COLUMNS if c != "text"], carry_text=True)
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
@@ -49,14 +55,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose perplexity is within their language's limits."""
+    """Texts whose perplexity is within their language's limits.
+
+    Null and empty texts have no words and stay; a null language is replaced, for
+    the judgement, by the predicted one. Rows with null or repeated ids are told
+    apart by id, language and text; equal rows are judged alike. An empty table
+    stays empty; without any label of good quality, all rows stay.
+    """
     rows = keyed(docs)
     kept = quality.judged(rows, load(spark, sf_dir, "labels"), row="row").where("keep").select(F.col("doc_id").alias("row")).distinct()
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id, a null one last; of rows that repeat it, one."""
+    """Of equal texts, the row with the smallest doc_id, a null one last; of rows that repeat it, one.
+
+    Which of the rows that have one id and equal texts stays is open where other
+    columns differ. Null texts count as empty and are equal. Long texts are
+    compared whole; an empty table stays empty.
+    """
     # plain columns: the join and the grouping after it then deal rows out alike, once
     own = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
     kept = exact_dedup.exact_dedup(docs).where("kept").select(*own, F.col("text_sha256").alias("sha")).distinct()
@@ -68,6 +85,8 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near copies, the document with the smallest doc_id (five-word shingles, similarity of 0.8).
 
     Rows whose doc_id is null or on several rows come after all others, by a hash.
+    Null and empty texts are near nothing and stay. Rows that are equal in id,
+    language and text count as one and stay together. An empty table stays empty.
     """
     rows = keyed(docs)
     kept = near_dedup.near_duplicates(rows, doc_id="row", width=5, percent=80, n_bands=32, rows=4).where("kept").select(F.col("doc_id").alias("row"))
@@ -75,7 +94,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of 2048-token sequences."""
+    """The pieces of 2048-token sequences; a null or empty text is its end token alone, and an empty table gives no pieces."""
     return packing.pack(docs, *vocabulary(BYTE_BPE), end=1)
 
 
