@@ -90,6 +90,14 @@ def aligned(v: Column, to: Column) -> Column:
     return F.when(dot(v, to) < 0, F.transform(v, lambda x: -x)).otherwise(v)
 
 
+#: States that a model may have: they travel with every row.
+STATES = 1000
+
+
+def _few(states: Column) -> Column:
+    return F.when(F.size(states) <= STATES, states).otherwise(F.raise_error(F.lit(f"a model has at most {STATES} states")))
+
+
 def assigned(maps: DataFrame, centres: DataFrame, id_: str = "id", map_: str = "map") -> DataFrame:
     """Each map with the centre (k, centre) that it is most like, whatever its sign: id, k, corr; ties to the smaller k.
 
@@ -97,7 +105,7 @@ def assigned(maps: DataFrame, centres: DataFrame, id_: str = "id", map_: str = "
     to all tasks; each map looks through them in one expression, with no
     product of rows and no shuffle.
     """
-    few = centres.select(F.struct(F.col("k"), F.col("centre")).alias("c")).groupBy().agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    few = centres.select(F.struct(F.col("k"), F.col("centre")).alias("c")).groupBy().agg(_few(F.array_sort(F.collect_list("c"))).alias("cs"))
     scored = F.transform("cs", lambda c: F.struct(F.abs(dot(F.col(map_), c["centre"])).alias("a"), (-c["k"]).alias("k"), dot(F.col(map_), c["centre"]).alias("corr")))
     best = F.array_max(scored)
     return maps.crossJoin(F.broadcast(few)).withColumn("b", best).drop("cs").withColumn("k", -F.col("b.k")).withColumn("corr", F.col("b.corr")).drop("b")
@@ -122,7 +130,7 @@ def state_shares(labelled: DataFrame, k: int, map_: str = "map") -> DataFrame:
 
 def centroid_silhouette(maps: DataFrame, centres: DataFrame, id_: str = "id", map_: str = "map") -> DataFrame:
     """id, silhouette: from the two nearest centres, with distance 1 - |corr|."""
-    few = centres.groupBy().agg(F.collect_list("centre").alias("cs"))
+    few = centres.groupBy().agg(_few(F.collect_list("centre")).alias("cs"))
     sims = F.reverse(F.array_sort(F.transform("cs", lambda c: F.abs(dot(F.col(map_), c)))))
     two = maps.crossJoin(F.broadcast(few)).withColumn("s", sims)
     a, b = 1 - F.col("s")[0], 1 - F.col("s")[1]

@@ -13,15 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stateflux.functions.text import channel
-
-#: Rows that a table which is broadcast may have: a montage's pairs of channels, states, labels.
-SMALL = 1 << 20
-
-
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``limit`` rows; else as it is, for Spark to choose the join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from stateflux.operators.tables import small
 
 def _distances(sources: DataFrame, targets: DataFrame, id_: str) -> DataFrame:
     other = sources.select(F.col(id_).alias("source"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
@@ -142,3 +134,12 @@ def remap_spec(file_labels: DataFrame, target_labels: DataFrame, source_places:
     missing = target_places.join(direct, target_places[id_] == direct["target"], "left_anti")
     observed = source_places.join(direct.select("source").distinct(), source_places[id_] == F.col("source"), "left_semi")
     return direct.withColumn("weight", F.lit(1.0)).unionByName(inverse_distance(observed, missing, k, id_))
+
+
+def backfilled(channels: DataFrame, reference: DataFrame, label: str = "label") -> DataFrame:
+    """Channels with the places of a reference montage, by canonical label, where they have none; ``source`` says whose they are."""
+    places = reference.groupBy(channel(F.col(label)).alias("_name")).agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in "xyz"])
+    met = channels.withColumn("_name", channel(F.col(label))).join(places, "_name", "left")
+    own = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    out = met.withColumn("source", F.when(own, "own").when(F.col("_x").isNotNull(), "reference"))
+    return out.select(*[c for c in channels.columns if c not in "xyz"], *[F.when(F.col("source") == "reference", F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"], "source")

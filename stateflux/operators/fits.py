@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateflux.operators.channels import small
-from stateflux.operators.tables import spread_sample
+from stateflux.operators import arrays as A
+from stateflux.operators.tables import small, spread_sample
 
 EPS = 2.220446049250313e-16
 
@@ -250,6 +250,12 @@ def duplicates(centres: np.ndarray, least: float = 0.85) -> list[tuple[int, int]
     return [(i, j) for i in range(len(sim)) for j in range(i + 1, len(sim)) if sim[i, j] >= least]
 
 
+def duplicate_pairs(states: DataFrame, by: list[str], state: str = "state", map_: str = "map", least: float = 0.85) -> DataFrame:
+    """by, a, b, similarity: pairs of a model's states that are one but for polarity."""
+    one, two = (states.select(*by, F.col(state).alias(n), A.unit(F.col(map_)).alias(f"_{n}")) for n in "ab")
+    return one.join(two, by).where("a < b").select(*by, "a", "b", F.abs(A.dot(F.col("_a"), F.col("_b"))).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def collapsed(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, least: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
     """Centres and labels with duplicate states joined into the first of each."""
     root = list(range(len(centres)))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stateflux.operators.tables import small
+
 ORDER = ("us", "seq")
 
 
@@ -54,7 +56,7 @@ def state_metrics(df: DataFrame, rec: str = "rec", state: str = "state", gfp: st
     per_run = runs(df, rec, state, gfp)
     per_state = per_run.groupBy(rec, state).agg(F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("occurrences"), F.sum(F.col("gfp_mean") * F.col("n")).alias("gfp_sum"), F.avg("n").alias("run_mean"), F.median("n").alias("run_median"))
     records = df.groupBy(rec).agg(F.count(F.lit(1)).alias("total"), ((F.max("us") - F.min("us")) / 1e6).alias("seconds"))
-    grid = records.crossJoin(F.broadcast(df.select(state).distinct()))  # a few states, by definition of a label
+    grid = records.crossJoin(small(df.select(state).distinct(), 10_000))  # a few states, by definition of a label
     out = grid.join(per_state, [rec, state], "left")
     return out.select(
         rec, state, F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.round(F.coalesce(F.col("n_samples") / F.col("total"), F.lit(0.0)), 6).alias("coverage"), F.round(F.col("gfp_sum") / F.col("n_samples"), 6).alias("mean_gfp"),

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from stateflux.functions.text import finite, number
 
 
+#: Rows that a table which is broadcast may have: pairs of channels, states, labels.
+SMALL = 1 << 20
+
+
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``limit`` rows; else as it is, for Spark to choose the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
@@ -132,7 +141,7 @@ def paired(df: DataFrame, keys: list[str], side: str, one, two, value: str, comp
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
     """Dense confusion counts over the union of labels, with row shares (null for labels that never are true)."""
     labels = df.select(F.col(true).alias("l")).union(df.select(F.col(predicted).alias("l"))).where("l is not null").distinct()
-    grid = labels.select(F.col("l").alias(true)).crossJoin(F.broadcast(labels.select(F.col("l").alias(predicted))))  # labels are few
+    grid = labels.select(F.col("l").alias(true)).crossJoin(small(labels.select(F.col("l").alias(predicted)), 10_000))
     out = grid.join(df.groupBy(true, predicted).agg(F.count(F.lit(1)).alias("n")), [true, predicted], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("share", F.round(ratio(F.col("n"), F.sum("n").over(Window.partitionBy(true))), 6))
 
@@ -141,7 +150,7 @@ def mean_confusion(df: DataFrame, block: str, true: str, predicted: str) -> Data
     """The mean over blocks of their row-normalised confusions; a label that is never true in a block has a row of zeros there."""
     blocks = df.select(block).distinct()
     labels = df.select(F.col(true).alias("l")).union(df.select(F.col(predicted).alias("l"))).where("l is not null").distinct()
-    grid = labels.select(F.col("l").alias(true)).crossJoin(F.broadcast(labels.select(F.col("l").alias(predicted))))  # labels are few
+    grid = labels.select(F.col("l").alias(true)).crossJoin(small(labels.select(F.col("l").alias(predicted)), 10_000))
     counts = df.groupBy(block, true, predicted).agg(F.count(F.lit(1)).alias("n"))
     rates = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy(block, true)))
     n = blocks.agg(F.count(F.lit(1)).alias("blocks"))

@@ -236,3 +236,26 @@ def w2_spaced_peaks(spark, d):
 def w15_collapsed_train(spark, d):
     rows = sequence(spark, d).withColumn("pos", F.row_number().over(S._over("rec")).cast("long"))
     return S.collapsed_train(rows.where("gfp > 50"), 2)
+
+
+@query()
+def m14_backfit_benchmarks(spark, d):
+    """How often the state is right when every sample, or the nearest peak of field power, decides; and the error of weights of one state a sample and of mixtures at transitions."""
+    few = np.array([r["map"][:16] for r in maps(spark, d).where("id < 4").orderBy("id").collect()])
+    sims = G.recordings(spark, G.design(spark, 5, [4], [5.0], [0.0, 0.6]), {4: few}, 4.0, 100.0).withColumnRenamed("weights", "truth").withColumn("gfp", A.gfp_rms(F.col("v")))
+    centres = spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(few)], "k int, centre array<double>")
+    w = F.col("gfp")
+    over = S._over("condition", ("pos",))
+    peak = (w > F.lag(w).over(over)) & (w >= F.lead(w).over(over))
+    rows = sims.withColumn("peak", F.coalesce(peak, F.lit(False)))
+    every = B.hard(rows, centres, rec="condition")
+    nearest = B.hard(rows, centres, peak=F.col("peak"), rec="condition").select("condition", "pos", F.col("k").alias("k_peak"))
+    both = B.transition_aware(every, centres, 100.0, peak=F.col("peak"), rec="condition").withColumnRenamed("weights", "soft").join(nearest, ["condition", "pos"])
+    one = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (i == F.col("k")).cast("double"))
+    error = lambda v: F.avg(A.total(F.zip_with("truth", v, lambda a, b: F.abs(a - b))) / 4)
+    return both.groupBy("condition").agg(F.avg((F.col("k") == F.col("state")).cast("double")).alias("accuracy_samples"), F.avg((F.col("k_peak") == F.col("state")).cast("double")).alias("accuracy_peaks"), error(one).alias("error_hard"), error(F.col("soft")).alias("error_mixture"))
+
+
+@query()
+def s14_equalised_signals(spark, d):
+    return G.equalised(_signal(spark, d), 100.0, 64.0)

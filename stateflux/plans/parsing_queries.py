@@ -204,3 +204,28 @@ def s10_json_state_maps(spark, d):
     text = F.when(F.col("event_id") % 2 == 1, listed).when(F.col("event_id") % 4 == 0, plain).otherwise(nested)
     x = table(spark, d, "events").select("event_id", text.alias("json"))
     return state_maps(x, "json", key="event_id").select("event_id", "state", F.col("map")[0].alias("first"), F.col("map")[1].alias("second"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '_') AS ident, coalesce(nullif(trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unnamed') AS slug, coalesce(nullif(trim(regexp_replace(lower(trim(repeat('!', CAST(page_id % 3 AS INTEGER)))), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unnamed') AS empty FROM pages""")
+def p5_identifiers(spark, d):
+    signs = F.repeat(F.lit("!"), (F.col("page_id") % 3).cast("int"))
+    return table(spark, d, "pages").select("page_id", X.identifier(F.col("url")).alias("ident"), X.slug(F.col("url")).alias("slug"), X.slug(signs).alias("empty"))
+
+
+@query(rf"""WITH x AS (SELECT p_partkey, regexp_replace(upper(trim({_pick_sql(STATES, "p_partkey")} || (p_size % 2))), '[^A-Z0-9]+', '', 'g') AS t FROM part), y AS (SELECT p_partkey, CASE WHEN starts_with(t, 'MS') AND length(t) > 2 THEN substr(t, 3) ELSE t END AS u FROM x)
+SELECT p_partkey, CASE WHEN starts_with(u, 'STATE') THEN replace(u, 'STATE', '') ELSE u END AS state FROM y""")
+def p9_state_names(spark, d):
+    name = F.concat(_picked(STATES, F.col("p_partkey")), (F.col("p_size") % 2).cast("string"))
+    return table(spark, d, "part").select("p_partkey", X.state_name(name).alias("state"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'all' WHEN c_custkey % 3 = 1 THEN 'all' ELSE c_mktsegment END AS grp FROM customer")
+def p10_defaults(spark, d):
+    k = F.col("c_custkey") % 3
+    return table(spark, d, "customer").select("c_custkey", X.filled(F.when(k == 1, "  ").when(k == 2, F.col("c_mktsegment")), "all").alias("grp"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_type, CASE WHEN p_type = 'PROMO' THEN 1.0 ELSE p_retailprice END AS v FROM part) SELECT p_partkey, round(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END, 6) AS unit FROM x WINDOW w AS (PARTITION BY p_type)""")
+def p18_min_max(spark, d):
+    x = table(spark, d, "part").withColumn("v", F.when(F.col("p_type") == "PROMO", 1.0).otherwise(F.col("p_retailprice")))
+    return T.standardised(x, ["p_type"], "v").select("p_partkey", F.round("unit", 6).alias("unit"))

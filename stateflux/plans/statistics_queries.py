@@ -98,3 +98,9 @@ def t_tail_probabilities(spark, d):
     rows = welch.select(F.lit("welch").alias("test"), F.col("t").alias("statistic"), "p_value")
     rows = rows.unionByName(h.select(F.lit("kruskal_wallis").alias("test"), F.col("h").alias("statistic"), p_value("chi2", F.col("h"), F.col("df")).alias("p_value")))
     return rows.unionByName(hot.select(F.concat(F.lit("hotelling_"), "state").alias("test"), F.col("f").alias("statistic"), p_value("f", F.col("f"), F.lit(2.0), F.col("n") - 2).alias("p_value")))
+
+
+@query("SELECT l_linestatus, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1")
+def t15_simple_regression(spark, d):
+    p, q = F.col("l_extendedprice"), F.col("l_quantity")
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(p, q), 4).alias("slope"), F.round(F.regr_intercept(p, q), 4).alias("intercept"))

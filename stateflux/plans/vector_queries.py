@@ -233,3 +233,69 @@ def g33_mean_spectra(spark, d):
 @query(f"WITH {SCORES}, f AS (SELECT k, abs(corr) AS r, corr * corr AS q, {DOT.format('map', 'map')} AS p FROM asg), n AS (SELECT count(*) AS n, sum(p - q) / sum(p) AS rv FROM f) SELECT k, count(*) AS n_maps, round(count(*) / any_value(n), 6) AS share, round(avg(r), 6) AS mean_abs_corr, round(any_value(rv), 6) AS residual_variance, round(any_value(rv) * (63.0 / 56.0) ** 2, 6) AS cross_validation FROM f, n GROUP BY k")
 def g20_state_shares(spark, d):
     return A.state_shares(A.assigned(maps(spark, d), _centres(spark, d)), 7)
+
+
+@query(f"WITH {UNIT}, e AS (SELECT id, unnest(range(64)) AS pos, unnest(u) AS b FROM un) SELECT id, CAST(pos AS INTEGER) AS pos, round(b, 6) AS value FROM e")
+def a2_unit_maps(spark, d):
+    return _cells(maps(spark, d), "id", A.unit(F.col("map")))
+
+
+@query(f"WITH {UNIT}, e AS (SELECT id, unnest(range(64)) AS pos, unnest(u) AS b FROM un) SELECT id, CAST(pos AS INTEGER) AS pos, round(b * 8, 6) AS value FROM e")
+def a3_unit_rms_maps(spark, d):
+    return _cells(maps(spark, d), "id", A.unit_rms(F.col("map")))
+
+
+@query(f"WITH {MAPS} SELECT id, round(list_stddev_pop(map), 6) AS gfp_rms, round(list_stddev_samp(map), 6) AS gfp_sd FROM mp")
+def a4_field_power(spark, d):
+    return maps(spark, d).select("id", F.round(A.gfp_rms(F.col("map")), 6).alias("gfp_rms"), F.round(A.gfp_sd(F.col("map")), 6).alias("gfp_sd"))
+
+
+@query(f"WITH {SCORES} SELECT id, k, round(corr, 6) AS corr FROM sc")
+def j11_maps_by_states(spark, d):
+    centres = _centres(spark, d)
+    return maps(spark, d).crossJoin(F.broadcast(centres)).select("id", "k", F.round(A.dot(F.col("map"), F.col("centre")), 6).alias("corr"))  # seven states
+
+
+@query(f"WITH {UNIT} SELECT x.grp, x.id AS a, y.id AS b, round(abs({DOT.format('x.u', 'y.u')}), 6) AS similarity FROM un x JOIN un y ON x.grp = y.grp AND x.id < y.id WHERE abs({DOT.format('x.u', 'y.u')}) >= 0.3")
+def m5_duplicate_pairs(spark, d):
+    from stateflux.operators.fits import duplicate_pairs
+
+    return duplicate_pairs(maps(spark, d).withColumnRenamed("id", "state"), ["grp"], least=0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH c AS (SELECT c_custkey AS idx, c_nationkey AS n, c_custkey % 4 = 0 AS bare FROM customer), r AS (SELECT n_nationkey AS n FROM nation WHERE n_nationkey % 3 > 0)
+SELECT idx, 'Chan' || c.n AS label, CASE WHEN bare THEN CASE WHEN r.n IS NOT NULL THEN -1.0 * r.n END ELSE 1.0 END AS x, CASE WHEN NOT bare THEN 'own' WHEN r.n IS NOT NULL THEN 'reference' END AS source FROM c LEFT JOIN r ON r.n = c.n""")
+def s15_backfilled_montage(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation").where("n_nationkey % 3 > 0")
+    x = F.when(F.col("c_custkey") % 4 != 0, 1.0)
+    own = c.select(F.col("c_custkey").alias("idx"), F.concat(F.lit("Chan"), F.col("c_nationkey").cast("string")).alias("label"), *[x.alias(a) for a in "xyz"])
+    reference = n.select(F.concat(F.lit("EEG 0"), F.col("n_nationkey").cast("string")).alias("label"), *[(-F.col("n_nationkey")).cast("double").alias(a) for a in "xyz"])
+    return C.backfilled(own, reference).select("idx", "label", "x", "source")
+
+
+@query(f"WITH {MAPS} SELECT id, " + ", ".join(f"round(map[{i}], 6) AS ch_{i:03d}" for i in range(1, 65)) + " FROM mp")
+def k2_matrix_columns(spark, d):
+    from stateflux.sinks.files import matrix_columns
+
+    return matrix_columns(maps(spark, d).withColumn("map", F.transform("map", lambda x: F.round(x, 6))), ["id"], 64)
+
+
+@query(f"WITH {MAPS}, e AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY id) AS s, map FROM mp), c AS (SELECT grp, s, unnest(range(64)) AS pos, unnest(map) AS x FROM e) SELECT grp, printf('state_%02d', s) AS state, CAST(pos AS INTEGER) AS pos, round(x, 6) AS value FROM c")
+def k3_solutions_as_json(spark, d):
+    from pyspark.sql import Window
+
+    from stateflux.sinks.files import solution_json
+    from stateflux.sources.files import state_maps
+
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1
+    text = solution_json(maps(spark, d).withColumn("state", place), ["grp"], {"method": "topo_kmeans"})
+    back = state_maps(text, "json", key="grp")
+    return back.select("grp", "state", F.posexplode("map").alias("pos", "x")).select("grp", "state", "pos", F.round("x", 6).alias("value"))
+
+
+@query(f"WITH {MAPS}, e AS (SELECT id, map FROM mp WHERE id < 7), c AS (SELECT id, unnest(range(64)) AS pos, unnest(map) AS x FROM e) SELECT chr(CAST(65 + id AS INTEGER)) AS label, CAST(pos AS INTEGER) AS pos, round(x, 6) AS value FROM c")
+def s6_templates(spark, d):
+    from stateflux.sources.files import templates
+
+    states = _centres(spark, d).select(F.col("k").alias("state"), F.col("centre").alias("map"))
+    return _cells(templates(states), "label", F.col("map"))
