@@ -584,3 +584,76 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["r"] for r in more.collect()) == [10, 20, 30] and calls == [[1, 2], [3]]
     K.resumed(work, ["c"], path, {"v": 2}, make)
     assert calls[-1] == [1, 2]
+
+
+# -- recordings
+
+
+def mat5(variables, compress=False):
+    """A MATLAB 5 file by the format's description."""
+    import struct
+    import zlib
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    def matrix(name, v):
+        if isinstance(v, str):
+            body, kind, shape = element(4, np.array([ord(c) for c in v], "<u2").tobytes()), 4, (1, len(v))
+        elif isinstance(v, list) and v and isinstance(v[0], dict):
+            fields = list(v[0])
+            body = struct.pack("<HHI", 5, 4, 16) + element(1, b"".join(f.encode().ljust(16, b"\0") for f in fields)) + b"".join(matrix("", r[f]) for r in v for f in fields)
+            kind, shape = 2, (1, len(v))
+        elif isinstance(v, list):
+            body, kind, shape = b"".join(matrix("", x) for x in v), 1, (1, len(v))
+        else:
+            a = np.atleast_2d(np.asarray(v))
+            kind, code, dtype = (7, 7, "<f4") if a.dtype == np.float32 else (6, 9, "<f8")
+            body, shape = element(code, a.astype(dtype).tobytes(order="F")), a.shape
+        head = element(6, struct.pack("<II", kind, 0)) + element(5, np.array(shape, "<i4").tobytes()) + (struct.pack("<HH", 1, len(name)) + name.encode().ljust(4, b"\0") if 0 < len(name) <= 4 else element(1, name.encode()))
+        return element(14, head + body)
+
+    parts = [matrix(k, v) for k, v in variables.items()]
+    if compress:
+        parts = [struct.pack("<II", 15, len(z)) + z for z in (zlib.compress(p) for p in parts)]
+    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + b"".join(parts)
+
+
+def edf(x, rate, bits=16):
+    n, size = len(x), 2 if bits == 16 else 3
+    top = 2 ** (bits - 1) - 1
+    columns = [("EEG Fz", "EEG Cz", "Status")[i].ljust(16) for i in range(n)], [" " * 80] * n, ["uV".ljust(8)] * n, ["-100".ljust(8)] * n, ["100".ljust(8)] * n, [str(-top - 1).ljust(8)] * n, [str(top).ljust(8)] * n, [" " * 80] * n, [str(rate).ljust(8)] * n, [" " * 32] * n
+    records = x.shape[1] // rate
+    head = "0".ljust(8) + " " * 80 + " " * 80 + "01.01.0101.01.01" + str(256 * (n + 1)).ljust(8) + " " * 44 + str(records).ljust(8) + "1".ljust(8) + str(n).ljust(4)
+    digital = np.round((x + 100) / 200 * (2 * top + 1) - top - 1).astype(np.int32)
+    body = b"".join(v.to_bytes(size, "little", signed=True) for r in range(records) for row in digital[:, r * rate : (r + 1) * rate] for v in row.tolist())
+    return (head + "".join("".join(c) for c in columns)).encode() + body
+
+
+def test_recordings_in_files(spark, tmp_path):
+    from stateflux.sources.recordings import read_recordings
+
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-90, 90, (3, 40))
+    places = [{"labels": c, "X": float(i), "Y": 0.5, "Z": [] if i == 2 else 1.0} for i, c in enumerate(("Fz", "Cz", "Pz"))]
+    places[2]["Z"] = np.empty((0, 0))
+    (tmp_path / "a.set").write_bytes(mat5({"EEG": [{"data": x.astype(np.float32), "srate": 200.0, "chanlocs": places, "comments": "text"}]}))
+    (tmp_path / "b.mat").write_bytes(mat5({"X": x.T, "sfreq": 128.0, "channel_labels": ["F1", "F2", "F3"]}, compress=True))
+    (tmp_path / "c.edf").write_bytes(edf(x, 20))
+    (tmp_path / "d.bdf").write_bytes(edf(x, 20, 24))
+    (tmp_path / "e.cnt").write_bytes(b"?")
+    (tmp_path / "f.mat").write_bytes(b"MATLAB 7.3")
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("a.set", "b.mat", "c.edf", "d.bdf", "e.cnt", "f.mat")], "path string")
+    samples, channels = read_recordings(files)
+    got: dict = {}
+    for r in samples.orderBy("path", "pos").collect():
+        got.setdefault(r["path"][-5:], []).append(r["v"])
+    assert set(got) == {"a.set", "b.mat", "c.edf", "d.bdf"} and all(len(v) == 40 for v in got.values())
+    for name, error in (("a.set", 1e-4), ("b.mat", 1e-12), ("c.edf", 0.005), ("d.bdf", 1e-4)):
+        assert np.abs(np.array(got[name]).T - x).max() < error, name
+    told = {(r["path"][-5:], r["idx"]): r for r in channels.collect()}
+    assert [told["a.set", i]["label"] for i in range(3)] == ["Fz", "Cz", "Pz"] and told["a.set", 1]["x"] == 1 and told["a.set", 2]["z"] is None and told["a.set", 0]["rate"] == 200
+    assert told["b.mat", 2]["label"] == "F3" and told["b.mat", 0]["rate"] == 128 and told["c.edf", 1]["label"] == "EEG Cz" and told["c.edf", 0]["rate"] == 20
+    assert "no decoder" in told["e.cnt", None]["error"] and "MATLAB 5" in told["f.mat", None]["error"]
+    own, _ = read_recordings(files.where("path like '%cnt'"), {"cnt": lambda data: {"x": np.ones((2, 3)), "rate": 1.0, "labels": ["a", "b"], "places": [[0, 0, 1]] * 2}})
+    assert own.count() == 3 and read_recordings(files.limit(0))[0].count() == 0
