@@ -77,13 +77,14 @@ def verified_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     An ``a`` with many partners is copied to several salts; a ``b`` has few pairs.
     """
-    pairs = pairs.withColumn("salt", salt("b"))
-    centres = pairs.groupBy("a").agg(salt_mask("salt").alias("mask")).join(sets.select(F.col("id").alias("a"), "n", "s"), "a")
-    sized = pairs.join(sets.select(F.col("id").alias("b"), "n", "s"), "b")
-    one, two = F.col("n"), F.col("n_a")
-    sized = sized.join(centres.select("a", F.explode(salts_in("mask")).alias("salt"), F.col("n").alias("n_a")), ["a", "salt"]).where(100 * F.least(one, two) >= percent * F.greatest(one, two))
-    first = centres.select("a", F.explode(salts_in("mask")).alias("salt"), F.lit(False).alias("partner"), F.col("a").alias("b"), "s")
-    rest = sized.select("a", "salt", F.lit(True).alias("partner"), "b", "s")
+    pairs, sizes = pairs.withColumn("salt", salt("b")), sets.select("id", "n")
+    dealt = F.explode(salts_in("mask")).alias("salt")
+    centres = pairs.groupBy("a").agg(salt_mask("salt").alias("mask")).join(sizes.select(F.col("id").alias("a"), F.col("n").alias("one")), "a").select("a", dealt, "one")
+    sized = pairs.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("two")), "b").join(centres, ["a", "salt"])
+    # only pairs whose sizes allow it take their sets along
+    sized = sized.where(100 * F.least("one", "two") >= percent * F.greatest("one", "two")).select("a", "b", "salt")
+    first = sized.groupBy("a").agg(salt_mask("salt").alias("mask")).join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", dealt, F.lit(False).alias("partner"), F.col("a").alias("b"), "s")
+    rest = sized.join(sets.select(F.col("id").alias("b"), "s"), "b").select("a", "salt", F.lit(True).alias("partner"), "b", "s")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.empty(0, np.uint64)
