@@ -30,7 +30,7 @@ from stateflux.llm.common import slices, tidy
 #: Entries of a memo table before it is emptied; results do not depend on it.
 MEMO = 1 << 18
 #: States of a transducer, and entries of its tables, before it starts anew; results do not depend on them.
-STATES, ENTRIES = 1 << 18, 1 << 20
+STATES, ENTRIES = 1 << 20, 1 << 21
 #: Bytes of a piece that are read before the tables' sizes are looked at again.
 STRIDE = 1 << 12
 
