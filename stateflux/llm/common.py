@@ -26,10 +26,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one under the warehouse.
 
-    The setting is read from the session; only where it is unset (tests, a laptop)
-    is a folder below the warehouse, which Spark shares by contract, put in its place.
+    The setting is read from the session; only where it is unset and Spark runs in
+    one process (tests, a laptop) is a folder below the warehouse put in its place.
+    On a cluster without the setting nothing is written: a machine's own folder
+    would not be found by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stateflux"
         if not base.split(":", 1)[0].isalnum() or base.startswith("/"):
@@ -135,8 +139,8 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner")
 
 
 def parts_for(spark: SparkSession, size: int, least: int, most: int) -> int:
-    """Into how many parts ``size`` bytes are dealt: of ``least`` bytes, or larger ones if these are over four for each core, but never over ``most``."""
-    return max(1, min(-(-size // least), max(4 * spark.sparkContext.defaultParallelism, -(-size // most))))
+    """Into how many parts ``size`` bytes are dealt: of ``least`` bytes, or larger ones if these are over eight for each core, but never over ``most``."""
+    return max(1, min(-(-size // least), max(8 * spark.sparkContext.defaultParallelism, -(-size // most))))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

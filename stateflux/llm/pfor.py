@@ -35,7 +35,7 @@ TRAILER = struct.Struct("<QQQQ8s")
 #: Blocks packed at once, and bytes read at once.
 GROUP, READ = 256, 1 << 22
 #: Bytes of text whose ids stand in one file, at least and at most (about).
-SPAN = 1 << 24, 1 << 30
+SPAN = 1 << 23, 1 << 28
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
