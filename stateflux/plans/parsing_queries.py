@@ -194,7 +194,7 @@ def p23_suffix_rules(spark, d):
 
 
 @query("""WITH x AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events), m AS (SELECT event_id, unnest([1, 2]) AS s, k FROM x)
-SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE s WHEN 1 THEN 'A' ELSE 'B' END ELSE 'state_0' || s END AS state, CASE s WHEN 1 THEN k ELSE -k END AS first, CASE s WHEN 1 THEN 1.0 ELSE 0.5 END AS second FROM m""")
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE s WHEN 1 THEN 'A' ELSE 'B' END ELSE 'state_0' || s END AS state, CASE s WHEN 1 THEN k ELSE -k END AS first, CAST(CASE s WHEN 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS second FROM m""")
 def s10_json_state_maps(spark, d):
     k = F.get_json_object("props", "$.k")
     # objects of arrays and objects of objects are two layouts; one document has one of them

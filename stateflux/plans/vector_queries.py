@@ -264,7 +264,7 @@ def m5_duplicate_pairs(spark, d):
 
 
 @query("""WITH c AS (SELECT c_custkey AS idx, c_nationkey AS n, c_custkey % 4 = 0 AS bare FROM customer), r AS (SELECT n_nationkey AS n FROM nation WHERE n_nationkey % 3 > 0)
-SELECT idx, 'Chan' || c.n AS label, CASE WHEN bare THEN CASE WHEN r.n IS NOT NULL THEN -1.0 * r.n END ELSE 1.0 END AS x, CASE WHEN NOT bare THEN 'own' WHEN r.n IS NOT NULL THEN 'reference' END AS source FROM c LEFT JOIN r ON r.n = c.n""")
+SELECT idx, 'Chan' || c.n AS label, CAST(CASE WHEN bare THEN CASE WHEN r.n IS NOT NULL THEN -1.0 * r.n END ELSE 1.0 END AS DOUBLE) AS x, CASE WHEN NOT bare THEN 'own' WHEN r.n IS NOT NULL THEN 'reference' END AS source FROM c LEFT JOIN r ON r.n = c.n""")
 def s15_backfilled_montage(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation").where("n_nationkey % 3 > 0")
     x = F.when(F.col("c_custkey") % 4 != 0, 1.0)
