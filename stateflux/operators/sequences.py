@@ -261,7 +261,7 @@ def circular(df: DataFrame, by: list[str], angle: str = "phase") -> DataFrame:
 def phase_bins(df: DataFrame, bins: int, by: list[str], state: str = "state", gfp: str = "gfp", angle: str = "phase") -> DataFrame:
     """Counts, shares among a bin's samples, and mean GFP of each state in equal bins of angle."""
     binned = df.withColumn("bin", F.least(F.floor(F.col(angle) / (2 * math.pi) * bins), F.lit(bins - 1)).cast("int"))
-    counts = binned.groupBy(*by, "bin", state).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(gfp), 6).alias("mean_gfp"))
+    counts = binned.groupBy(*by, "bin", state).agg(F.count(F.lit(1)).alias("n"), F.avg(gfp).alias("mean_gfp"))
     return counts.withColumn("coverage", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by, "bin")), 6))
 
 
@@ -276,7 +276,7 @@ def circular_states(phased: DataFrame, rec: str = "rec", state: str = "state", g
     n, mean = F.col("n_phase_samples"), F.atan2("sin1", "cos1")
     return met.select(
         rec, state, "n_phase_samples", F.round(F.col("m") / n, 6).alias("coverage"), *[F.round(F.col(c) / n, 6).alias(c) for c in ("cos1", "sin1", "cos2", "sin2")],
-        F.round(F.hypot("cos1", "sin1") / n, 6).alias("resultant"), F.round(F.when(mean < 0, mean + 2 * math.pi).otherwise(mean), 5).alias("mean_phase"), F.round("gfp_cos1", 5).alias("gfp_cos1"), F.round("gfp_sin1", 5).alias("gfp_sin1"),
+        F.round(F.hypot("cos1", "sin1") / n, 6).alias("resultant"), F.round(F.when(mean < 0, mean + 2 * math.pi).otherwise(mean), 5).alias("mean_phase"), "gfp_cos1", "gfp_sin1",
     )
 
 

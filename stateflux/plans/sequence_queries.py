@@ -12,6 +12,8 @@ EV = "ev AS (SELECT user_id AS rec, epoch_us(ts) AS us, event_id AS seq, event_t
 RUNS = f"""{EV}, en AS (SELECT *, CASE WHEN lag(state) OVER w IS NULL OR lag(state) OVER w <> state THEN 1 ELSE 0 END AS e FROM ev WINDOW w AS (PARTITION BY rec ORDER BY us, seq)),
 ru AS (SELECT *, CAST(sum(e) OVER (PARTITION BY rec ORDER BY us, seq) AS BIGINT) AS run FROM en),
 runs AS (SELECT rec, run, state, count(*) AS n, min(us) AS start_us, max(us) AS stop_us, avg(gfp) AS gfp_mean FROM ru GROUP BY rec, run, state)"""
+#: Added before a mean of values with few decimals is rounded: halves, which occur, then go up in both engines, however the sum was formed.
+UP = 1e-9
 PHASE = f"""{EV}, m AS (SELECT *, CASE WHEN state = 'click' THEN us END AS mk FROM ev),
 ph0 AS (SELECT *, last_value(mk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r0,
  first_value(mk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r1 FROM m),
@@ -107,10 +109,10 @@ def g9_circular_moments(spark, d):
     return S.circular(S.phase(sequence(spark, d), "click"), ["state"])
 
 
-@query(f"""WITH {PHASE}, b AS (SELECT *, CAST(least(floor(phase / (2 * pi()) * 24), 23) AS INTEGER) AS bin FROM ph), c AS (SELECT bin, state, count(*) AS n, round(avg(gfp), 6) AS mean_gfp FROM b GROUP BY bin, state)
+@query(f"""WITH {PHASE}, b AS (SELECT *, CAST(least(floor(phase / (2 * pi()) * 24), 23) AS INTEGER) AS bin FROM ph), c AS (SELECT bin, state, count(*) AS n, round(avg(gfp) + 1e-9, 6) AS mean_gfp FROM b GROUP BY bin, state)
 SELECT bin, state, n, mean_gfp, round(n / sum(n) OVER (PARTITION BY bin), 6) AS coverage FROM c""")
 def g10_phase_bins(spark, d):
-    return S.phase_bins(S.phase(sequence(spark, d), "click"), 24, [])
+    return S.phase_bins(S.phase(sequence(spark, d), "click"), 24, []).withColumn("mean_gfp", F.round(F.col("mean_gfp") + UP, 6))
 
 
 @query(f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY us, seq) AS pos FROM ev), m AS (SELECT *, CASE WHEN state = 'click' OR gfp > 150 THEN pos END AS mp, CASE WHEN state = 'click' OR gfp > 150 THEN state END AS ms FROM p),
@@ -121,10 +123,10 @@ def w4_fill_from_peaks(spark, d):
     return S.fill_from_peaks(sequence(spark, d), (F.col("state") == "click") | (F.col("gfp") > 150)).select("rec", "seq", "filled")
 
 
-@query(f"""WITH {PHASE}, b AS (SELECT state, CAST(least(floor(phase / (2 * pi()) * 24), 23) AS INTEGER) AS bin, gfp FROM ph), a AS (SELECT state, bin, round(avg(gfp), 6) AS m FROM b GROUP BY state, bin),
+@query(f"""WITH {PHASE}, b AS (SELECT state, CAST(least(floor(phase / (2 * pi()) * 24), 23) AS INTEGER) AS bin, gfp FROM ph), a AS (SELECT state, bin, round(avg(gfp) + 1e-9, 6) AS m FROM b GROUP BY state, bin),
 f AS (SELECT *, bin - row_number() OVER (PARTITION BY state ORDER BY bin) AS island FROM a WHERE m > 50) SELECT state, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n_bins, max(abs(m)) AS peak FROM f GROUP BY state, island""")
 def w16_bin_clusters(spark, d):
-    return S.adjacent_clusters(S.phase_bins(S.phase(sequence(spark, d), "click"), 24, []), F.col("mean_gfp") > 50, ["state"], "bin", "mean_gfp")
+    return S.adjacent_clusters(g10_phase_bins(spark, d), F.col("mean_gfp") > 50, ["state"], "bin", "mean_gfp")
 
 
 @query(f"""WITH {RUNS}, p AS (SELECT rec, state, sum(n) AS n, sum(gfp_mean * n) / sum(n) AS g FROM runs GROUP BY rec, state)
@@ -158,9 +160,10 @@ def g2_backfit_metrics(spark, d):
 
 
 @query(f"""WITH {PHASE}, n AS (SELECT rec, count(*) AS n FROM ph GROUP BY rec), s AS (SELECT rec, state, count(*) AS m, sum(cos(phase)) AS c1, sum(sin(phase)) AS s1, sum(cos(2 * phase)) AS c2, sum(sin(2 * phase)) AS s2, avg(gfp * cos(phase)) AS g1, avg(gfp * sin(phase)) AS h1 FROM ph GROUP BY ALL)
-SELECT s.rec, state, n AS n_phase_samples, round(m / n, 6) AS coverage, round(c1 / n, 6) AS cos1, round(s1 / n, 6) AS sin1, round(c2 / n, 6) AS cos2, round(s2 / n, 6) AS sin2, round(sqrt(c1 * c1 + s1 * s1) / n, 6) AS resultant, round(CASE WHEN atan2(s1, c1) < 0 THEN atan2(s1, c1) + 2 * pi() ELSE atan2(s1, c1) END, 5) AS mean_phase, round(g1, 5) AS gfp_cos1, round(h1, 5) AS gfp_sin1 FROM s JOIN n ON s.rec = n.rec""")
+SELECT s.rec, state, n AS n_phase_samples, round(m / n, 6) AS coverage, round(c1 / n, 6) AS cos1, round(s1 / n, 6) AS sin1, round(c2 / n, 6) AS cos2, round(s2 / n, 6) AS sin2, round(sqrt(c1 * c1 + s1 * s1) / n, 6) AS resultant, round(CASE WHEN atan2(s1, c1) < 0 THEN atan2(s1, c1) + 2 * pi() ELSE atan2(s1, c1) END, 5) AS mean_phase, round(g1 + 1e-9, 5) AS gfp_cos1, round(h1 + 1e-9, 5) AS gfp_sin1 FROM s JOIN n ON s.rec = n.rec""")
 def g9_circular_states(spark, d):
-    return S.circular_states(S.phase(sequence(spark, d), "click"))
+    out = S.circular_states(S.phase(sequence(spark, d), "click"))
+    return out.withColumns({c: F.round(F.col(c) + UP, 5) for c in ("gfp_cos1", "gfp_sin1")})
 
 
 @query(f"""WITH {PHASE.replace("phase FROM ph0", "phase, r0, r1 FROM ph0")} SELECT rec, r0, round(avg(CASE WHEN state = 'view' THEN 1.0 ELSE 0 END) FILTER (us - r0 >= 36000000000 AND us - r0 < 720000000000), 6) AS early, round(avg(CASE WHEN state = 'view' THEN 1.0 ELSE 0 END) FILTER (NOT (us - r0 >= 36000000000 AND us - r0 < 720000000000)), 6) AS late FROM ph GROUP BY rec, r0""")
@@ -196,9 +199,9 @@ def s16_cropped_intervals(spark, d):
     return S.cropped(ev, S.merged_intervals(spans, 0)).select("rec", "seq", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT rec, us, (us - lag(us) OVER (PARTITION BY rec ORDER BY us)) / 1e6 AS gap FROM ev WHERE state = 'click'), m AS (SELECT rec, count(*) AS n, median(gap) AS md FROM g GROUP BY rec) SELECT rec, n, round(md, 6) AS median_s FROM m WHERE n >= 5 AND md BETWEEN 10000 AND 200000""")
+@query(f"""WITH {EV}, g AS (SELECT rec, us, (us - lag(us) OVER (PARTITION BY rec ORDER BY us)) / 1e6 AS gap FROM ev WHERE state = 'click'), m AS (SELECT rec, count(*) AS n, median(gap) AS md FROM g GROUP BY rec) SELECT rec, n, round(md + 1e-9, 6) AS median_s FROM m WHERE n >= 5 AND md BETWEEN 10000 AND 200000""")
 def s17_plausible_trains(spark, d):
-    return S.plausible_trains(sequence(spark, d).where("state = 'click'"), 10_000.0, 200_000.0).withColumn("median_s", F.round("median_s", 6))
+    return S.plausible_trains(sequence(spark, d).where("state = 'click'"), 10_000.0, 200_000.0).withColumn("median_s", F.round(F.col("median_s") + UP, 6))
 
 
 @query(f"""WITH {EV}, x AS (SELECT rec, seq, CASE WHEN rec % 2 = 0 THEN 'intero' ELSE 'feedback' END AS cond, CASE WHEN rec % 3 = 0 THEN 'code 10' || (seq % 8) ELSE 'HBT_' || substr('abcd', CAST(seq % 4 + 1 AS INTEGER), 1) || (seq % 3) END AS dsc FROM ev), m(cond, mk, pf) AS (VALUES ('intero', 'HBT_b1', true), ('intero', 'HBT_b2', true), ('feedback', 'HBT_c', true), ('intero', '103', false), ('intero', '104', false), ('feedback', '105', false)),
