@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import regex
@@ -48,6 +48,27 @@ def read_vocabulary(path: str) -> tuple[dict[bytes, int], str]:
     return ranks, suffix
 
 
+class Memo(dict):
+    """What a function gave for words of up to 64 bytes; the words met since it was last but one emptied."""
+
+    def __init__(self, of: Callable[[bytes], bytes]):
+        super().__init__()
+        self.of, self.older = of, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.of(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """``pattern``: how the vocabulary's own splitting cuts a text into pieces; None for the word vocabulary, whose tokenizer lower-cases and drops blanks."""
 
@@ -67,22 +88,16 @@ class Encoder:
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
             self.piece = self.plain._core_bpe.encode_single_piece
-            self.memo: dict[bytes, bytes] = {}
-            self.older: dict[bytes, bytes] = {}
+            self.memo = Memo(self._word)
 
     def _word(self, word: bytes) -> bytes:
         """The ids of what stands between two ASCII blanks. Only there can the splitting of a text not depend on what is around."""
-        found = self.older.get(word)
-        if found is None:
-            text = word.decode()
-            if text.isascii() or max(text) < LATIN:
-                ids = [i for p in self.pieces(text.lower()) for i in self.piece(p.encode() + END)]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64:
-            self.memo[word] = found
-        return found
+        text = word.decode()
+        if text.isascii() or max(text) < LATIN:
+            ids = [i for p in self.pieces(text.lower()) for i in self.piece(p.encode() + END)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers; none for a null text."""
@@ -92,10 +107,8 @@ class Encoder:
             elif self.pattern:
                 yield self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
             else:
-                if len(self.memo) > MEMO:
-                    self.older, self.memo = self.memo, {}
-                memo, word = self.memo.get, self._word
-                yield b"".join([memo(w) or word(w) for w in text.encode("utf-8", "replace").split()])
+                self.memo.trim()
+                yield b"".join(map(self.memo.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 @cache
