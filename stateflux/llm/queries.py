@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateflux.llm import bpe, exact_dedup, langid, licenses, near_dedup, packing, pfor, quality, topk, warc
+from stateflux.llm import bpe, divergence, exact_dedup, langid, licenses, merkle, near_dedup, packing, pfor, pii, quality, topk, warc
 from stateflux.llm.common import load
 
 BYTE_BPE, MULTI_BPE, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -59,4 +59,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs.withColumn("held_out", langid.held_out()), profiles, "text", ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_minhash, op3_packing, op4_quality, op5_exact_dedup, op6_bpe, op7_token_files, op8_warc, op9_licenses, op10_language_id)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.audit(load(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_minhash, op3_packing, op4_quality, op5_exact_dedup, op6_bpe, op7_token_files, op8_warc, op9_licenses, op10_language_id, op11_merkle, op12_pii, op13_divergence)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stateflux.llm import divergence, pii
 from stateflux.llm.licenses import LEAST, TEMPLATES, bounds, table
 
 SQL = {
@@ -79,3 +80,88 @@ SELECT doc_id, license, greatest(count(DISTINCT ws), 1) AS n_units, round(max(d)
 
 
 SQL["op9_licenses"] = _licenses()
+
+
+#: The checksum of a short text, bit by bit: a byte comes in at every ninth step.
+CRC = "xor(list_reduce(range(9 * length({x})), lambda c, i: CASE WHEN i % 9 = 0 THEN xor(c, CAST(ascii({x}[i // 9 + 1]) AS BIGINT)) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, CAST(4294967295 AS BIGINT)), 4294967295)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _merkle() -> str:
+    """Levels from the leaves up by recursion, then each leaf folded along its siblings."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR) END"
+    head = " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({head} || {field("text")}) AS leaf, CASE WHEN {CRC.format(x="CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({head} || {field(f"translate(text, '{UPPER}', '{LOWER}')")}) END AS changed FROM documents
+), l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM d),
+t(g, level, idx, h, n) AS (
+  SELECT g, 0, r, leaf, n FROM l
+  UNION ALL SELECT g, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY g, level, idx // 8
+), s AS (SELECT g, level AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, idx, h, n) AS (
+  SELECT 0, r, subroot, n FROM s
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM u WHERE n > 1 GROUP BY level, idx // 8
+), top AS (SELECT h AS root FROM u WHERE n = 1),
+k AS (SELECT l.doc_id, l.g, t.level AS step, t.idx > l.r >> (3 * t.level) AS later, t.idx, t.h FROM l JOIN t ON t.g = l.g AND t.n > 1 AND t.idx // 8 = l.r >> (3 * t.level + 3) AND t.idx <> l.r >> (3 * t.level)
+  UNION ALL SELECT l.doc_id, l.g, s.height + u.level, u.idx > s.r >> (3 * u.level), u.idx, u.h FROM l JOIN s ON s.g = l.g JOIN u ON u.n > 1 AND u.idx // 8 = s.r >> (3 * u.level + 3) AND u.idx <> s.r >> (3 * u.level)),
+b AS (SELECT doc_id, step, coalesce(string_agg(h, '' ORDER BY idx) FILTER (NOT later), '') AS before, coalesce(string_agg(h, '' ORDER BY idx) FILTER (later), '') AS after FROM k GROUP BY doc_id, step),
+p AS (SELECT doc_id, string_agg(before || after, '' ORDER BY step) AS siblings FROM b GROUP BY doc_id),
+heights AS (SELECT s.g, s.height + (SELECT max(level) FROM u) AS steps FROM s),
+f(doc_id, g, step, h) AS (
+  SELECT doc_id, g, 0, coalesce(changed, leaf) FROM l
+  UNION ALL SELECT f.doc_id, f.g, f.step + 1, sha256(coalesce(before, '') || f.h || coalesce(after, '')) FROM f JOIN heights USING (g) LEFT JOIN b ON b.doc_id = f.doc_id AND b.step = f.step WHERE f.step < steps
+), folded AS (SELECT f.doc_id, f.h FROM f JOIN heights USING (g) WHERE f.step = steps)
+SELECT l.doc_id, l.leaf, s.subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root AS verified
+FROM l JOIN s USING (g) CROSS JOIN top JOIN folded ON folded.doc_id = l.doc_id LEFT JOIN p ON p.doc_id = l.doc_id
+"""
+
+
+def _pii() -> str:
+    """Matches between marks, their places from the lengths before them; the same limits, checksums and words nearby."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    near = f"translate(substr(text, greatest(a - {pii.BEFORE}, 0) + 1, least(a, {pii.BEFORE})) || chr(10) || substr(text, b + 1, {pii.AFTER}), '{UPPER}', '{LOWER}')"
+    matches = " UNION ALL ".join(f"SELECT doc_id, text, {i} AS i, string_split(regexp_replace(text, {quoted(pii.SPEC[k].pattern)}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts FROM t" for i, k in enumerate(pii.KINDS))
+    words = lambda i, side: " OR ".join(f"contains(near, {quoted(w)})" for w in getattr(pii.SPEC[pii.KINDS[i]], side))
+    moved = " ".join(f"WHEN {i} THEN {pii.SPEC[k].score} + {pii.STEP} * (CAST({words(i, 'raised_by')} AS INTEGER)) - {pii.STEP} * (CAST({words(i, 'lowered_by')} AS INTEGER))" for i, k in enumerate(pii.KINDS))
+    names = ", ".join(quoted(k) for k in pii.KINDS)
+    counts = ", ".join(f"count(*) FILTER (i = {i}) AS n_{k}" for i, k in enumerate(pii.BASE))
+    listed = f"coalesce(string_agg(([{names}])[i + 1] || ':' || a || ':' || b, ',' ORDER BY a, i){{}}, '')"
+    last = len(pii.BASE)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({matches}),
+e AS (SELECT doc_id, text, i, parts, unnest(range(2, len(parts) + 1, 2)) AS j FROM m),
+c AS (SELECT doc_id, text, i, parts[j] AS x, CAST(list_sum(list_transform(parts[1:j - 1], lambda p: length(p))) AS BIGINT) AS a FROM e),
+v AS (SELECT *, a + length(x) AS b, regexp_replace(x, '[^0-9]', '', 'g') AS ds, replace(x, ' ', '') AS account FROM c),
+w AS (SELECT * FROM v WHERE CASE i WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(p AS DOUBLE) > 255)) = 0
+  WHEN 2 THEN length(ds) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(ds) + 1), lambda p: CASE WHEN p % 2 = 1 THEN CAST(ds[-p] AS INTEGER) WHEN ds[-p] > '4' THEN 2 * CAST(ds[-p] AS INTEGER) - 9 ELSE 2 * CAST(ds[-p] AS INTEGER) END)) % 10 = 0
+  WHEN 3 THEN length(ds) BETWEEN 10 AND 15
+  WHEN 4 THEN length(account) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(account[5:] || account[:4], ''), lambda p: CAST(CASE WHEN p >= 'A' THEN ascii(p) - 55 ELSE ascii(p) - 48 END AS BIGINT)), lambda r, p: (r * CASE WHEN p > 9 THEN 100 ELSE 10 END + p) % 97, CAST(0 AS BIGINT)) = 1
+  WHEN 5 THEN x[:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:] <> '0000'
+  ELSE x[1] NOT IN ('0', '1') AND x[5] NOT IN ('0', '1') END),
+n AS (SELECT doc_id, i, a, b, {near} AS near FROM w), z AS (SELECT *, CASE i {moved} END AS score FROM n),
+s AS (SELECT * FROM z WHERE i < {last} OR (score >= {pii.LEAST} AND NOT EXISTS (SELECT 1 FROM z AS y WHERE y.doc_id = z.doc_id AND y.i < {last} AND y.a < z.b AND z.a < y.b)))
+SELECT t.doc_id, {counts}, sha256({listed.format(f" FILTER (i < {last})")}) AS base_sha256, {listed.format("")} AS spans FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+SQL["op11_merkle"] = _merkle()
+SQL["op12_pii"] = _pii()
+SQL["op13_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{divergence.TERM}') AS ts FROM documents),
+e AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM e GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM e GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM kept GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, total, coalesce(n, 0) AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+shares AS (
+  SELECT dense.lang, source, term, n, 1 + CAST({divergence.SCALE} * (CAST(n AS HUGEINT) + 1) // (sum(n) OVER (PARTITION BY dense.lang, source) + v) AS BIGINT) AS p, 1 + CAST({divergence.SCALE} * (CAST(total AS HUGEINT) + 1) // (nl + v) AS BIGINT) AS q
+  FROM dense JOIN size ON size.lang = dense.lang
+), f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS "rank" FROM r)
+SELECT lang, source, part, item, value, "rank" FROM o WHERE part = 'pair' OR "rank" <= 200
+"""
