@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stateflux.llm.common import Work, written
+from stateflux.llm.common import Work, slices, tidy, written
 
 #: Runs of letters A-Z, a-z and of all characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Shares are integers, in parts of this; a language's vocabulary meets its sources in shards of so many terms.
-SCALE, SHARD = 1_000_000_000, 50_000
+#: Shares are integers, in parts of this; a language's vocabulary meets its sources in shards of so many terms; a task holds so many counts.
+SCALE, SHARD, HELD = 1_000_000_000, 50_000, 400_000
 
 
 def occurrences(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term, n, d: occurrences of a term and the number of documents with it."""
-    terms = F.sort_array(F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(TERM), 0))
-    # sorted, a term's first occurrence in its document is one that differs from its predecessor
-    marked = lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(s, i - 1) != t)).cast("int").alias("first")))
-    each = docs.select(_plain(lang).alias("lang"), _plain(source).alias("source"), F.explode(F.flatten(F.transform(F.array(terms), marked))).alias("t"))
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("d"))
+    """lang, source, term, n, d: occurrences of a term and the number of documents with it, of some documents each.
+
+    On UTF-8 the matches of TERM are what blanks separate, once all other ASCII
+    characters are blanks. A task passes its counts on when it holds HELD.
+    """
+    letters = bytes(range(65, 91)) + bytes(range(97, 123))
+    plain = bytes((c | 32 if c in letters else 32) if c < 128 else c for c in range(256))
+    names = ["lang", "source", "term", "n", "d"]
+
+    def passed(counts: dict, held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), n in counts.items():
+            d = held[lang, source]
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            key = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([x], pa.string())).cast(pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*key, terms, pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())], names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = defaultdict(Counter), defaultdict(Counter), 0
+        for batch in slices(batches):
+            texts, keys = batch.column(2).cast(pa.binary()).to_pylist(), zip(*(batch.column(i).to_pylist() for i in (0, 1)))
+            for t, key in zip(texts, keys):
+                words, n = t.translate(plain).split(), counts[key]
+                size -= len(n)
+                n.update(words)
+                size += len(n)
+                held[key].update(set(words))
+            if size > HELD:
+                yield from passed(counts, held)
+                counts, held, size = defaultdict(Counter), defaultdict(Counter), 0
+        yield from passed(counts, held)
+
+    rows = docs.select(_plain(lang).alias("lang"), _plain(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(tidy(work), "lang string, source string, term string, n long, d long")
 
 
 def _plain(c: str) -> Column:
@@ -35,8 +66,8 @@ def _share(count: str, size: str, terms: str) -> Column:
 def audit(docs: DataFrame, least: int = 3, most: int = 200, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part, item, value, rank: for each source of a language, the others by distance (``pair``) and its ``most`` most characteristic terms (``term``).
 
-    1. Terms of whole texts are counted by language and source, summed in each
-       task before the shuffle; those in at least ``least`` documents of their
+    1. Terms of whole texts are counted by language and source, within tasks
+       before the shuffle; those in at least ``least`` documents of their
        language are kept.
     2. Groups cross their language's kept terms, so that a term that a group
        lacks counts 0. The vocabulary is dealt to shards, to each of which the
@@ -51,10 +82,12 @@ def audit(docs: DataFrame, least: int = 3, most: int = 200, text: str = "text",
     each two sources of a language, as many as the square of its sources.
     """
     with Work() as work:
-        counts = work.written(occurrences(docs, text, lang, source), "counts")
-        kept = counts.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("total")).where(F.col("d") >= least).select("lang", "term", "total")
-        kept = work.written(kept, "vocabulary")
-        own = work.written(counts.join(kept, ["lang", "term"]).select("lang", "term", "source", "n", "total"), "kept")
+        # dealt by language and term once, for the sums and for the documents over all sources
+        counts = occurrences(docs, text, lang, source).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        everywhere = Window.partitionBy("lang", "term")  # as many rows as the language has sources
+        counts = counts.withColumn("total", F.sum("n").over(everywhere)).withColumn("d", F.sum("d").over(everywhere))
+        own = work.written(counts.where(F.col("d") >= least).select("lang", "term", "source", "n", "total"), "kept")
+        kept = work.written(own.select("lang", "term", "total").distinct(), "vocabulary")
         languages = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("nl"))
         sizes = own.groupBy("lang", "source").agg(F.sum("n").alias("ng"))
         found = docs.select(_plain(lang).alias("lang"), _plain(source).alias("source")).distinct()
