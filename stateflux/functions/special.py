@@ -10,6 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function at positive arguments."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    for _ in range(8):
+        low = x < 8
+        out -= np.where(low, 1 / x, 0.0)
+        x = np.where(low, x + 1, x)
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300

