@@ -190,17 +190,17 @@ def t1_bootstrap_and_sign_flips(spark, d):
 def _design(spark, d):
     x = maps(spark, d).select((F.col("id") % 40).alias("unit"), F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("grp"), F.concat(F.lit("c"), (F.floor(F.col("id") / 40) % 2).cast("string")).alias("condition"), (F.floor(F.col("id") / 80) % 3).cast("int").alias("state"), F.slice("map", 1, 16).alias("map")).where("state is not null")
     means = A.mean_map(x, ["unit", "grp", "condition", "state"]).withColumnRenamed("mean_map", "map")
-    return P.collected_design(means)
+    return means
 
 
 @query()
 def t3_tanova(spark, d):
-    return P.tanova(spark, _design(spark, d), draws=200)
+    return P.tanova(_design(spark, d), draws=200)
 
 
 @query()
 def t5_bayesian_tanova(spark, d):
-    return P.tanova(spark, _design(spark, d), draws=200, posthoc=False, bayesian=True)
+    return P.tanova(_design(spark, d), draws=200, posthoc=False, bayesian=True)
 
 
 def _beats(spark, d):

@@ -377,7 +377,12 @@ def test_sign_flips_and_bootstrap(spark):
     assert a == b and a[0]["n"] == 5 and a[1]["n"] == 0 and a[1]["mean"] is None
 
 
-def test_tanova_finds_what_is_planted(spark):
+def design(spark, unit, group, condition, x):
+    rows = [(u, g, c, s, m.tolist()) for u, g, c, maps in zip(unit, group, condition, x) for s, m in enumerate(maps)]
+    return spark.createDataFrame(rows, "unit long, grp string, condition string, state int, map array<double>")
+
+
+def test_tanova_finds_what_is_planted(spark, monkeypatch):
     rng = np.random.default_rng(5)
     unit, group, condition, x = [], [], [], []
     base, shift = rng.normal(size=(2, 8)), np.zeros((2, 8))
@@ -388,28 +393,57 @@ def test_tanova_finds_what_is_planted(spark):
             group.append("ab"[u % 2])
             condition.append(f"c{c}")
             x.append(base + c * shift + 0.3 * rng.normal(size=(2, 8)))
-    design = P.Design(unit, group, condition, x)
-    got = {(r["effect"], r["state"]): r for r in P.tanova(spark, design, draws=400).collect()}
+    data = design(spark, unit, group, condition, x)
+    got = {(r["effect"], r["state"]): r for r in P.tanova(data, draws=400).collect()}
     assert got["condition", 0]["p_uncorrected"] < 0.01 and got["condition", 1]["p_uncorrected"] > 0.02 and got["group", 0]["p_uncorrected"] > 0.02 and got["group_x_condition", 0]["p_max_state"] > 0.02
     assert {k[0] for k in got} >= {"group_pair_a_vs_b", "condition_pair_c0_vs_c1", "condition_within_a", "group_at_c1"} and got["condition", 0]["n_permutations"] == 400
     means = np.array([np.mean([m for m, c in zip(x, condition) if c == f"c{i}"], axis=0) for i in range(2)])
-    assert abs(got["condition", 0]["statistic"] - np.sqrt(((means - means.mean(axis=0))[:, 0] ** 2).mean())) < 1e-9
-    again = {(r["effect"], r["state"]): r["p_uncorrected"] for r in P.tanova(spark, design, draws=400).collect()}
+    assert got["condition", 0]["statistic"] == pytest.approx(np.sqrt(((means - means.mean(axis=0))[:, 0] ** 2).mean()))
+    # a unit's maps as the group test takes them
+    mean, turned = np.mean(x, axis=0), []
+    for u in range(16):
+        m = np.mean([v for v, w in zip(x, unit) if w == u], axis=0)
+        turned.append(P.unit_rms(m * np.where((m * mean).sum(axis=1) < 0, -1, 1)[:, None]))
+    own = np.array([np.mean(turned[i::2], axis=0) for i in range(2)])
+    assert got["group", 1]["statistic"] == pytest.approx(P.main_effect(own)[1]) and got["group", 1]["n_units"] == 16
+    cells = np.array([[np.mean([m for m, a, b in zip(x, group, condition) if (a, b) == (g, c)], axis=0) for c in ("c0", "c1")] for g in "ab"])
+    assert got["group_x_condition", 0]["statistic"] == pytest.approx(P.interaction(cells)[0])
+    # neither the tasks nor how much they hold change anything
+    monkeypatch.setattr(P, "HELD", 1 << 10)
+    again = {(r["effect"], r["state"]): r["p_uncorrected"] for r in P.tanova(data.repartition(7), draws=400).collect()}
     assert all(got[k]["p_uncorrected"] == again[k] for k in again)
-    posterior = {(r["effect"], r["state"]): r for r in P.tanova(spark, design, draws=300, posthoc=False, bayesian=True, rope=0.2).collect()}
-    assert posterior["condition", 0]["prob_gt_rope"] > 0.95 and posterior["condition", 0]["ci_low"] < posterior["condition", 0]["posterior_median"] < posterior["condition", 0]["ci_high"] and posterior["condition", 0]["n_draws"] == 300
-    lone = P.tanova(spark, P.Design([0, 1], ["a", "a"], [None, None], x[:2]), draws=10, posthoc=False).collect()
-    assert all(r["statistic"] is None and r["note"] for r in lone)
 
 
-def test_label_permutations_by_enumeration():
+def test_tanova_posterior_and_what_cannot_be_tested(spark):
+    rng = np.random.default_rng(9)
+    x = [np.array([[1.0, 0, 0, -1], [0, 1, -1, 0]]) * (1 + c) + 0.1 * rng.normal(size=(2, 4)) for _ in range(10) for c in range(2)]
+    unit, condition = [u for u in range(10) for _ in range(2)], ["c0", "c1"] * 10
+    posterior = {(r["effect"], r["state"]): r for r in P.tanova(design(spark, unit, [None] * 20, condition, x), draws=600, posthoc=False, bayesian=True, rope=0.2).collect()}
+    r = posterior["condition", 0]
+    assert r["prob_gt_rope"] > 0.95 and r["ci_low"] < r["posterior_median"] < r["ci_high"] and r["n_draws"] == 600 and r["posterior_mean"] == pytest.approx(r["statistic"], rel=0.1)
+    lone = P.tanova(design(spark, [0, 1], ["a", "a"], [None, None], x[:2]), draws=10, posthoc=False).collect()
+    assert len(lone) == 2 and all(r["statistic"] is None and r["note"] for r in lone)
+    # a unit that lacks a condition is left out, or with complete=False stays if it has two
+    three = P.tanova(design(spark, [*unit, 99], [None] * 21, [*condition, "c0"], [*x, x[0]]), draws=5, posthoc=False).collect()
+    assert three[0]["n_units"] == 10 and three[0]["n_observations"] == 20
+    assert P.tanova(design(spark, [0], [None], [None], x[:1]), draws=5).count() == 0
+
+
+def test_label_permutations_by_enumeration(spark):
     rng = np.random.default_rng(6)
-    x, labels = rng.normal(size=(6, 1, 5)), np.array(list("aaabbb"), object)
-    exact = np.mean([P.main_effect(x, np.array(p, object))[0] >= P.main_effect(x, labels)[0] - 1e-12 for p in set(itertools.permutations(labels))])
-    draws = [P.main_effect(x, labels[rng.permutation(6)])[0] >= P.main_effect(x, labels)[0] - 1e-12 for _ in range(4000)]
-    assert abs(np.mean(draws) - exact) < 0.03
-    within = P._within(labels, np.array([0, 0, 0, 0, 1, 1]), rng)
-    assert sorted(within[:4]) == list("aaab") and sorted(within[4:]) == ["b", "b"]
+    x = P.unit_rms(rng.normal(size=(6, 1, 5)) + 3 * np.arange(5))  # all along their mean
+    labels = np.array(list("aaabbb"), object)
+    effect = lambda p: P.main_effect(np.array([x[p == v].mean(axis=0) for v in "ab"]))[0]
+    exact = np.mean([effect(np.array(p, object)) >= effect(labels) - 1e-12 for p in set(itertools.permutations(labels))])
+    got = one(P.tanova(design(spark, range(6), labels, [None] * 6, x), draws=4000, posthoc=False))
+    assert got["statistic"] == pytest.approx(effect(labels)) and abs(got["p_uncorrected"] - exact) < 0.03
+    items = spark.createDataFrame([(0, "condition", f"u{i // 4}", 0, i % 4, f"i{i}") for i in range(12)], "t int, kind string, unit string, g int, c int, item string")
+    seen = {}
+    for r in P._permuted(items, 500, 1).where("draw >= 0").collect():
+        seen.setdefault((int(r["item"][1:]) // 4, r["draw"]), []).append((r["item"], r["label"]))
+    assert all(sorted(label for _, label in v) == [0, 1, 2, 3] for v in seen.values())  # within units
+    orders = [tuple(label for _, label in sorted(v)) for (u, _), v in seen.items() if u == 0]
+    assert len(set(orders)) == 24 and max(orders.count(o) for o in set(orders)) < 45
 
 
 def test_regressions_against_closed_forms(spark):
