@@ -25,6 +25,7 @@ from stateflux.operators import tables as T
 from stateflux.sinks import files as K
 from stateflux.sources import files as SF
 from tests import local_fits as local
+from tests import local_regression as LR
 
 
 def one(df):
@@ -446,13 +447,13 @@ def test_label_permutations_by_enumeration(spark):
     assert len(set(orders)) == 24 and max(orders.count(o) for o in set(orders)) < 45
 
 
-def test_regressions_against_closed_forms(spark):
+def test_regressions_in_memory_against_closed_forms():
     rng = np.random.default_rng(7)
     g = np.repeat(np.arange(40), 10)
     x = rng.normal(size=400)
     y = 1 + 2 * x + np.repeat(rng.normal(size=40), 10) + rng.normal(size=400)
     m = np.column_stack((np.ones(400), x))
-    beta, cov, between, within = R.mixed(m, y, g)
+    beta, cov, between, within = LR.mixed(m, y, g)
     v = between * (g[:, None] == g[None]) + within * np.eye(400)
     w = np.linalg.inv(v)
     assert np.allclose(beta, np.linalg.solve(m.T @ w @ m, m.T @ w @ y)) and np.allclose(cov, np.linalg.inv(m.T @ w @ m)) and 0.5 < between < 2 and 0.7 < within < 1.4
@@ -464,23 +465,23 @@ def test_regressions_against_closed_forms(spark):
         return np.linalg.slogdet(u)[1] + e @ np.linalg.solve(u, e)
 
     assert all(loss(between * p, within * q) >= loss(between, within) - 1e-6 for p, q in ((1.05, 1), (0.95, 1), (1, 1.05), (1, 0.95)))
-    ols, robust = R.ols_clustered(m, y, g)
+    ols, robust = LR.ols_clustered(m, y, g)
     e, bread = y - m @ ols, np.linalg.inv(m.T @ m)
     meat = sum(np.outer(s, s) for s in (m[g == k].T @ e[g == k] for k in range(40)))
     assert np.allclose(robust, 40 / 39 * 399 / 398 * bread @ meat @ bread)
     # a saturated logit has the logits of the shares
     z = np.tile([0.0, 1.0], 200)
     hits = (rng.random(400) < np.where(z == 1, 0.7, 0.4)).astype(float)
-    b, c, _ = R.gee(np.column_stack((np.ones(400), z)), hits, np.arange(400), exchangeable=False)
+    b, c, _ = LR.gee(np.column_stack((np.ones(400), z)), hits, np.arange(400), exchangeable=False)
     logit = lambda p: math.log(p / (1 - p))
     assert abs(b[0] - logit(hits[z == 0].mean())) < 1e-8 and abs(b.sum() - logit(hits[z == 1].mean())) < 1e-8
     n, k = np.array([100, 100]), np.array([hits[z == i].sum() / 2 for i in (0, 1)])
-    counted, _, _ = R.gee(np.array([[1.0, 0], [1, 1]]), k, np.arange(2), exchangeable=False, trials=n)
+    counted, _, _ = LR.gee(np.array([[1.0, 0], [1, 1]]), k, np.arange(2), exchangeable=False, trials=n)
     assert np.allclose(counted, [logit(k[0] / 100), logit(k[1] / 100) - logit(k[0] / 100)])
     # the exchangeable equations hold at the solution
     shift = np.repeat(rng.normal(size=40), 10)
     won = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + x + shift)))).astype(float)
-    b, _, alpha = R.gee(m, won, g)
+    b, _, alpha = LR.gee(m, won, g)
     mu = 1 / (1 + np.exp(-m @ b))
     s = np.sqrt(mu * (1 - mu))
     r = np.linalg.inv((1 - alpha) * np.eye(10) + alpha)
@@ -488,6 +489,41 @@ def test_regressions_against_closed_forms(spark):
     assert np.abs(score).max() < 1e-6 and 0 < alpha < 0.5
 
 
+def test_sums_of_clusters_give_the_regressions_in_memory(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for study in "st":
+        shift = {c: rng.normal() for c in range(25)}
+        for i in range(500):
+            c = 0 if i < 170 else int(rng.integers(25))  # one cluster has a third of all rows
+            v, level = float(rng.normal()), "abc"[int(rng.integers(2 if study == "t" else 3))]
+            y = 1 + 2 * v + (level == "b") + shift[c] + float(rng.normal())
+            won = float(rng.random() < 1 / (1 + math.exp(-(0.3 + v + shift[c]))))
+            rows.append((study, f"c{c}", level, v, y, won, float(rng.integers(1, 6))))
+    data = spark.createDataFrame(rows, "study string, p string, c string, v double, y double, won double, lost double").repartition(5)
+    for model, outcome in (("ols", "y"), ("mixed", "y"), ("gee_binomial", "won"), ("gee_gaussian", "y"), ("binomial_counts", "won")):
+        got = R.modelled(data, ["study"], outcome, ["c", "v", "c:v"], "p", model, "lost" if model == "binomial_counts" else None).collect()
+        for study in "st":
+            own = [r for r in rows if r[0] == study]
+            levels = sorted({r[2] for r in own})[1:]
+            x = np.array([[1.0, *(float(r[2] == k) for k in levels), r[3], *((r[2] == k) * r[3] for k in levels)] for r in own])
+            y, cluster = np.array([r[4] if outcome == "y" else r[5] for r in own]), np.array([r[1] for r in own])
+            rho = None
+            if model == "ols":
+                beta, cov = LR.ols_clustered(x, y, cluster)
+            elif model == "mixed":
+                beta, cov, between, within = LR.mixed(x, y, cluster)
+                rho = between / (between + within)
+            elif model == "binomial_counts":
+                beta, cov, _ = LR.gee(x, y, cluster, "binomial", False, trials=y + np.array([r[6] for r in own]))
+            else:
+                beta, cov, rho = LR.gee(x, y, cluster, model.removeprefix("gee_"), model == "gee_binomial")
+            mine = [r for r in got if r["study"] == study]
+            assert [r["column"] for r in mine] == ["(intercept)", *(f"c[{k}]" for k in levels), "v", *(f"c[{k}]:v" for k in levels)]
+            assert np.allclose([r["estimate"] for r in mine], beta, atol=1e-6) and np.allclose([r["std_error"] for r in mine], np.sqrt(np.diag(cov)), rtol=1e-5)
+            assert rho is None or mine[0]["correlation"] == pytest.approx(rho, abs=1e-6)
+
+
 def test_models_as_tables(spark):
     rng = np.random.default_rng(8)
     rows = [("s", int(p), "ab"[i % 2], float(v), float(rng.normal() + v + (i % 2))) for p in range(20) for i, v in enumerate(rng.normal(size=6))] + [("t", 0, "a", 1.0, 1.0), ("s", 3, None, 1.0, 1.0)]
