@@ -8,6 +8,7 @@ that begins at the current row and has no end would be summed anew for each row.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stateflux.operators.rounds import Rounds
 from stateflux.operators.tables import small
 
 ORDER = ("us", "seq")
@@ -122,39 +124,73 @@ def local_maxima(df: DataFrame, share: float | Sequence[float], least: int = 0,
     return met.where(F.col(value) >= F.col("_floors")[F.col("_use")]).drop("_floors", "_use")
 
 
+#: Positions in a block of a record, at least: what lies near its borders is copied to its neighbours.
+BLOCK = 1 << 14
+
+
 def spaced_peaks(peaks: DataFrame, distance: int, rec: str = "rec", pos: str = "pos", value: str = "gfp", strict: bool = True) -> DataFrame:
     """Of the peaks of a record, highest first (ties to the earlier), those with no chosen one within ``distance``; without ``strict`` one exactly that far does not count.
 
-    The choice depends on the order, so a record's peaks, not its samples, go through one Python call.
+    In rounds: a peak higher than all undecided ones that near is chosen, and those
+    that near to it are left out. Records are worked on in blocks, with copies of
+    what is near their borders, so that a long one is many tasks. There are as many
+    rounds as the longest row of ever higher peaks, each near to the next, has.
+    Peaks without a value come last; those of one position are one peak.
     """
-
-    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([value, pos], ascending=[False, True])
-        at, kept, keep = pdf[pos].to_numpy(), np.empty(0, np.int64), []
-        for p in at:
-            i = np.searchsorted(kept, p)
-            near = [abs(int(p) - int(kept[j])) for j in (i - 1, i) if 0 <= j < len(kept)]
-            good = all(d > distance if strict else d >= distance for d in near)
-            keep.append(good)
-            if good:
-                kept = np.insert(kept, i, p)
-        return pdf[keep]
-
-    return peaks.groupBy(rec).applyInPandas(chosen, peaks.schema)
+    near = distance if strict else distance - 1
+    width = max(BLOCK, 8 * near)
+    with Rounds(peaks.sparkSession) as work:
+        left = peaks.select(F.col(rec).alias("r"), F.col(pos).cast("long").alias("p"), F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))).alias("v")).groupBy("r", "p").agg(F.max("v").alias("v"))
+        left, chosen = work.written(left, "peaks"), []
+        while True:
+            at = lambda shift: F.floor((F.col("p") + shift) / width)
+            dealt = left.withColumn("b", F.explode(F.array_distinct(F.array(at(-2 * near), at(0), at(2 * near)))))
+            around = Window.partitionBy("r", "b").orderBy("p").rangeBetween(-near, near)
+            # two halos: the choice of what is near a point depends on what is near that
+            top = F.max(F.struct("v", (-F.col("p")).alias("n"))).over(around)
+            marked = dealt.withColumn("top", F.col("p") == -top["n"]).withColumn("out", F.max(F.col("top").cast("int")).over(around) == 1)
+            own = work.written(marked.where(F.col("b") == at(0)).select("r", "p", "v", "top", "out"), "round")
+            chosen.append(own.where("top").select("r", "p"))
+            before, left = left, own.where("not out").select("r", "p", "v")
+            if len(chosen) == 1:
+                work.dropped(before)
+            if left.isEmpty():
+                break
+        kept = functools.reduce(DataFrame.unionByName, chosen)
+        kept = work.result(kept.withColumnRenamed("r", "_r").withColumnRenamed("p", "_p"), "chosen")
+    return peaks.join(kept, F.col(rec).eqNullSafe(F.col("_r")) & (F.col(pos) == F.col("_p")), "left_semi")
 
 
 def collapsed_train(marks: DataFrame, gap: int, rec: str = "rec", pos: str = "pos") -> DataFrame:
-    """Of marked positions, those more than ``gap`` after the last one kept; the first is kept."""
-
-    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, keep, last = np.sort(pdf[pos].to_numpy()), [], None
-        for p in at:
-            if last is None or p - last > gap:
-                keep.append(p)
-                last = p
-        return pd.DataFrame({rec: [pdf[rec].iloc[0]] * len(keep), pos: keep})
+    """Of marked positions, those more than ``gap`` after the last one kept; the first is kept.
 
-    return marks.select(rec, pos).groupBy(rec).applyInPandas(kept, marks.select(rec, pos).schema)
+    A mark that far from the one before it is kept whatever precedes it, so marks
+    fall into islands. In an island a kept mark leads to the first mark beyond its
+    gap; who is led to is found by doubling the leaps, in rounds whose number grows
+    with the logarithm of an island's kept marks.
+    """
+    with Rounds(marks.sparkSession) as work:
+        rows = marks.select(F.col(rec).alias("r"), F.col(pos).cast("long").alias("p")).where("p is not null").distinct()
+        earlier = Window.partitionBy("r").orderBy("p")
+        first = F.coalesce(F.col("p") - F.lag("p").over(earlier) > gap, F.lit(True))
+        # seen from behind, the marks beyond the gap are a frame that only grows
+        beyond = Window.partitionBy("r").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, -(gap + 1))
+        leaps = work.written(rows.withColumn("first", first).withColumn("to", F.min("p").over(beyond)), "marks")
+        reached = leaps.where("first").select("r", "p")
+        leaps = leaps.where("to is not null").join(leaps.where("not first").select(F.col("r").alias("_r"), F.col("p").alias("_to")), F.col("r").eqNullSafe(F.col("_r")) & (F.col("to") == F.col("_to"))).select("r", "p", "to")
+        reached, leaps = work.written(reached, "reached"), work.written(leaps, "leaps")
+        same = F.col("r").eqNullSafe(F.col("_r"))
+        while not leaps.isEmpty():
+            start = reached.select(F.col("r").alias("_r"), F.col("p").alias("_p"))
+            more = leaps.join(start, same & (F.col("p") == F.col("_p"))).select("r", F.col("to").alias("p"))
+            on = leaps.select(F.col("r").alias("_r"), F.col("p").alias("_p"), F.col("to").alias("_to"))
+            double = leaps.join(on, same & (F.col("to") == F.col("_p"))).select("r", "p", F.col("_to").alias("to"))
+            old = reached, leaps
+            reached, leaps = work.written(reached.unionByName(more).distinct(), "reached"), work.written(double, "leaps")
+            for table in old:
+                work.dropped(table)
+        kinds = marks.select(rec, pos).schema
+        return work.result(reached.select(F.col("r").alias(rec), F.col("p").cast(kinds[pos].dataType).alias(pos)), "train")
 
 
 def plausible_trains(events: DataFrame, low_s: float = 0.25, high_s: float = 2.5, rec: str = "rec", at: str = "us") -> DataFrame:

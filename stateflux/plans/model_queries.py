@@ -226,13 +226,22 @@ def t13_binomial_counts(spark, d):
     return R.modelled(counts, ["study"], "hits", ["condition", "coverage"], "participant", "binomial_counts", failures="misses")
 
 
-@query()
+PLACED = "e AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS pos, value AS gfp FROM events)"
+
+
+@query(f"""WITH RECURSIVE {PLACED}, n AS (SELECT *, lag(gfp) OVER w AS l, lead(gfp) OVER w AS r FROM e WINDOW w AS (PARTITION BY rec ORDER BY pos)),
+q AS (SELECT rec, quantile_cont(gfp, 0.3) AS floor FROM e GROUP BY rec), p AS (SELECT rec, pos, gfp, row_number() OVER (PARTITION BY rec ORDER BY gfp DESC, pos) AS i FROM n JOIN q USING (rec) WHERE gfp > l AND gfp >= r AND gfp >= floor),
+c(rec, i, kept) AS (SELECT rec, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM q UNION ALL SELECT c.rec, p.i, CASE WHEN len(list_filter(kept, lambda k: abs(k - p.pos) <= 3)) = 0 THEN list_append(kept, p.pos) ELSE kept END FROM c JOIN p ON p.rec = c.rec AND p.i = c.i + 1),
+l AS (SELECT rec, kept FROM c QUALIFY row_number() OVER (PARTITION BY rec ORDER BY i DESC) = 1)
+SELECT p.rec, p.pos, p.gfp FROM p JOIN l USING (rec) WHERE list_contains(kept, p.pos)""")
 def w2_spaced_peaks(spark, d):
     rows = sequence(spark, d).withColumn("pos", F.row_number().over(S._over("rec")).cast("long"))
     return S.spaced_peaks(S.local_maxima(rows, 0.3), 3).select("rec", "pos", "gfp")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLACED}, m AS (SELECT rec, pos FROM e WHERE gfp > 50),
+k(rec, pos) AS (SELECT rec, min(pos) FROM m GROUP BY rec UNION ALL SELECT k.rec, min(m.pos) FROM k JOIN m ON m.rec = k.rec AND m.pos > k.pos + 2 GROUP BY k.rec, k.pos)
+SELECT rec, CAST(pos AS BIGINT) AS pos FROM k""")
 def w15_collapsed_train(spark, d):
     rows = sequence(spark, d).withColumn("pos", F.row_number().over(S._over("rec")).cast("long"))
     return S.collapsed_train(rows.where("gfp > 50"), 2)

@@ -166,6 +166,34 @@ def test_peaks_by_the_definition(spark):
     assert sorted(r["pos"] for r in S.collapsed_train(tops, 4).collect()) == got
 
 
+def test_spaced_peaks_and_trains_of_long_records(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)  # many blocks
+    rng = np.random.default_rng(12)
+    rows = [(r, int(p), float(v)) for r in (1, None) for p, v in zip(np.flatnonzero(rng.random(900) < 0.4), rng.integers(0, 12, 900))]
+    rows += [(2, p, float(p)) for p in range(0, 60, 2)]  # ever higher: as many rounds as it takes
+    x = spark.createDataFrame(rows, "rec long, pos long, gfp double")
+    for distance, strict in ((3, True), (5, False), (0, True)):
+        got = sorted(((r["rec"], r["pos"]) for r in S.spaced_peaks(x, distance, strict=strict).collect()), key=repr)
+        want = []
+        for rec in (1, None, 2):
+            kept = []
+            for _, p, _ in sorted((r for r in rows if r[0] == rec), key=lambda r: (-r[2], r[1])):
+                if all(abs(p - k) > distance if strict else abs(p - k) >= distance for k in kept):
+                    kept.append(p)
+            want += [(rec, p) for p in kept]
+        assert got == sorted(want, key=repr)
+    for gap in (0, 2, 7):
+        want = []
+        for rec in (1, None, 2):
+            last = None
+            for p in sorted(r[1] for r in rows if r[0] == rec):
+                if last is None or p - last > gap:
+                    want.append((rec, p))
+                    last = p
+        assert sorted(((r["rec"], r["pos"]) for r in S.collapsed_train(x, gap).collect()), key=repr) == sorted(want, key=repr)
+    assert S.spaced_peaks(x.limit(0), 3).count() == 0 and S.collapsed_train(x.limit(0), 3).count() == 0
+
+
 def test_outliers_keep_enough(spark):
     x = spark.createDataFrame([(0, float(v)) for v in (1, 1, 1, 1, 1, 9)] + [(1, float(v)) for v in (1, 2, 3, 4, 100)] + [(2, 5.0), (2, 50.0)], "g int, v double")
     kept = lambda **k: sorted((r["g"], r["v"]) for r in S.upper_outliers(x, ["g"], "v", **k).where("keep").collect())
