@@ -8,6 +8,7 @@ to sums by draw and level.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,46 +26,56 @@ from stateflux.operators.rounds import Rounds
 CHUNK, HELD = 500, 64 << 20
 
 
-def bootstrap_ci(values: np.ndarray, draws: int, seed: int) -> tuple[float, float]:
-    """The 2.5 and 97.5 percentiles of means of samples with replacement."""
-    values = values[np.isfinite(values)]
-    if not len(values) or draws <= 0:
-        return float("nan"), float("nan")
-    rng, means = np.random.default_rng(seed), np.empty(draws)
-    for at in range(0, draws, CHUNK):
-        n = min(CHUNK, draws - at)
-        means[at : at + n] = values[rng.integers(0, len(values), (n, len(values)))].mean(axis=1)
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(low), float(high)
-
-
-def sign_flip_p(values: np.ndarray, draws: int, seed: int, exact: bool = False) -> float:
-    """One-sided: the share of flipped means at least as great as the observed one, itself counted. ``exact`` goes through all flips."""
-    values = values[np.isfinite(values)]
-    if len(values) < 2 or draws <= 0:
-        return float("nan")
-    if exact:
-        signs = 1 - 2 * ((np.arange(1 << len(values))[:, None] >> np.arange(len(values))) & 1)
-        return float((signs @ values >= values.sum() - 1e-12).mean())
-    rng, over = np.random.default_rng(seed), 0
-    for at in range(0, draws, CHUNK):
-        signs = rng.choice(np.array([-1.0, 1.0]), (min(CHUNK, draws - at), len(values)))
-        over += int((signs @ values / len(values) >= values.mean() - 1e-12).sum())
-    return (over + 1) / (draws + 1)
+#: Of a Poisson variable of mean 1, the chances of at most 0, 1, ...; beyond the last none occurs in practice.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(19)])
 
 
 def paired_tests(improvements: DataFrame, by: list[str], value: str, order: str, draws: int = 20_000, boots: int = 2_000, seed: int = 0) -> DataFrame:
-    """by, n, mean, ci_low, ci_high, p_value, effect_dz: of each metric's improvements, one group a task."""
+    """by, n, mean, ci_low, ci_high, p_value, effect_dz: of each metric's improvements the mean, the 2.5 and 97.5 percentiles of its bootstrap, the one-sided p of random signs (null for one row), and the mean over the SD.
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        v = v[np.isfinite(v)]
-        sd = v.std(ddof=1) if len(v) > 1 else 0.0
-        low, high = bootstrap_ci(v, boots, seed)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": len(v), "mean": v.mean() if len(v) else None, "ci_low": low, "ci_high": high, "p_value": sign_flip_p(v, draws, seed + 1), "effect_dz": v.mean() / sd if sd > 0 else None}])
+    Signs and how often a row is drawn (Poisson counts of mean 1, the bootstrap of
+    tables in parts) follow from a hash of ``order``, which tells a metric's rows
+    apart, and the draw's number. Each task adds its rows to the sums of all draws,
+    so no metric is gathered. The observed sum counts as one of the draws.
+    """
+    node = (F.to_json(F.struct(*by)) if by else F.lit("{}")).alias("node")
+    v = F.col(value).cast("double")
+    rows = improvements.select(node, F.xxhash64(order, F.lit(seed)).alias("h"), F.when(F.abs(v) < float("inf"), v).alias("x"))
 
-    kinds = ", ".join([f"{c} {improvements.schema[c].dataType.simpleString()}" for c in by] + ["n long, mean double, ci_low double, ci_high double, p_value double, effect_dz double"])
-    return improvements.select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(test, kinds)
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, own in frame.groupby("node"):
+                own = own.dropna(subset=["x"])
+                x, h = own["x"].to_numpy(float), own["h"].to_numpy()
+                parts = [[len(x), x.sum(), (x**2).sum()]]
+                for at in range(0, draws, CHUNK):
+                    parts.append(np.where(_uniform(h, np.arange(at, min(draws, at + CHUNK))) < 0.5, -1.0, 1.0) @ x)
+                counts = []
+                for at in range(0, boots, CHUNK):
+                    c = np.searchsorted(POISSON, _uniform(h, draws + np.arange(at, min(boots, at + CHUNK))), side="right").astype(float)
+                    parts.append(c @ x)
+                    counts.append(c.sum(axis=1))
+                yield pd.DataFrame({"node": [name], "v": [np.concatenate(parts + counts)]})
+
+    def tests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, v in zip(frame["node"], frame["v"]):
+                v = np.asarray(v, float)
+                n, total, square = int(v[0]), v[1], v[2]
+                mean = total / n if n else None
+                sd = math.sqrt(max(0.0, (square - total * total / n) / (n - 1))) if n > 1 else 0.0
+                signs, sums, counts = v[3 : 3 + draws], v[3 + draws : 3 + draws + boots], v[3 + draws + boots :]
+                means = sums[counts > 0] / counts[counts > 0]
+                low, high = np.percentile(means, [2.5, 97.5]) if len(means) else (math.nan, math.nan)
+                p = (1 + int((signs >= total - 1e-12 * max(1.0, abs(total))).sum())) / (draws + 1) if n > 1 and draws else math.nan
+                out.append((name, n, mean, float(low), float(high), p, mean / sd if n and sd > 1e-9 * max(1.0, abs(mean)) else None))
+            yield pd.DataFrame(out, columns=["node", "n", "mean", "ci_low", "ci_high", "p_value", "effect_dz"])
+
+    got = rows.mapInPandas(work, "node string, v array<double>").groupBy("node").agg(vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("v"))["sum"]).alias("v"))
+    out = got.mapInPandas(tests, "node string, n long, mean double, ci_low double, ci_high double, p_value double, effect_dz double")
+    key = F.from_json("node", ", ".join(f"`{c}` {improvements.schema[c].dataType.simpleString()}" for c in by)) if by else None
+    return out.select(*[key[c].alias(c) for c in by], *[c for c in out.columns if c != "node"])
 
 
 # -- topographic analysis of variance

@@ -168,14 +168,6 @@ def m13_spectral_parameters(spark, d):
     return G.spectral_parameters(G.mean_spectra(a22_welch_spectra(spark, d).withColumn("grp", F.col("rec") % 5), ["grp"]), ["grp"])
 
 
-@query()
-def s12_recordings(spark, d):
-    rows = maps(spark, d).where("id < 7").orderBy("id").collect()
-    few = np.array([r["map"][:16] for r in rows])
-    sims = G.recordings(spark, G.design(spark, 2, [3, 4], [0.0, 10.0], [0.0, 0.5]), {k: few[:k] for k in (3, 4)}, 4.0, 100.0)
-    return sims.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("state").alias("states"), F.count_if("overlap").alias("n_overlap"))
-
-
 def _improvements(spark, d):
     side = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
     x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric"), "l_suppkey").agg((side("O") - side("F")).alias("improvement"))
@@ -249,20 +241,16 @@ def w15_collapsed_train(spark, d):
 
 @query()
 def m14_backfit_benchmarks(spark, d):
-    """How often the state is right when every sample, or the nearest peak of field power, decides; and the error of weights of one state a sample and of mixtures at transitions."""
-    few = np.array([r["map"][:16] for r in maps(spark, d).where("id < 4").orderBy("id").collect()])
-    sims = G.recordings(spark, G.design(spark, 5, [4], [5.0], [0.0, 0.6]), {4: few}, 4.0, 100.0).withColumnRenamed("weights", "truth").withColumn("gfp", A.gfp_rms(F.col("v")))
-    centres = spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(few)], "k int, centre array<double>")
-    w = F.col("gfp")
-    over = S._over("condition", ("pos",))
-    peak = (w > F.lag(w).over(over)) & (w >= F.lead(w).over(over))
-    rows = sims.withColumn("peak", F.coalesce(peak, F.lit(False)))
-    every = B.hard(rows, centres, rec="condition")
-    nearest = B.hard(rows, centres, peak=F.col("peak"), rec="condition").select("condition", "pos", F.col("k").alias("k_peak"))
-    both = B.transition_aware(every, centres, 100.0, peak=F.col("peak"), rec="condition").withColumnRenamed("weights", "soft").join(nearest, ["condition", "pos"])
-    one = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (i == F.col("k")).cast("double"))
-    error = lambda v: F.avg(A.total(F.zip_with("truth", v, lambda a, b: F.abs(a - b))) / 4)
-    return both.groupBy("condition").agg(F.avg((F.col("k") == F.col("state")).cast("double")).alias("accuracy_samples"), F.avg((F.col("k_peak") == F.col("state")).cast("double")).alias("accuracy_peaks"), error(one).alias("error_hard"), error(F.col("soft")).alias("error_mixture"))
+    """Of each record: how often every sample's own state is that of its nearest peak of field power, and how much of the samples one state, or a mixture at transitions, leaves."""
+    centres = _centres(spark, d).select("k", F.slice("centre", 1, 8).alias("centre"))
+    power, over = A.gfp_rms(F.col("v")), S._over("rec", ("pos",))
+    rows = _signal(spark, d).withColumn("power", power)
+    rows = rows.withColumn("peak", F.coalesce((F.col("power") > F.lag("power").over(over)) & (F.col("power") >= F.lead("power").over(over)), F.lit(False)))
+    every = B.hard(rows, centres)
+    nearest = B.hard(rows, centres, peak=F.col("peak")).select("rec", "pos", F.col("k").alias("k_peak"))
+    both = B.transition_aware(every, centres, 250.0, peak=F.col("peak")).withColumnRenamed("weights", "soft").join(nearest, ["rec", "pos"])
+    one = F.element_at("soft", F.col("k") + 1)
+    return both.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("k") == F.col("k_peak")).cast("double")).alias("agreement"), F.avg(F.col("mixed").cast("double")).alias("mixed"), F.avg(one).alias("weight_of_own_state"))
 
 
 @query()

@@ -323,21 +323,6 @@ def test_soft_backfits_of_known_mixtures(spark):
     assert [r["k"] for r in peaks] == [1, 1, 1, 2, 2] and [r["pos"] for r in peaks] == [0, 1, 2, 3, 4]
 
 
-def test_backfit_of_simulated_recordings(spark):
-    truth, *_ = planted(k=4, channels=16)
-    sims = G.recordings(spark, G.design(spark, 1, [4], [20.0], [0.0]), {4: truth}, 4.0, 250.0)
-    again = G.recordings(spark, G.design(spark, 1, [4], [20.0], [0.0]).repartition(3), {4: truth}, 4.0, 250.0)
-    assert sims.agg(F.bit_xor(F.xxhash64("pos", "v", "state"))).first() == again.agg(F.bit_xor(F.xxhash64("pos", "v", "state"))).first()
-    centres = spark.createDataFrame([(k, t.tolist()) for k, t in enumerate(truth)], "k int, centre array<double>")
-    got = B.hard(sims, centres, order=("pos",), rec="condition")
-    assert got.where("k = state").count() > 0.9 * got.count() and got.count() == 1000
-    est = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (i == F.col("k")).cast("double"))
-    r = one(B.diagnostics(got.select(F.col("weights").alias("truth"), est.alias("estimate"), "overlap")))
-    assert r["top1_accuracy"] > 0.9 and r["top1_accuracy_overlap"] is None and r["coverage_l1"] < 0.2
-    x = G.with_artifacts(np.zeros((2, 100)), 100.0, [(np.ones((2, 10)), 50.0)], [0.1, 0.95], 3.0)
-    assert x[:, 10:30].min() == 3 and x.sum() == 2 * 3 * 25
-
-
 # -- signals
 
 
@@ -364,6 +349,35 @@ def test_filters_and_spectra(spark):
     assert short.where("x <> old").count() == 0 and G.filtered(long, rate, 8, 13).where("rec = 1 and abs(x) > 1e-9").count() == 0
 
 
+def test_blocks_of_signals_are_as_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, rate = 9000, 100.0
+    v = np.cumsum(rng.normal(size=(2, n)), axis=1) + 5 * np.sin(np.arange(n) * 0.7)
+    long = spark.createDataFrame([("r", c, p + 50, float(v[c, p])) for c in range(2) for p in range(n)], "rec string, ch int, pos long, x double")
+    b, a = G.butterworth(2.0, 20.0, rate)
+    monkeypatch.setattr(G, "BLOCK", 1000)
+    reach = G.Recursive(b, a).reach()
+    assert n > 5 * reach  # several blocks
+    got = np.empty((2, n))
+    for r in G.filtered(long, rate, 2.0, 20.0, "butterworth").collect():
+        got[r["ch"], r["pos"] - 50] = r["x"]
+    for c in range(2):
+        assert np.abs(got[c] - G.forth_and_back(b, a, v[c])).max() < 1e-9 * np.abs(v).max()
+    # the filter by its difference equation
+    x, y = v[0][:300], np.zeros(300)
+    for i in range(300):
+        y[i] = sum(b[j] * x[i - j] for j in range(5) if i >= j) - sum(a[j] * y[i - j] for j in range(1, 5) if i >= j)
+    assert np.allclose(G.Recursive(b, a)(x, np.zeros(4)), y)
+    vectors = spark.createDataFrame([("r", p, v[:, p].tolist()) for p in range(n)] + [("s", p, v[:, p].tolist()) for p in range(30)], "rec string, pos long, v array<double>")
+    freqs = [1.0, 5.0, 11.0, 40.0]
+    monkeypatch.setattr(G, "WINDOWS", 4)
+    power = {(r["rec"], r["freq"]): r["power"] for r in G.spectra(vectors, rate, freqs, 1.0, 0.5).collect()}
+    for name, own in (("r", v), ("s", v[:, :30])):
+        assert np.allclose([power[name, f] for f in freqs], G.welch(own, rate, np.array(freqs), 1.0, 0.5), rtol=1e-9)
+    with pytest.raises(Exception, match="follow each other"):
+        G.filtered(long.where("pos <> 100"), rate, 2.0, 20.0, "butterworth").count()
+
+
 def test_spectral_parameters(spark):
     f = np.arange(1.0, 45.5, 0.5)
     power = 10 ** (2 - 1.5 * np.log10(f) + 0.8 * np.exp(-0.5 * ((f - 10) / 1) ** 2))
@@ -397,13 +411,16 @@ def test_tails_as_columns(spark):
 def test_sign_flips_and_bootstrap(spark):
     v = np.array([1.0, 2.0, -0.5, 3.0, 0.7])
     exact = np.mean([np.dot(s, v) >= v.sum() - 1e-12 for s in itertools.product((-1, 1), repeat=5)])
-    assert P.sign_flip_p(v, 1, 0, exact=True) == exact and abs(P.sign_flip_p(v, 20_000, 0) - exact) < 0.01
-    assert math.isnan(P.sign_flip_p(v[:1], 100, 0)) and math.isnan(P.bootstrap_ci(np.array([np.nan]), 100, 0)[0])
-    low, high = P.bootstrap_ci(np.random.default_rng(0).normal(5, 1, 400), 4000, 1)
-    assert abs(low - (5 - 1.96 / 20)) < 0.15 and abs(high - (5 + 1.96 / 20)) < 0.15
-    x = spark.createDataFrame([("m", i, float(t)) for i, t in enumerate(v)] + [("n", 0, None)], "metric string, o int, d double")
-    a, b = (sorted(P.paired_tests(f, ["metric"], "d", "o", 500, 200).collect()) for f in (x, x.repartition(3)))
-    assert a == b and a[0]["n"] == 5 and a[1]["n"] == 0 and a[1]["mean"] is None
+    many = np.random.default_rng(0).normal(5, 1, 400)
+    x = spark.createDataFrame([("m", i, float(t)) for i, t in enumerate(v)] + [("n", 0, None), ("o", 1, 2.0)] + [("p", i, float(t)) for i, t in enumerate(many)], "metric string, o int, d double")
+    a, b = ({r["metric"]: r for r in P.paired_tests(f, ["metric"], "d", "o", 20_000, 4000).collect()} for f in (x, x.repartition(3)))
+    assert abs(a["m"]["p_value"] - exact) < 0.01 and a["m"]["n"] == 5 and a["m"]["mean"] == pytest.approx(v.mean()) and a["m"]["effect_dz"] == pytest.approx(v.mean() / v.std(ddof=1))
+    assert a["n"]["n"] == 0 and a["n"]["mean"] is None and a["n"]["p_value"] is None and a["o"]["p_value"] is None and a["o"]["ci_low"] == pytest.approx(2)
+    # as samples with replacement have them
+    means = np.random.default_rng(1).choice(many, (4000, 400)).mean(axis=1)
+    assert abs(a["p"]["ci_low"] - np.percentile(means, 2.5)) < 0.02 and abs(a["p"]["ci_high"] - np.percentile(means, 97.5)) < 0.02 and a["p"]["p_value"] == pytest.approx(1 / 20_001)
+    for m in "mp":
+        assert a[m]["p_value"] == b[m]["p_value"] and a[m]["ci_low"] == pytest.approx(b[m]["ci_low"], abs=1e-9)
 
 
 def design(spark, unit, group, condition, x):
