@@ -30,8 +30,8 @@ BLOCK, BATCH, AT_ONCE, LEVELS, FEW = 4096, 2048, 256, 8, 48
 SPAN, FILE = 1 << 22, 1 << 24
 #: With more parts of the index than this, one in so many of them first gives every query a score to reach.
 SAMPLE = 64
-#: Vectors whose squares sum to this or more take no part: below it every score fits 64 bits.
-LARGEST = float(1 << 62)
+#: Scores from here on, in size, have no 64 bits: such pairs of a query and a vector are left out.
+LARGEST = float(1 << 63)
 NONE = np.iinfo(np.int64).min
 FOUND = "query_id long, vec_id long, score long"
 ROWS = "dim int, width int, ids binary, v binary"
@@ -40,12 +40,11 @@ ROWS = "dim int, width int, ids binary, v binary"
 def quantised(rows: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """vec_id, v: floor(scale * x) of each component as long.
 
-    Vectors that are null or empty, hold a null or non-finite component or are too large for 64-bit scores are left out.
+    Vectors that are null or empty, hold a null or non-finite component or one that is no 64-bit integer then are left out.
     """
     sound = F.expr(f"`{embedding}` is not null and size(`{embedding}`) > 0 and forall(`{embedding}`, x -> x is not null and abs(cast(x as double)) < double('Infinity'))")
-    fits = F.expr(f"aggregate(`{embedding}`, 0D, (a, x) -> a + pow(floor({scale}D * cast(x as double)), 2)) < {LARGEST!r}D")
     large = F.expr(f"forall(`{embedding}`, x -> abs({scale}D * cast(x as double)) < 9e18D)")
-    return rows.where(sound).where(large).where(fits).select(F.col(vec_id).cast("long").alias("vec_id"), F.expr(f"transform(`{embedding}`, x -> floor({scale} * cast(x as double)))").alias("v"))
+    return rows.where(sound).where(large).select(F.col(vec_id).cast("long").alias("vec_id"), F.expr(f"transform(`{embedding}`, x -> floor({scale} * cast(x as double)))").alias("v"))
 
 
 def blocked(vectors: DataFrame, parts: int, n: int) -> DataFrame:
@@ -133,7 +132,8 @@ class Segments:
             if done < LEVELS:
                 left = np.sqrt(weights**2 @ self._matrix(end, len(self.row), 1.0).T)
                 slack = slack + left * self.rest[done - 1][None, :] * (1 + 1e-9)
-            low = np.where(own, -np.inf, total - slack)
+            # a pair that may have no score proves nothing about others
+            low = np.where(own | (np.abs(total) + slack >= LARGEST), -np.inf, total - slack)
             least = np.partition(low, n - k, axis=1)[:, n - k] if k <= n else np.full(len(queries), -np.inf)
             possible = (total + slack >= np.maximum(least, reached)[:, None]) & ~own
             if done == LEVELS or possible.sum() <= FEW * len(queries):
@@ -144,7 +144,13 @@ class Segments:
         for at in range(0, len(row), 1 << 16):
             cut = slice(at, at + (1 << 16))
             scores[cut] = np.einsum("ij,ij->i", self.vectors[row[cut]].astype(np.int64), queries[which[cut]].astype(np.int64))
-        return which, self.ids[row], scores
+        # sums of 64 bits wrap, and are right if the score has so many: by the rounded one, or where that is near the limit by long integers
+        near = np.abs(total[which, row]) + (rounding[which, row] if done == LEVELS else slack[which, row])
+        fits = near < LARGEST
+        for i in np.flatnonzero(~fits):
+            score = sum(int(a) * int(b) for a, b in zip(self.vectors[row[i]], queries[which[i]]))
+            fits[i] = -(1 << 63) <= score < 1 << 63
+        return which[fits], self.ids[row[fits]], scores[fits]
 
 
 def foremost(which: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,9 +233,10 @@ def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     length than the query's are no candidates. Rows that repeat an id are one
     candidate, with the best of their scores; as queries they are one, each
     candidate with the best score any of them gives. Rows with a null id or
-    vector, an empty vector, null or non-finite components, or squares that sum
-    to 2 ** 62 or more after quantising take no part. An empty table gives no
-    rows. Other columns are ignored.
+    vector, an empty vector, null or non-finite components, or one that quantised
+    is beyond 9e18 in size, take no part; a pair whose score has no 64 bits is
+    left out, its vectors are not. An empty table gives no rows. Other columns
+    are ignored.
     """
     vectors = quantised(rows, vec_id, embedding, scale).where(F.col("vec_id").isNotNull())
     asking = F.col("vec_id") % every == 0

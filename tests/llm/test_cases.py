@@ -128,3 +128,20 @@ def test_results_of_a_cluster_need_a_shared_folder(spark, monkeypatch):
         assert table.count() == 3
     with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|not exist"):
         spark.read.parquet(work.tables[0][1]).count()
+
+
+def test_top_k_of_vectors_of_all_sizes(spark, monkeypatch):
+    from stateflux.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [9e6, 0.0]), (2, [0.1, 0.1])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.exact_top_k(few).orderBy("rank").collect()] == [(1, 589_824_000_000), (2, 9600)]
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.uniform(0, 16)).tolist()) for i in range(160)] + [(200, [3e16] * 6), (201, [3e16] * 6), (202, [-3e16] * 6), (203, [3e16, -3e16] * 3), (250, [3e16, -3e16, 0.0, 1.0, 1.0, 1.0])]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-s, i) for i, v in whole.items() if i != q and -(2**63) <= (s := sum(a * b for a, b in zip(whole[q], v))) < 2**63)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
