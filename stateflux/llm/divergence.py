@@ -103,7 +103,9 @@ def audit(docs: DataFrame, least: int = 3, most: int = 200, text: str = "text",
         shares = work.written(shares, "shares")
         value = F.expr("(p - q) * (p - q) div q")
         a, b = shares.select("lang", "term", "source", "p"), shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-        pairs = a.join(b, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(value).alias("value"))
+        # both directions of a pair from one joined row
+        met = a.join(b, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(value).alias("to"), F.sum(F.expr("(p - q) * (p - q) div p")).alias("back"))
+        pairs = met.select("lang", F.inline(F.array(F.struct(F.col("source"), F.col("item"), F.col("to").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))))
         bare = groups.where("v = 0").select("lang", "source")
         bare = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
         terms = shares.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), value.alias("value"))
