@@ -165,13 +165,13 @@ def iterated(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, upd
             nodes: dict[str, list] = {}
             for (node, _), r in active.items():
                 nodes.setdefault(node, []).append(r)
-            packs = spark.createDataFrame([(node, [r["model"] for r in rs], [r["k"] for r in rs], [r["theta"] for r in rs]) for node, rs in nodes.items()], "node string, model_ array<int>, k_ array<int>, theta_ array<array<double>>")
+            packs = spark.createDataFrame([(node, [r["model"] for r in rs], [r["k"] for r in rs], [r["theta"] for r in rs]) for node, rs in nodes.items()], "node string, model_ array<int>, k_ array<int>, theta_ array<array<double>>", verifySchema=False)
             found: dict[tuple, dict] = {key: {} for key in active}
             for r in swept(blocks, packs, step, columns, 0).collect():  # FEW models' sums
                 found[r["node"], r["model"]][r["state"]] = (np.array(r["v"]), r["far"], r["far_map"])
             for key, sums in found.items():
                 rows[key] = settled(rows[key], sums)
-        return spark.createDataFrame([tuple(r[c] for c in models.columns) for r in rows.values()], models.schema)
+        return spark.createDataFrame([tuple(r[c] for c in models.columns) for r in rows.values()], models.schema, verifySchema=False)
     while True:
         active = models.where("not done")
         left = active.agg(F.count(F.lit(1)), F.sum(F.size("theta"))).first()
@@ -317,7 +317,7 @@ def best_of(models: DataFrame) -> DataFrame:
 # -- features: principal components of outer products
 
 
-def with_features(work: Rounds, blocks: DataFrame, share: float = 0.999, most: int = 8, extra: int = 8, tol: float = 1e-10) -> DataFrame:
+def with_features(work: Rounds, blocks: DataFrame, share: float = 0.999, most: int = 8, extra: int = 12, rounds: int = 20, tol: float = 1e-8) -> DataFrame:
     """Blocks with f: standardised components of the maps' outer products, in which a map and its negative are one point.
 
     The product of two outer products is the squared product of their maps, so a
@@ -368,7 +368,7 @@ def with_features(work: Rounds, blocks: DataFrame, share: float = 0.999, most: i
         return np.concatenate([[n, total], mu, np.linalg.qr(new.T)[0].T.ravel()]), float(power[::-1][:most].sum()), True
 
     work_models = started(first.mapInPandas(begun, "node string, model int, k int, theta array<double>"))
-    found = iterated(work, blocks, work_models, step, update, ["node", "n", "x"], 40, tol)
+    found = iterated(work, blocks, work_models, step, update, ["node", "n", "x"], rounds, tol)
 
     # the basis turned to the components, scaled to unit variance: one more pass gives their variances
     def spread(b: Block, c: int, theta: np.ndarray) -> dict[int, tuple]:
@@ -642,7 +642,7 @@ def _run(work: Rounds, blocks: DataFrame, first: DataFrame, method: str, rounds:
     featured, extra = with_features(work, blocks), None
     if method == "spm_vb":
         begun = from_first(work, featured, models, by_centres(0.1), lambda k, vs: Posterior.of(*split(k, np.asarray(vs[0], float))[1:]), ["node", "n", "x", "f"])
-        mixed = iterated(work, featured, started(begun), expectation, maximisation, ["node", "n", "f"], max(200, rounds), tol)
+        mixed = iterated(work, featured, started(begun), expectation, maximisation, ["node", "n", "f"], rounds, tol)
 
         def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:

@@ -61,7 +61,8 @@ def m4_scaled_kmeans(spark, d):
     return C.fitted(maps(spark, d), [], [4], restarts=1).select(F.col("state").alias("k"), F.col("map").alias("centre"), "gev")
 
 
-@query()
+@query("""WITH x AS (SELECT label AS grp, vec_id AS id, vec_id % 5 + 1 AS gfp FROM embeddings), w AS (SELECT grp, count(*) AS n, sum(gfp * gfp) AS weight, count(*) FILTER (id < 14) AS priors FROM x GROUP BY grp)
+SELECT grp, n + 3 * priors AS n_maps, round(CAST(weight AS DOUBLE) * CASE WHEN priors > 0 THEN 1.25 ELSE 1 END, 6) AS weight FROM w""")
 def m6_priors(spark, d):
     x = maps(spark, d).withColumn("gfp", (F.col("id") % 5 + 1).cast("double"))
     priors = x.where("id < 14").select("grp", "map")
@@ -74,6 +75,31 @@ def m7_hierarchy(spark, d):
     return C.hierarchy(x, 4, [["grp"], ["condition"], ["grp", "participant"], ["grp", "participant", "condition"]], restarts=5)
 
 
+@query()
+def m5_completed_models(spark, d):
+    """Models of too few states, from the given maps, brought to five."""
+    x = maps(spark, d).withColumn("half", F.col("id") % 2)
+    first = x.where("id < 6").select("half", F.floor(F.col("id") / 2).cast("int").alias("state"), "map")
+    return C.completed(x, first, ["half"], 5).select("half", "state", F.transform("map", lambda v: F.round(v, 6)).alias("map"))
+
+
+@query()
+def m5_collapsed_models(spark, d):
+    x = maps(spark, d).withColumn("half", F.col("id") % 2)
+    first = x.where("id < 12").select("half", F.floor(F.col("id") / 2).cast("int").alias("state"), "map")
+    return C.collapsed(x, first, ["half"], 0.2).select("half", "state", "root", F.transform("map", lambda v: F.round(v, 6)).alias("map"))
+
+
+@query()
+def m7_meta_states(spark, d):
+    """Of each condition, the states of a bank of all its participants' states, and how many of these are of each."""
+    x = maps(spark, d).select("id", "map", (F.col("id") % 3).alias("condition"), (F.col("id") % 6).alias("participant"), F.lit(1.0).alias("gfp"))
+    keys = ["condition", "participant"]
+    banked = C.bank(C.hierarchy(x, 4, [["condition"], keys], restarts=2).where("level = 'condition|participant'"), keys)
+    meta = C.fitted(banked, ["condition"], [4], restarts=2, gfp="gfp")
+    return C.labelled(banked, meta, ["condition"], gfp="gfp").groupBy("condition", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("similarity"))
+
+
 @query()
 def m9_template_alignment(spark, d):
     fits = C.fitted(maps(spark, d).withColumn("half", F.col("id") % 2), ["half"], [4], restarts=5)
