@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stateflux.functions.special import p_value
 from stateflux.functions.text import finite, number
-from stateflux.operators.tables import average_ranks, ratio
+from stateflux.operators.tables import average_ranks, ratio, small
 
 #: Ranges of values whose running counts are taken in one task each.
 RANGES = 256
@@ -49,8 +49,9 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     counts = rows.groupBy("g", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
     levels = counts.groupBy("g").agg(F.sum("c").alias("n"))  # groups are few
-    pairs = levels.select(F.col("g").alias("a"), F.col("n").alias("n_a")).crossJoin(F.broadcast(levels.select(F.col("g").alias("b"), F.col("n").alias("n_b")))).where("a < b")
-    met = counts.join(F.broadcast(pairs), (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    pairs = levels.select(F.col("g").alias("a"), F.col("n").alias("n_a")).join(small(levels.select(F.col("g").alias("b"), F.col("n").alias("n_b"))), F.col("a") < F.col("b"))
+    pairs = small(pairs)
+    met = counts.join(pairs, F.col("g") == F.col("a")).unionByName(counts.join(pairs, F.col("g") == F.col("b")))
     both = met.groupBy("a", "b", "n_a", "n_b", "v").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0.0)).alias("c_a"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sums = both.withColumn("rk", before + (F.col("c") + 1) / 2).groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.col("rk") * F.col("c_a")).alias("r"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("t"))

@@ -356,7 +356,7 @@ def neighbours(points: DataFrame, id_: str, xyz: list[str], k: int) -> DataFrame
     """The k nearest other points of each and weights 1/d that sum to 1: the kernel of spatial filters. Points are a montage: some hundreds at most."""
     other = points.select(F.col(id_).alias("nb"), *[F.col(c).alias(f"_{c}") for c in xyz])
     d = F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in xyz))
-    near = points.crossJoin(F.broadcast(other)).where(F.col(id_) != F.col("nb")).withColumn("d", d)
+    near = points.join(small(other), F.col(id_) != F.col("nb")).withColumn("d", d)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(id_).orderBy("d", "nb"))).where(F.col("r") <= k)
     inverse = 1 / F.greatest(F.col("d"), F.lit(1e-9))
     return near.select(id_, "nb", F.col("r").alias("rank"), "d", (inverse / F.sum(inverse).over(Window.partitionBy(id_))).alias("weight"))
