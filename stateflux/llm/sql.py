@@ -71,9 +71,9 @@ e AS (SELECT line FROM o GROUP BY line HAVING count(DISTINCT spot) >= {fewest}),
 r AS (SELECT line, license, place FROM o SEMI JOIN e USING (line) GROUP BY ALL HAVING count(DISTINCT gram) >= any_value(low)),
 c AS (SELECT DISTINCT line, license, place, greatest(spot - pos + 1, 1) AS begins FROM o SEMI JOIN r USING (line, license, place)),
 n AS (SELECT doc_id, line, c.license, begins, len(grams) AS size, grams, list_distinct(gs[begins:begins + len(grams) - 1]) AS own FROM c JOIN s USING (line) JOIN t USING (license, place)),
-q AS (SELECT doc_id, line, license, begins, size, 2.0 * len(list_intersect(own, grams)) / (len(own) + size) AS d FROM n),
+q AS (SELECT doc_id, line, license, begins, size, len(list_intersect(own, grams)) AS common, 2.0 * len(list_intersect(own, grams)) / (len(own) + size) AS d FROM n),
 z AS (SELECT * FROM q WHERE d * 1000 >= {LEAST}),
-alone AS (SELECT * FROM z ANTI JOIN z AS y ON z.line = y.line AND y.begins < z.begins + z.size AND z.begins < y.begins + y.size AND (y.d, y.license) > (z.d, z.license)),
+alone AS (SELECT * FROM z ANTI JOIN z AS y ON z.line = y.line AND y.begins < z.begins + z.size AND z.begins < y.begins + y.size AND (y.common, y.d, y.license) > (z.common, z.d, z.license)),
 found AS (SELECT doc_id, ws, license, d FROM b UNION ALL SELECT doc_id, NULL, license, d FROM alone ANTI JOIN b ON b.line = alone.line AND b.license = alone.license)
 SELECT doc_id, license, greatest(count(DISTINCT ws), 1) AS n_units, round(max(d), 6) AS dice FROM found GROUP BY doc_id, license
 """

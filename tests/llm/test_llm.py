@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -509,6 +510,24 @@ def test_licences_inside_lines_and_over_paragraphs(spark):
     assert got == want
 
 
+def test_licences_of_like_wording_are_told_apart(spark):
+    own = licenses.TEMPLATES
+    names = ["agpl-3.0", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0"]
+    bsd = own["bsd-3-clause"][1].replace("the copyright holder nor the names of its", "Acme nor the names of their").replace("met: ", "met:\n\n").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")
+    texts = [*(own[name][1] for name in names), *(f"Words before it. {own[name][1]} Words after it." for name in names), "Copyright 2020 Acme\n\n" + bsd + "\n\nThis software is provided as is."]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert got == {*enumerate(names + names), (2 * len(names), "bsd-3-clause")}
+
+
+def test_licences_of_texts_with_many_notices_or_lines(spark):
+    notice = "Released under the MIT License. "
+    texts = [notice * 100_000, "\n".join(f"line {i} of many" for i in range(100_000)), "\n".join(f"{notice}{i}" for i in range(20_000))]
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {0: ("mit", 1), 2: ("mit", 20_000)}
+
+
 # -- the pipeline
 
 
