@@ -99,7 +99,8 @@ def test_transducer_of_a_whole_table_is_tiktoken(spark):
 
 
 def test_labelled_junk_goes_and_clean_texts_stay(spark):
-    docs, labels = common.load(spark, SMALL, "documents"), common.load(spark, SMALL, "labels")
+    large = "/root/testdata/sf0.1"
+    docs, labels = common.load(spark, large, "documents"), common.load(spark, large, "labels")
     # languages together, a long text, repeated rows
     more = docs.where("text is not null").limit(1).selectExpr("doc_id + 100000000 as doc_id", "repeat(concat(text, ' '), 200) as text", "lang", "source", "n_chars")
     got = quality.judged(docs.unionByName(docs).unionByName(more), labels).collect()
@@ -109,8 +110,7 @@ def test_labelled_junk_goes_and_clean_texts_stay(spark):
     assert all(len(set(v)) == 1 for v in twice.values()) and sum(len(v) == 2 for v in twice.values()) == docs.count()
     marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
     good, bad = ([twice[i][0][0] for i, q in marks.items() if q == k] for k in (1, 0))
-    # 341 texts in four languages, a fifth of them held out, give wide limits at best
-    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.3 * len(bad)
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
 def test_results_of_a_cluster_need_a_shared_folder(spark, monkeypatch):

@@ -460,7 +460,7 @@ def test_quality_of_null_and_rare_languages(spark):
     rows = [(i if i < 300 else 10 * i, t, l, None, None, 1, "x") for i, (t, l) in enumerate(zip(texts, langs))]
     got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, DOCS), labels).collect()}
     held = spark.range(3000, 3140, 10).selectExpr(f"pmod(xxhash64(id, 11), {quality.CALIBRATE}) = 0 as h").where("h").count()
-    assert 0 < held < quality.LEAST and [got[10 * i]["keep"] for i in range(314, 320)] == [False, False, True] * 2
+    assert 0 < held < 5 and [got[10 * i]["keep"] for i in range(314, 320)] == [False, False, True] * 2
 
 
 def test_quality_without_trusted_text(spark):
