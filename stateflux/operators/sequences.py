@@ -14,9 +14,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stateflux.operators import arrays as A
 from stateflux.operators.rounds import Rounds
 from stateflux.operators.tables import small
 
@@ -384,61 +387,97 @@ def upper_outliers(df: DataFrame, by: list[str], value: str, multiplier: float =
     return dev.withColumn("keep", below | (kept < least)).drop("_m", "_q", "_n", "_mad")
 
 
+def principal_planes(rows: DataFrame, keys: list[str], vectors: list[str], axis: str) -> DataFrame:
+    """keys and, for each column of vectors, the struct <column>_pc: first, second (per cent of the variance), on_axis (the first component's cosine with the axis, absolute), one, two (the components).
+
+    Cross products are summed by Arrow batch, then over the batches of a key.
+    The largest entry of a component is positive, so that its sign is settled;
+    of two components whose variances are equal, any may be the first. Null for
+    fewer than two rows or no variance.
+    """
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def partial(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                row = dict(zip(keys, key), n=len(part), axis=part[axis].iloc[0])
+                for v in vectors:
+                    x = np.stack(part[v].to_numpy()).astype(float)
+                    row[v] = np.concatenate((x.sum(axis=0), (x.T @ x).ravel()))
+                yield pd.DataFrame([row])
+
+    sums = rows.select(*keys, axis, *vectors).mapInPandas(partial, ", ".join([*kinds, "n long", "axis array<double>", *(f"{v} array<double>" for v in vectors)]))
+    sums = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("axis").alias("axis"), *[vector_to_array(Summarizer.sum(array_to_vector(v))).alias(v) for v in vectors])
+    plane = "struct<first:double,second:double,on_axis:double,one:array<double>,two:array<double>>"
+
+    def solved(batches):
+        for pdf in batches:
+            for v in vectors:
+                out = []
+                for n, sums_, to in zip(pdf["n"], pdf[v], pdf["axis"]):
+                    d = len(to)
+                    mean, gram = sums_[:d] / n, sums_[d:].reshape(d, d)
+                    size, basis = np.linalg.eigh(gram - n * np.outer(mean, mean)) if n > 1 else (np.zeros(d), np.eye(d))
+                    size, basis = np.maximum(size[::-1], 0), basis[:, ::-1]
+                    if n < 2 or size.sum() / (n - 1) <= 1e-15:
+                        out.append(None)
+                        continue
+                    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(d)])
+                    two = d > 1
+                    out.append({"first": 100 * size[0] / size.sum(), "second": 100 * size[1] / size.sum() if two else None, "on_axis": abs(basis[:, 0] @ to), "one": basis[:, 0].tolist(), "two": basis[:, 1].tolist() if two else None})
+                pdf[f"{v}_pc"] = pd.Series(out, index=pdf.index, dtype=object)
+            yield pdf[[*keys, *(f"{v}_pc" for v in vectors)]]
+
+    return sums.mapInPandas(solved, ", ".join([*kinds, *(f"{v}_pc {plane}" for v in vectors)]))
+
+
 def axis_dynamics(samples: DataFrame, centres: DataFrame, rate: float, least: int = 2, rec: str = "rec", order: str = "pos", map_: str = "map", state: str = "k") -> DataFrame:
     """How the samples of each record and state move about the state's axis: projections, angles, energy, principal components of the residual and its precession.
 
-    A record's samples (rec, pos, map, k) go through one Python call, as singular
-    vectors and phases need them together. Centres (k, centre) are a model's states.
+    Samples (rec, pos, map, k) meet their own state's axis (k, centre) only; what
+    they are to it are columns, its sums are taken in every task, and the two
+    principal components of the residual are joined back for the phases. A record
+    has a row for each state of ``centres``; a state with fewer than ``least``
+    samples, or two, has null measures. Samples of no state count in ``n_samples`` alone.
+    Positions of a record differ.
     """
-    axes = {r["k"]: np.asarray(r["centre"], float) for r in centres.collect()}  # a model has some tens of states at most
-    if len(axes) > 1000:
-        raise ValueError("too many states for one model")
-    metrics = "projection_rms projection_sd projection_mean_abs zero_crossing_hz energy_fraction pc1_pct pc2_pct pc1_axis_corr angle_mean_deg angle_sd_deg angle_median_deg perpendicular_fraction residual_pc1_pct residual_pc2_pct phase_resultant precession_deg_s precession_abs_deg_s precession_median_deg_s abs_cycles_s net_cycles_s directionality positive_fraction negative_fraction".split()
-
-    def normal(x: np.ndarray) -> np.ndarray:
-        x = x - x.mean(axis=-1, keepdims=True)
-        n = np.linalg.norm(x, axis=-1, keepdims=True)
-        return x / np.where(n <= 1e-12, 1.0, n)
-
-    def components(x: np.ndarray, axis: np.ndarray) -> tuple[float, float, float, np.ndarray | None]:
-        if len(x) < 2:
-            return math.nan, math.nan, math.nan, None
-        _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        latent = s**2 / (len(x) - 1)
-        if latent.sum() <= 1e-15:
-            return math.nan, math.nan, math.nan, None
-        return 100 * latent[0] / latent.sum(), 100 * latent[1] / latent.sum() if len(latent) > 1 else math.nan, abs(v[0] @ axis), v.T
-
-    def of_record(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        raw, labels = np.stack(pdf[map_].to_numpy()).astype(float), pdf[state].to_numpy()
-        unit, out = normal(raw), []
-        for k in sorted(axes):
-            axis, on = normal(axes[k]), labels == k
-            at = np.flatnonzero(on)
-            row = dict.fromkeys(metrics, math.nan)
-            if len(at) >= max(2, least):
-                seconds, next_to = len(at) / rate, np.diff(at) == 1
-                signal, proj = raw @ axis, np.clip(unit @ axis, -1, 1)
-                a, b = signal[at[:-1]], signal[at[1:]]
-                angles = np.degrees(np.arccos(np.abs(proj[on])))
-                row.update(projection_rms=np.sqrt((signal[on] ** 2).mean()), projection_sd=signal[on].std(ddof=1), projection_mean_abs=np.abs(signal[on]).mean(), zero_crossing_hz=((a * b < 0) & next_to).sum() / seconds, energy_fraction=(proj[on] ** 2).mean(), angle_mean_deg=angles.mean(), angle_sd_deg=angles.std(ddof=1), angle_median_deg=np.median(angles), perpendicular_fraction=(1 - proj[on] ** 2).mean())
-                row["pc1_pct"], row["pc2_pct"], row["pc1_axis_corr"], _ = components(unit[on], axis)
-                rest = unit * np.where(proj < 0, -1.0, 1.0)[:, None] - np.abs(proj)[:, None] * axis
-                row["residual_pc1_pct"], row["residual_pc2_pct"], _, basis = components(rest[on], axis)
-                if basis is not None and basis.shape[1] >= 2:
-                    phase_ = np.arctan2(rest @ basis[:, 1], rest @ basis[:, 0])
-                    row["phase_resultant"] = abs(np.exp(1j * phase_[on]).mean())
-                    turn = np.angle(np.exp(1j * (phase_[at[1:]] - phase_[at[:-1]])))[next_to]
-                    if len(turn):
-                        deg = rate * 180 / np.pi
-                        row.update(precession_deg_s=turn.mean() * deg, precession_abs_deg_s=np.abs(turn).mean() * deg, precession_median_deg_s=np.median(np.abs(turn)) * deg, abs_cycles_s=np.abs(turn).sum() / (2 * np.pi) / seconds, net_cycles_s=turn.sum() / (2 * np.pi) / seconds, directionality=abs(turn.sum()) / max(np.abs(turn).sum(), 1e-15), positive_fraction=(turn > 0).mean(), negative_fraction=(turn < 0).mean())
-            starts = len(at) and 1 + int((np.diff(at) > 1).sum())
-            out.append({rec: pdf[rec].iloc[0], state: k, "n_samples": len(pdf), "n_active": len(at), "active_fraction": len(at) / len(pdf), "n_runs": starts, **row})
-        return pd.DataFrame(out)
-
-    kinds = f"{rec} {samples.schema[rec].dataType.simpleString()}, {state} {samples.schema[state].dataType.simpleString()}, n_samples long, n_active long, active_fraction double, n_runs long, " + ", ".join(f"{m} double" for m in metrics)
-    return samples.select(rec, order, map_, state).groupBy(rec).applyInPandas(of_record, kinds)
+    axes = small(centres.select(F.col("k").alias(state), A.unit("centre").alias("_axis")), 1000)
+    w = Window.partitionBy(rec).orderBy(order)
+    rows = samples.select(rec, order, map_, state).join(axes, state, "left").withColumn("_next", F.coalesce(F.lag(state).over(w) == F.col(state), F.lit(False)))
+    rows = rows.withColumn("_map", F.col(map_).cast("array<double>")).withColumn("_unit", A.unit("_map"))
+    rows = rows.withColumn("_s", A.dot("_map", "_axis")).withColumn("_p", A.clamped(A.dot("_unit", "_axis")))
+    rows = rows.withColumn("_rest", F.zip_with("_unit", "_axis", lambda u, a: F.when(F.col("_p") < 0, -u).otherwise(u) - F.abs("_p") * a))
+    of = rows.where("_axis is not null")
+    planes = principal_planes(of, [rec, state], ["_unit", "_rest"], "_axis")
+    at = of.join(planes.select(F.col(rec).alias("_r"), F.col(state).alias("_k"), F.col("_rest_pc.one").alias("_one"), F.col("_rest_pc.two").alias("_two")), F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left")
+    at = at.withColumn("_phase", F.when(F.col("_two").isNotNull(), F.atan2(A.dot("_rest", "_two"), A.dot("_rest", "_one"))))
+    at = at.withColumn("_angle", F.degrees(F.acos(F.abs("_p")))).withColumn("_before", F.when(F.col("_next"), F.lag("_s").over(w)))
+    turn = F.col("_phase") - F.lag("_phase").over(w)
+    at = at.withColumn("_turn", F.when(F.col("_next"), turn - 2 * math.pi * F.floor((turn + math.pi) / (2 * math.pi))))
+    n, seconds, deg = F.count(F.lit(1)), F.count(F.lit(1)) / rate, rate * 180 / math.pi
+    size = F.abs("_turn")
+    measures = {
+        "projection_rms": F.sqrt(F.avg(F.col("_s") * F.col("_s"))), "projection_sd": F.stddev("_s"), "projection_mean_abs": F.avg(F.abs("_s")), "zero_crossing_hz": F.count_if(F.col("_s") * F.col("_before") < 0) / seconds,
+        "energy_fraction": F.avg(F.col("_p") * F.col("_p")), "angle_mean_deg": F.avg("_angle"), "angle_sd_deg": F.stddev("_angle"), "angle_median_deg": F.median("_angle"), "perpendicular_fraction": F.avg(1 - F.col("_p") * F.col("_p")),
+        "phase_resultant": F.sqrt(F.pow(F.avg(F.cos("_phase")), 2) + F.pow(F.avg(F.sin("_phase")), 2)),
+        "precession_deg_s": F.avg("_turn") * deg, "precession_abs_deg_s": F.avg(size) * deg, "precession_median_deg_s": F.median(size) * deg, "abs_cycles_s": F.sum(size) / (2 * math.pi) / seconds, "net_cycles_s": F.sum("_turn") / (2 * math.pi) / seconds,
+        "directionality": F.abs(F.sum("_turn")) / F.greatest(F.sum(size), F.lit(1e-15)), "positive_fraction": F.avg((F.col("_turn") > 0).cast("int")), "negative_fraction": F.avg((F.col("_turn") < 0).cast("int")),
+    }
+    stats = at.groupBy(rec, state).agg(n.alias("n_active"), F.count_if(~F.col("_next")).alias("n_runs"), *[m.alias(name) for name, m in measures.items()])
+    parts = [(name, f"{v}_pc.{field}") for name, v, field in (("pc1_pct", "_unit", "first"), ("pc2_pct", "_unit", "second"), ("pc1_axis_corr", "_unit", "on_axis"), ("residual_pc1_pct", "_rest", "first"), ("residual_pc2_pct", "_rest", "second"))]
+    planes = planes.select(F.col(rec).alias("_r"), F.col(state).alias("_k"), *[F.col(path).alias(name) for name, path in parts])
+    stats = stats.join(planes, F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left").drop("_r", "_k")
+    # a row for each record and state: the states are few, the records' totals one row each
+    names = axes.agg(F.collect_set(state).alias("_states"))
+    every = samples.groupBy(rec).agg(n.alias("n_samples")).crossJoin(F.broadcast(names)).select(F.col(rec).alias("_r"), "n_samples", F.explode("_states").alias("_k"))  # one row
+    out = every.join(stats, F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left")
+    active = F.coalesce("n_active", F.lit(0))
+    enough = active >= max(2, least)
+    shown = "projection_rms projection_sd projection_mean_abs zero_crossing_hz energy_fraction pc1_pct pc2_pct pc1_axis_corr angle_mean_deg angle_sd_deg angle_median_deg perpendicular_fraction residual_pc1_pct residual_pc2_pct phase_resultant precession_deg_s precession_abs_deg_s precession_median_deg_s abs_cycles_s net_cycles_s directionality positive_fraction negative_fraction".split()
+    return out.select(
+        F.col("_r").alias(rec), F.col("_k").alias(state), "n_samples", active.alias("n_active"), (active / F.col("n_samples")).alias("active_fraction"), F.coalesce("n_runs", F.lit(0)).alias("n_runs"),
+        *[F.when(enough, F.col(c)).alias(c) for c in shown],
+    )
 
 
 def adjacent_clusters(df: DataFrame, flag: Column, by: list[str], at: str, effect: str) -> DataFrame:
