@@ -22,7 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of a known language: those without letters, or less like every profile than the texts it was learned from, go.
 
     Null and empty texts have no letters and go. Rows are judged one by one by
-    their whole texts: repeated ones alike, null ids like others. With no row to
+    their whole texts, however long: repeated ones alike, null ids like others;
+    other columns than those of documents are left out. Languages equally near
+    go to the name that sorts first. With no row to
     learn from, none is known and all go; an empty table stays empty. A language
     none of whose own texts is taken for it has no limit, and no text is in it.
     """
@@ -59,7 +61,8 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and stay; a null language is replaced, for
     the judgement, by the predicted one. Rows with null or repeated ids are told
-    apart by id, language and text; equal rows are judged alike. An empty table
+    apart by id, language and text; equal rows are judged alike. Long texts are
+    judged whole, a value at a limit is within it. An empty table
     stays empty; without any label of good quality, all rows stay.
     """
     rows = keyed(docs)
@@ -74,11 +77,11 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns differ. Null texts count as empty and are equal. Long texts are
     compared whole; an empty table stays empty.
     """
-    # plain columns: the join and the grouping after it then deal rows out alike, once
+    # plain columns: rows that repeat are one before they are dealt out, and the join deals them out alike
     own = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
     kept = exact_dedup.exact_dedup(docs).where("kept").select(*own, F.col("text_sha256").alias("sha")).distinct()
-    rows = docs.select("*", *own, F.sha2(exact_dedup.normalised("text"), 256).alias("sha"))
-    return rows.join(kept, ["id", "no_id", "sha"], "left_semi").dropDuplicates(["id", "no_id", "sha"]).select(*COLUMNS)
+    rows = docs.select("*", *own, F.sha2(exact_dedup.normalised("text"), 256).alias("sha")).dropDuplicates(["id", "no_id", "sha"])
+    return rows.join(kept, ["id", "no_id", "sha"], "left_semi").select(*COLUMNS)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +89,8 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows whose doc_id is null or on several rows come after all others, by a hash.
     Null and empty texts are near nothing and stay. Rows that are equal in id,
-    language and text count as one and stay together. An empty table stays empty.
+    language and text count as one and stay together. Long texts are compared
+    whole. An empty table stays empty.
     """
     rows = keyed(docs)
     kept = near_dedup.near_duplicates(rows, doc_id="row", width=5, percent=80, n_bands=32, rows=4).where("kept").select(F.col("doc_id").alias("row"))
@@ -94,7 +98,11 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of 2048-token sequences; a null or empty text is its end token alone, and an empty table gives no pieces."""
+    """The pieces of 2048-token sequences; a null or empty text is its end token alone, and an empty table gives no pieces.
+
+    Every row is packed, one that repeats another or has no id too; a long text
+    is cut into as many pieces as it takes.
+    """
     return packing.pack(docs, *vocabulary(BYTE_BPE), end=1)
 
 
