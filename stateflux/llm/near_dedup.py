@@ -140,15 +140,15 @@ def links_between(components: np.ndarray, sets: list[np.ndarray], blocks: np.nda
     order = np.argsort(cell, kind="stable")
     cells, rows_ = cell[order], row[order]
     step = max(1, CELLS // max(1, n))  # columns of the matrix that are filled at once
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n), np.int64)
     for first in range(0, width, step):
         a, b = np.searchsorted(cells, (first, first + step))
         dense = np.zeros((n, min(step, width - first)), np.float32)
         dense[rows_[a:b], cells[a:b] - first] = 1
-        common += dense @ dense.T
+        common += (dense @ dense.T).astype(np.int64)  # at most CELLS, which float32 holds exactly
     for first in range(0, n, 64):
         some = slice(first, first + 64)
-        possible = (comp[some, None] < comp[None, :]) & similar(common[some].astype(np.int64), size[some, None], size[None, :], percent)
+        possible = (comp[some, None] < comp[None, :]) & similar(common[some], size[some, None], size[None, :], percent)
         if block is not None:
             possible &= block[some, None] != block[None, :]
         for i, j in zip(*np.nonzero(possible)):
