@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -398,33 +399,50 @@ def principal_planes(rows: DataFrame, keys: list[str], vectors: list[str], axis:
     kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
 
     def partial(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, dropna=False, sort=False):
-                row = dict(zip(keys, key), n=len(part), axis=part[axis].iloc[0])
-                for v in vectors:
-                    x = np.stack(part[v].to_numpy()).astype(float)
-                    row[v] = np.concatenate((x.sum(axis=0), (x.T @ x).ravel()))
-                yield pd.DataFrame([row])
-
-    sums = rows.select(*keys, axis, *vectors).mapInPandas(partial, ", ".join([*kinds, "n long", "axis array<double>", *(f"{v} array<double>" for v in vectors)]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(keys)):
+                values = batch.column(i).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(values.dictionary) + values.indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            ends, first = np.append(starts[1:], len(order)), pa.array(order[starts])
+            out = [batch.column(i).take(first) for i in range(len(keys))]
+            out += [pa.array(ends - starts, pa.int64()), batch.column(len(keys)).take(first)]
+            for i in range(len(vectors)):
+                x = batch.column(len(keys) + 1 + i).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(order), -1)[order]
+                grams = np.stack([(x[m:n].T @ x[m:n]).ravel() for m, n in zip(starts, ends)])
+                sums_ = np.hstack((np.add.reduceat(x, starts, axis=0), grams))
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * sums_.shape[1], pa.int32()), pa.array(sums_.ravel())))
+            yield pa.RecordBatch.from_arrays(out, [*keys, "n", "axis", *vectors])
+
+    sums = rows.select(*keys, axis, *vectors).mapInArrow(partial, ", ".join([*kinds, "n long", "axis array<double>", *(f"{v} array<double>" for v in vectors)]))
     sums = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("axis").alias("axis"), *[vector_to_array(Summarizer.sum(array_to_vector(v))).alias(v) for v in vectors])
     plane = "struct<first:double,second:double,on_axis:double,one:array<double>,two:array<double>>"
 
+    def planes(n: np.ndarray, sums_: np.ndarray, to: np.ndarray) -> list:
+        d = to.shape[1]
+        mean, gram = sums_[:, :d] / n[:, None], sums_[:, d:].reshape(-1, d, d)
+        size, basis = np.linalg.eigh(np.where((n > 1)[:, None, None], gram - n[:, None, None] * mean[:, :, None] * mean[:, None, :], 0.0))
+        size, basis = np.maximum(size[:, ::-1], 0), basis[:, :, ::-1]
+        top = np.take_along_axis(basis, np.abs(basis).argmax(axis=1)[:, None], axis=1)
+        basis = basis * np.sign(top)
+        whole = size.sum(axis=1)
+        on_axis = np.abs(np.einsum("gd,gd->g", basis[:, :, 0], to))
+        some, two = (n > 1) & (whole / np.maximum(n - 1, 1) > 1e-15), d > 1
+        return [{"first": 100 * s[0] / t, "second": 100 * s[1] / t if two else None, "on_axis": a, "one": b[:, 0].tolist(), "two": b[:, 1].tolist() if two else None} if ok else None for s, t, a, b, ok in zip(size, whole, on_axis, basis, some)]
+
     def solved(batches):
         for pdf in batches:
+            n, wide = pdf["n"].to_numpy(), pdf["axis"].map(len).to_numpy()
             for v in vectors:
-                out = []
-                for n, sums_, to in zip(pdf["n"], pdf[v], pdf["axis"]):
-                    d = len(to)
-                    mean, gram = sums_[:d] / n, sums_[d:].reshape(d, d)
-                    size, basis = np.linalg.eigh(gram - n * np.outer(mean, mean)) if n > 1 else (np.zeros(d), np.eye(d))
-                    size, basis = np.maximum(size[::-1], 0), basis[:, ::-1]
-                    if n < 2 or size.sum() / (n - 1) <= 1e-15:
-                        out.append(None)
-                        continue
-                    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(d)])
-                    two = d > 1
-                    out.append({"first": 100 * size[0] / size.sum(), "second": 100 * size[1] / size.sum() if two else None, "on_axis": abs(basis[:, 0] @ to), "one": basis[:, 0].tolist(), "two": basis[:, 1].tolist() if two else None})
+                out = np.empty(len(pdf), object)
+                for d in np.unique(wide):
+                    at = np.flatnonzero(wide == d)
+                    for i, found in zip(at, planes(n[at], np.stack(pdf[v].to_numpy()[at]), np.stack(pdf["axis"].to_numpy()[at]))):
+                        out[i] = found
                 pdf[f"{v}_pc"] = pd.Series(out, index=pdf.index, dtype=object)
             yield pdf[[*keys, *(f"{v}_pc" for v in vectors)]]
 
@@ -449,7 +467,9 @@ def axis_dynamics(samples: DataFrame, centres: DataFrame, rate: float, least: in
     rows = rows.withColumn("_rest", F.zip_with("_unit", "_axis", lambda u, a: F.when(F.col("_p") < 0, -u).otherwise(u) - F.abs("_p") * a))
     of = rows.where("_axis is not null")
     planes = principal_planes(of, [rec, state], ["_unit", "_rest"], "_axis")
-    at = of.join(planes.select(F.col(rec).alias("_r"), F.col(state).alias("_k"), F.col("_rest_pc.one").alias("_one"), F.col("_rest_pc.two").alias("_two")), F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left")
+    parts = [(name, f"{v}_pc.{field}") for name, v, field in (("pc1_pct", "_unit", "first"), ("pc2_pct", "_unit", "second"), ("pc1_axis_corr", "_unit", "on_axis"), ("residual_pc1_pct", "_rest", "first"), ("residual_pc2_pct", "_rest", "second"))]
+    planes = planes.select(F.col(rec).alias("_r"), F.col(state).alias("_k"), F.col("_rest_pc.one").alias("_one"), F.col("_rest_pc.two").alias("_two"), *[F.col(path).alias(name) for name, path in parts])
+    at = of.join(planes, F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left")
     at = at.withColumn("_phase", F.when(F.col("_two").isNotNull(), F.atan2(A.dot("_rest", "_two"), A.dot("_rest", "_one"))))
     at = at.withColumn("_angle", F.degrees(F.acos(F.abs("_p")))).withColumn("_before", F.when(F.col("_next"), F.lag("_s").over(w)))
     turn = F.col("_phase") - F.lag("_phase").over(w)
@@ -463,10 +483,7 @@ def axis_dynamics(samples: DataFrame, centres: DataFrame, rate: float, least: in
         "precession_deg_s": F.avg("_turn") * deg, "precession_abs_deg_s": F.avg(size) * deg, "precession_median_deg_s": F.median(size) * deg, "abs_cycles_s": F.sum(size) / (2 * math.pi) / seconds, "net_cycles_s": F.sum("_turn") / (2 * math.pi) / seconds,
         "directionality": F.abs(F.sum("_turn")) / F.greatest(F.sum(size), F.lit(1e-15)), "positive_fraction": F.avg((F.col("_turn") > 0).cast("int")), "negative_fraction": F.avg((F.col("_turn") < 0).cast("int")),
     }
-    stats = at.groupBy(rec, state).agg(n.alias("n_active"), F.count_if(~F.col("_next")).alias("n_runs"), *[m.alias(name) for name, m in measures.items()])
-    parts = [(name, f"{v}_pc.{field}") for name, v, field in (("pc1_pct", "_unit", "first"), ("pc2_pct", "_unit", "second"), ("pc1_axis_corr", "_unit", "on_axis"), ("residual_pc1_pct", "_rest", "first"), ("residual_pc2_pct", "_rest", "second"))]
-    planes = planes.select(F.col(rec).alias("_r"), F.col(state).alias("_k"), *[F.col(path).alias(name) for name, path in parts])
-    stats = stats.join(planes, F.col(rec).eqNullSafe(F.col("_r")) & (F.col(state) == F.col("_k")), "left").drop("_r", "_k")
+    stats = at.groupBy(rec, state).agg(n.alias("n_active"), F.count_if(~F.col("_next")).alias("n_runs"), *[m.alias(name) for name, m in measures.items()], *[F.first(name).alias(name) for name, _ in parts])
     # a row for each record and state: the states are few, the records' totals one row each
     names = axes.agg(F.collect_set(state).alias("_states"))
     every = samples.groupBy(rec).agg(n.alias("n_samples")).crossJoin(F.broadcast(names)).select(F.col(rec).alias("_r"), "n_samples", F.explode("_states").alias("_k"))  # one row

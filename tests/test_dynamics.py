@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 
@@ -29,3 +30,15 @@ def test_dynamics_are_those_of_records_in_memory(spark):
         if w["net_cycles_s"] is not None and g["net_cycles_s"] is not None:
             assert np.isclose(abs(g["net_cycles_s"]), abs(w["net_cycles_s"]), atol=1e-7, equal_nan=True)
     assert S.axis_dynamics(x.limit(0), centres, 50.0).count() == 0
+
+
+def test_planes_of_many_small_groups_take_one_batch_an_arrow_batch(spark):
+    rows = spark.range(0, 40_000, numPartitions=2).selectExpr("int(id / 4) AS rec", "int(id / 4) % 3 AS k", "array(1d, 0d, 0d) AS axis", "array(sin(id), cos(3 * id), sin(id * id)) AS v")
+    began = time.time()
+    got = {r["rec"]: r["v_pc"] for r in S.principal_planes(rows, ["rec", "k"], ["v"], "axis").collect()}
+    assert time.time() - began < 20 and len(got) == 10_000
+    for rec in (0, 777, 9_999):
+        i = np.arange(4 * rec, 4 * rec + 4, dtype=float)
+        x = np.stack((np.sin(i), np.cos(3 * i), np.sin(i * i)), axis=1)
+        s = np.linalg.svd(x - x.mean(axis=0))[1] ** 2
+        assert np.allclose([got[rec]["first"], got[rec]["second"]], 100 * s[:2] / s.sum())
