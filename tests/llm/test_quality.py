@@ -89,6 +89,17 @@ def test_shards_dealt_on_several_tasks(spark, case, monkeypatch):
         assert abs(got[i]["perplexity"] - r["perplexity"]) < 1e-9 and got[i]["keep"] == r["keep"] and abs(got[i]["high"] - r["high"]) < 1e-9
 
 
+def test_all_trusted_texts_count_however_many(spark, case, monkeypatch):
+    rows, docs, labels = case
+    want = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    good = labels.where("quality = 1").distinct().count()
+    monkeypatch.setattr(quality, "TRUSTED", good // 9)  # more than 256 shards
+    got = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert abs(got[i]["perplexity"] - r["perplexity"]) < 1e-9 and got[i]["keep"] == r["keep"] and abs(got[i]["high"] - r["high"]) < 1e-9
+
+
 def test_repeated_words(spark, case):
     assert quality.repeats([]) == (0, 0) and quality.repeats(SPLIT("no. no, no 5 no yes 7 7")) == (5, 3)
     rows, docs, labels = case
