@@ -578,6 +578,13 @@ def test_pipeline_drops_unknown_languages(spark):
     assert not kept & set(ids) and len(kept) >= 0.99 * docs.count()
 
 
+def test_pipeline_learns_languages_from_every_row(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*p.COLUMNS).where("lang is not null").where(langid.held_out())
+    assert docs.count() > 20 and p.language(spark, docs, "").count() >= 0.9 * docs.where("text is not null and text <> ''").count()
+
+
 def test_pipeline_keeps_null_and_repeated_ids_apart(spark):
     import corpus_pipeline as p
 
