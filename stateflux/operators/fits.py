@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stateflux.operators import arrays as A
 from stateflux.operators.clustering import normal, principal
+from stateflux.operators.tables import by_key, small
+
+#: Bands of a set's states, each of LEAST_BAND states or more, and the most states in one; cells of a product and pairs worked on at once.
+BANDS, LEAST_BAND, BAND, PRODUCT, PAIRS = 16, 2048, 1 << 16, 1 << 22, 1 << 18
 
 
 def assignment(similarity: np.ndarray) -> list[tuple[int, int]]:
@@ -44,9 +50,59 @@ def assignment(similarity: np.ndarray) -> list[tuple[int, int]]:
 
 
 def duplicate_pairs(states: DataFrame, by: list[str], state: str = "state", map_: str = "map", least: float = 0.85) -> DataFrame:
-    """by, a, b, similarity: pairs of a model's states that are one but for polarity."""
-    one, two = (states.select(*by, F.col(state).alias(n), A.unit(F.col(map_)).alias(f"_{n}")) for n in "ab")
-    return one.join(two, by).where("a < b").select(*by, "a", "b", F.abs(A.dot(F.col("_a"), F.col("_b"))).alias("similarity")).where(F.col("similarity") >= least)
+    """by, a, b, similarity: pairs of a model's states that are one but for polarity.
+
+    A set's states are dealt to at most BANDS bands (more, if a band would have
+    over BAND states), and each two bands meet in one task as matrices. A product
+    of matrices finds the pairs; their similarity is then summed in the order of
+    the channels. Pairs leave in parts, so no task holds all of its pairs.
+    """
+    unit = A.unit(F.col(map_).cast("array<double>"))
+    rows = states.select(*by, F.col(state).alias("_s"), unit.alias("_u")).where(" and ".join([*(f"`{c}` is not null" for c in by), "_s is not null and _u is not null and forall(_u, x -> x is not null)"]))
+    rows = rows.withColumn("_d", F.size("_u"))
+    key = [*by, "_d"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    bands = F.greatest(F.ceil(F.col("_n") / BAND), F.least(F.lit(BANDS), F.ceil(F.col("_n") / LEAST_BAND))).cast("int")
+    dealt = rows.join(small(sizes.select(*key, bands.alias("_m"))), key).withColumn("_b", F.pmod(F.xxhash64("_s"), F.col("_m")).cast("int"))
+    dealt = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    cell = [*key, "_i", "_j"]
+    dealt = dealt.select(*key, F.least("_b", "_c").alias("_i"), F.greatest("_b", "_c").alias("_j"), (F.col("_b") <= F.col("_c")).alias("_left"), "_s", "_u")
+    kind = states.schema[state].dataType.simpleString()
+
+    def met(own: pa.Table) -> Iterator[pa.RecordBatch]:
+        d, i, j = (own.column(c)[0].as_py() for c in ("_d", "_i", "_j"))
+        left, names, heads = own.column("_left").to_numpy(), own.column("_s").combine_chunks(), [own.column(c)[0] for c in by]
+        u = own.column("_u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, d)
+        one = np.flatnonzero(left)
+        two = one if i == j else np.flatnonzero(~left)
+        if not len(one) or not len(two):
+            return
+        step = max(1, PRODUCT // len(two))
+        for at in range(0, len(one), step):
+            mine = one[at : at + step]
+            p, q = np.nonzero(~(np.abs(u[mine] @ u[two].T) < least - 1e-9))
+            for part in range(0, len(p), PAIRS):
+                x, y = mine[p[part : part + PAIRS]], two[q[part : part + PAIRS]]
+                if i == j:
+                    x, y = x[x < y], y[x < y]
+                total = np.zeros(len(x))
+                for c in range(d):
+                    total += u[x, c] * u[y, c]
+                total = np.abs(total)
+                near = ~(total < least)
+                x, y, total = x[near], y[near], total[near]
+                a, b = names.take(pa.array(x)), names.take(pa.array(y))
+                less, equal = pc.less(a, b), pc.equal(a, b)
+                out = [pa.array([h.as_py()] * len(x), h.type) for h in heads]
+                out = pa.RecordBatch.from_arrays([*out, pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(total)], [*by, "a", "b", "similarity"])
+                yield out.filter(pc.invert(equal))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in by_key(batches, len(cell)):
+            yield from met(own)
+
+    kinds = ", ".join([*(f"`{c}` {states.schema[c].dataType.simpleString()}" for c in by), f"a {kind}, b {kind}, similarity double"])
+    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(work, kinds)
 
 
 def solution(fits: DataFrame, by: list[str], k: int | DataFrame) -> DataFrame:

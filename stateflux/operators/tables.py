@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,26 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def by_key(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows of each key, the first ``n`` columns, of batches in which a key's rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy() for i in range(n)]
+        starts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(n)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in itertools.pairwise(starts):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))

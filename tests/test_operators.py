@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -722,3 +724,18 @@ def test_recordings_in_files(spark, tmp_path):
     assert "no decoder" in told["e.cnt", None]["error"] and "MATLAB 5" in told["f.mat", None]["error"]
     own, _ = read_recordings(files.where("path like '%cnt'"), {"cnt": lambda data: {"x": np.ones((2, 3)), "rate": 1.0, "labels": ["a", "b"], "places": [[0, 0, 1]] * 2}})
     assert own.count() == 3 and read_recordings(files.limit(0))[0].count() == 0
+
+
+def test_duplicate_pairs_of_many_states(spark):
+    x = np.random.default_rng(4).normal(size=(6000, 32))
+    x[5999] = -2 * x[7]
+    began = time.time()
+    states = spark.createDataFrame(pd.DataFrame({"g": 1, "state": np.arange(6000), "map": list(x)})).repartition(4)
+    odd = spark.createDataFrame([(1, 9000, [1.0, 2.0]), (1, 9001, [4.0, 8.0]), (2, 9002, [1.0, 2.0]), (1, 9003, None)], "g long, state long, map array<double>")
+    got = sorted((r["g"], r["a"], r["b"], round(r["similarity"], 9)) for r in M.duplicate_pairs(states.unionByName(odd), ["g"], least=0.7).collect())
+    assert time.time() - began < 60
+    u = x - x.mean(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.abs(u @ u.T)
+    want = [(1, int(a), int(b), round(float(s[a, b]), 9)) for a, b in zip(*np.nonzero(np.triu(s >= 0.7, 1)))]
+    assert len(want) > 10 and got == sorted([*want, (1, 9000, 9001, 1.0)])
