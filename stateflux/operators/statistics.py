@@ -7,25 +7,10 @@ from pyspark.sql import functions as F
 
 from stateflux.functions.special import p_value
 from stateflux.functions.text import finite, number
-from stateflux.operators.tables import average_ranks, ratio, small
+from stateflux.operators.tables import average_ranks, ranked_values, ratio, small
 
-#: Ranges of values whose running counts are taken in one task each.
-RANGES = 256
-
-
-def ranked_values(counts: DataFrame, value: str, count: str = "c") -> DataFrame:
-    """Adds ``before``: how many rows have a smaller value, to a table of distinct values with counts.
-
-    Values are cut into ranges at approximate quantiles; counts run within a range,
-    and the ranges' totals, RANGES numbers, give where each begins.
-    """
-    edges = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
-    rows = counts.withColumn("_part", part)
-    inside = F.coalesce(F.sum(count).over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    totals = rows.groupBy("_part").agg(F.sum(count).alias("_t"))
-    totals = totals.withColumn("_first", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_t")
-    return rows.withColumn("before", inside).join(F.broadcast(totals), "_part").withColumn("before", F.col("before") + F.col("_first")).drop("_part", "_first")
+#: Blocks of maps that meet, at most, unless one has more than MOST maps; cells of a product worked on at once.
+BANDS, MOST, CELLS = 16, 1 << 16, 1 << 22
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = False) -> DataFrame:
@@ -104,7 +89,7 @@ def correlation_p(r: Column, df: Column) -> Column:
 def spearman(df: DataFrame, by: list[str], a: str, b: str, least: int = 3, with_p: bool = False) -> DataFrame:
     """by, n, rho of rows where both values are finite; null for fewer than ``least``."""
     rows = df.where(finite(F.col(a)) & finite(F.col(b)))
-    rows = average_ranks(average_ranks(rows, by, a).withColumnRenamed("avg_rank", "_ra"), by, b).withColumnRenamed("avg_rank", "_rb")
+    rows = average_ranks(average_ranks(rows, by, a).withColumnRenamed("avg_rank", "_ra"), by, b, rows).withColumnRenamed("avg_rank", "_rb")
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_ra", "_rb").alias("rho"))
     out = out.withColumn("rho", F.when(F.col("n") >= least, F.round("rho", 6)))
     return out.withColumn("p_value", correlation_p(F.col("rho"), F.col("n") - 2)) if with_p else out
@@ -115,8 +100,9 @@ def partial_spearman(df: DataFrame, by: list[str], a: str, b: str, one: str, two
     rows = df
     for c in (a, b, one, two):
         rows = rows.where(finite(F.col(c)))
+    whole = rows
     for i, c in enumerate((a, b, one, two)):
-        rows = average_ranks(rows, by, c).withColumnRenamed("avg_rank", f"_r{i}")
+        rows = average_ranks(rows, by, c, whole).withColumnRenamed("avg_rank", f"_r{i}")
     sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[correlation(f"_r{i}", f"_r{j}").alias(f"c{i}{j}") for i in range(4) for j in range(i + 1, 4)])
     c = lambda i, j: F.coalesce(F.col(f"c{min(i, j)}{max(i, j)}"), F.lit(0.0))  # noqa: E731  # a constant covariate takes nothing away
 
@@ -209,13 +195,14 @@ def exact_silhouette(rows: DataFrame, id_: str = "id", label: str = "k", map_: s
 
     A map itself and those with |r| = 1 are left out of its own state. Every map
     meets every other one, so the work is the square of their number; beyond some
-    ten thousand maps the form by centres is meant.
+    ten thousand maps the form by centres is meant. A map is sent to at most
+    BANDS pairs of blocks on either side, unless a block then had over MOST maps.
     """
     import numpy as np
     import pandas as pd
 
     n = rows.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-n // MOST), min(BANDS, -(-n // block)))
     dealt = rows.select(F.col(id_).alias("id"), F.col(label).alias("k"), F.col(map_).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     one, two = dealt.withColumn("c", other), dealt.select(F.col("id").alias("id_"), F.col("k").alias("k_"), F.col("v").alias("v_"), F.col("b").alias("c_"), other.alias("b_"))
@@ -223,13 +210,32 @@ def exact_silhouette(rows: DataFrame, id_: str = "id", label: str = "k", map_: s
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, y = np.stack(left["v"].to_numpy()), np.stack(right["v_"].to_numpy())
-            sim = np.abs(x @ y.T)
-            mine, k = left["k"].to_numpy(), right["k_"].to_numpy()
-            same_id = left["id"].to_numpy()[:, None] == right["id_"].to_numpy()[None]
-            for label_ in np.unique(k):
-                use = (k == label_)[None] & ~((mine == label_)[:, None] & (same_id | (np.round(sim, 9) >= 1)))
-                out.append(pd.DataFrame({"id": left["id"], "k": mine, "o": label_, "d": np.where(use, 1 - sim, 0).sum(axis=1), "m": use.sum(axis=1)}))
+            right = right.sort_values("k_", kind="stable", ignore_index=True)
+            y = np.stack(right["v_"].to_numpy())
+            mine, ids, (labels, k) = left["k"].to_numpy(), left["id"].to_numpy(), np.unique(right["k_"].to_numpy(), return_inverse=True)
+            starts, sizes = np.searchsorted(k, np.arange(len(labels))), np.bincount(k)
+            step = max(1, CELLS // len(y))
+            for at in range(0, len(left), step):
+                part = slice(at, at + step)
+                far = 1 - np.abs(np.stack(left["v"].to_numpy()[part]) @ y.T)
+                many = np.tile(sizes, (len(far), 1))
+                p, q = np.nonzero(far < 1e-9)
+                drop = np.round(1 - far[p, q], 9) >= 1
+                same = mine[part][:, None] == labels[None]
+                left_out = [(p[drop], q[drop])]
+                place = pd.Index(right["id_"]).get_indexer_for(ids[part]) if not right["id_"].duplicated().any() else None
+                if place is not None:
+                    left_out.append((np.flatnonzero(place >= 0), place[place >= 0]))
+                else:
+                    left_out.append(np.nonzero(ids[part][:, None] == right["id_"].to_numpy()[None]))
+                pairs = np.unique(np.concatenate([a.astype(np.int64) * len(y) + b for a, b in left_out]))
+                a, b = pairs // len(y), pairs % len(y)
+                own = same[a, k[b]]
+                a, b = a[own], b[own]
+                far[a, b] = 0
+                np.subtract.at(many, (a, k[b]), 1)
+                total = np.add.reduceat(far, starts, axis=1)
+                out.append(pd.DataFrame({"id": np.repeat(ids[part], len(labels)), "k": np.repeat(mine[part], len(labels)), "o": np.tile(labels, len(far)), "d": total.ravel(), "m": many.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "k": [], "o": [], "d": [], "m": []})
 
     kind = {c: dealt.schema[c].dataType.simpleString() for c in ("id", "k")}

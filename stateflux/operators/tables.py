@@ -16,6 +16,8 @@ from stateflux.functions.text import finite, number
 
 #: Rows that a table which is broadcast may have: pairs of channels, states, labels.
 SMALL = 1 << 20
+#: Ranges of values whose running counts are taken in one task each.
+RANGES = 256
 
 
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
@@ -197,11 +199,32 @@ def grouped_difference(df: DataFrame, value: str, correct: Column) -> DataFrame:
     return out.withColumn("mean_difference", F.col("mean_correct") - F.col("mean_incorrect"))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds ``avg_rank``: ranks from 1, ties share their mean."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return df.withColumn("avg_rank", F.rank().over(w) + (ties - 1) / 2.0)
+def ranked_values(counts: DataFrame, value: str, count: str = "c", by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``before``: how many rows (of a group) have a smaller value, to a table of distinct values (of each group) with counts.
+
+    Values are cut into ranges at approximate quantiles; counts run within a range,
+    and the ranges' totals, RANGES numbers a group, give where each begins.
+    """
+    edges = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    rows = counts.withColumn("_part", part)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(count).over(earlier(Window.partitionBy(*by, "_part").orderBy(value))), F.lit(0.0))
+    totals = rows.groupBy(*by, "_part").agg(F.sum(count).alias("_t"))
+    totals = totals.withColumn("_first", F.coalesce(F.sum("_t").over(earlier(Window.partitionBy(*by).orderBy("_part"))), F.lit(0.0)))
+    totals = totals.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_p"), "_first")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_part") == F.col("_p"))
+    out = rows.withColumn("before", inside).join(small(totals) if by else F.broadcast(totals), same)
+    return out.withColumn("before", F.col("before") + F.col("_first")).drop("_part", "_p", "_first", *[f"_of_{c}" for c in by])
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, of: DataFrame | None = None) -> DataFrame:
+    """Adds ``avg_rank``: ranks from 1, ties share their mean. They come from a table of distinct values with counts, so a group is many tasks. ``of`` has the same rows, before other columns were added."""
+    rows = df.withColumn("_value", F.col(value))
+    counts = (df if of is None else of).select(*by, F.col(value).alias("_value")).groupBy(*by, "_value").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    ranks = ranked_values(counts, "_value", "_c", by).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_value").alias("_of"), (F.col("before") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_value").eqNullSafe(F.col("_of")))
+    return rows.join(small(ranks), same).drop("_value", "_of", *[f"_of_{c}" for c in by])
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:

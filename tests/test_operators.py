@@ -10,6 +10,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stateflux.functions import special
@@ -730,7 +731,7 @@ def test_duplicate_pairs_of_many_states(spark):
     x = np.random.default_rng(4).normal(size=(6000, 32))
     x[5999] = -2 * x[7]
     began = time.time()
-    states = spark.createDataFrame(pd.DataFrame({"g": 1, "state": np.arange(6000), "map": list(x)})).repartition(4)
+    states = spark.createDataFrame(pd.DataFrame({"g": 1, "state": np.arange(6000), "map": x.tolist()}), "g long, state long, map array<double>").repartition(4)
     odd = spark.createDataFrame([(1, 9000, [1.0, 2.0]), (1, 9001, [4.0, 8.0]), (2, 9002, [1.0, 2.0]), (1, 9003, None)], "g long, state long, map array<double>")
     got = sorted((r["g"], r["a"], r["b"], round(r["similarity"], 9)) for r in M.duplicate_pairs(states.unionByName(odd), ["g"], least=0.7).collect())
     assert time.time() - began < 60
@@ -739,3 +740,33 @@ def test_duplicate_pairs_of_many_states(spark):
     s = np.abs(u @ u.T)
     want = [(1, int(a), int(b), round(float(s[a, b]), 9)) for a, b in zip(*np.nonzero(np.triu(s >= 0.7, 1)))]
     assert len(want) > 10 and got == sorted([*want, (1, 9000, 9001, 1.0)])
+
+
+def test_average_ranks_of_a_group_in_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, None if v == 7 else math.nan if v == 8 else float(v)) for g in ("a", "b", None) for v in rng.integers(-20, 400, 700)]
+    x = spark.createDataFrame(rows, "g string, v double").withColumn("id", F.monotonically_increasing_id())
+    ranked = T.average_ranks(x, ["g"], "v")
+    windows = [line for line in ranked._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window " in line and "v#" in line.split("[")[-1]]
+    assert not any("rank(" in line for line in windows)
+    over = Window.partitionBy("g").orderBy("v")
+    want = x.withColumn("avg_rank", F.rank().over(over) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2.0)
+    both = ([(r["id"], r["avg_rank"]) for r in df.orderBy("id").collect()] for df in (ranked, want))
+    got, expected = both
+    assert got == expected and len(got) == 2100
+    for block in (100, 2048):
+        maps = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(M.normal(rng.normal(size=(500, 5))))], "id int, k int, map array<double>")
+        s = {r["id"]: r["silhouette"] for r in ST.exact_silhouette(maps, block=block).collect()}
+        m = np.array([r["map"] for r in maps.orderBy("id").collect()])
+        far = 1 - np.abs(m @ m.T)
+        np.fill_diagonal(far, np.nan)
+        means = np.array([np.nanmean(far[:, j::3], axis=1) for j in range(3)]).T
+        own = means[np.arange(500), np.arange(500) % 3]
+        other = np.where(np.arange(3)[None] == (np.arange(500) % 3)[:, None], np.inf, means).min(axis=1)
+        assert np.allclose([s[i] for i in range(500)], (other - own) / np.maximum(own, other), atol=1e-9)
+
+
+def test_silhouettes_send_a_map_to_few_blocks(spark):
+    maps = spark.range(3000).selectExpr("id", "id % 3 AS k", "array(sin(id), cos(id)) AS map")
+    plan = ST.exact_silhouette(maps, block=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "42), 16)" in plan and "42), 300)" not in plan
