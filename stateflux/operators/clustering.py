@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +29,8 @@ HELD, SALTS, SEEDINGS, FEW = 64 << 20, 64, 4, 256
 #: A model of a set: its parameters as one array, the score that its rounds improve, and whether they have ended.
 MODEL = "node string, model int, k int, theta array<double>, score double, done boolean, round int"
 SUMS = "node string, model int, state int, v array<double>, far double, far_h long, far_map array<double>"
+#: The same on the way to where they are summed: arrays as the bytes of their doubles, which cost nothing to read or write.
+PARTS = "node string, model int, state int, v binary, far double, far_h long, far_map binary"
 METHODS = ("topo_kmeans", "koenig", "spm_kmeans", "spm_vb")
 MEASURES = ["gev", "wss", "residual_variance", "cross_validation", "silhouette", "mean_abs_corr", "min_share", "max_share", "empty_states", "calinski_harabasz", "free_energy", "covariance_trace_mean", "covariance", "log_likelihood", "bic", "icl", "assignment_entropy"]
 
@@ -55,8 +56,7 @@ def in_blocks(maps: DataFrame, by: list[str], id_: str, map_: str, gfp: str | No
     strength = (F.col(gfp) if gfp else F.lit(1.0)).cast("double")
     rows = maps.select(F.to_json(F.struct(*by)).alias("node") if by else F.lit("{}").alias("node"), F.col(id_).alias("id"), F.xxhash64(id_, F.col(map_)).alias("h"), F.col(map_).cast("array<double>").alias("m"), (strength * strength).alias("w"))
     rows = rows.where("w > 0 and w < double('infinity') and size(m) > 0 and forall(m, x -> x is not null and abs(x) < double('infinity'))")
-    if by:
-        rows = rows.repartition("node", F.pmod("h", F.lit(SALTS)))
+    rows = rows.repartition("node", F.pmod("h", F.lit(SALTS)))  # one set too: its table may be a single part of a file, and every pass would be one task
     kind = maps.schema[id_].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +89,8 @@ class Block:
 
 #: What a pass does with a block and a model's k and parameters: state -> (sums, what is furthest from its state, its hash, its map).
 Step = Callable[[Block, int, np.ndarray], dict[int, tuple]]
+#: What is made of a state's sums where they are complete.
+Close = Callable[[np.ndarray], np.ndarray]
 NONE = (None, None, None)
 
 
@@ -98,47 +100,80 @@ def packed(models: DataFrame) -> DataFrame:
     return models.groupBy("node").agg(fields.alias("m")).select("node", *[F.col(f"m.{c}").alias(f"{c}_") for c in ("model", "k", "theta")])
 
 
-def swept(blocks: DataFrame, models: DataFrame, step: Step, columns: Sequence[str], n_bytes: int) -> DataFrame:
-    """node, model, state, v, far, far_h, far_map: what ``step`` gives, summed over each set's blocks; of ``far`` the least. ``models`` may be packed."""
-    packs = models if "theta_" in models.columns else packed(models)
+def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of PARTS or SUMS as a batch; arrays are numpy's."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = {}, 0
+    def column(kind: str, values: list) -> pa.Array:
+        if kind != "array<double>":
+            return pa.array([v.tobytes() if isinstance(v, np.ndarray) else v for v in values], kinds[kind])
+        ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)])
+        flat = np.concatenate([np.empty(0), *(v for v in values if v is not None)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([v is None for v in values]))
 
-        def passed() -> pd.DataFrame:
-            rows = [(*key, v.tolist(), *far) for key, (v, far) in held.items()]
-            return pd.DataFrame(rows, columns=["node", "model", "state", "v", "far", "far_h", "far_map"])
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([column(kind, list(c)) for (_, kind), c in zip(fields, columns)], [name for name, _ in fields])
 
-        for frame in frames:
-            for row in frame.itertuples(index=False):
+
+def _added(held: dict, key: tuple, v: np.ndarray, far: tuple) -> None:
+    """Sums and the least of ``far`` under a key."""
+    if key not in held:
+        held[key] = v, far
+        return
+    before, away = held[key]
+    nearer = away[0] is None or (far[0] is not None and far[:2] < away[:2])
+    held[key] = before + v, far if nearer else away
+
+
+def swept(blocks: DataFrame, models: DataFrame | dict[str, list[tuple]], step: Step, columns: Sequence[str], n_bytes: int, close: Close | None = None) -> DataFrame:
+    """node, model, state, v, far, far_h, far_map: what ``step`` gives, summed over each set's blocks and closed; of ``far`` the least.
+
+    ``models`` may be a few models by node, (model, k, parameters) each: then they go with the tasks and nothing is joined.
+    """
+    few = models if isinstance(models, dict) else None
+    met = blocks.select(*columns) if few is not None else blocks.select(*columns).join(sized(packed(models), n_bytes), "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for values in zip(*batch.columns):
+                row = SimpleNamespace(**{c: v.as_py() for c, v in zip(batch.schema.names, values)})
+                own = few.get(row.node, ()) if few is not None else zip(row.model_, row.k_, row.theta_)
                 block = Block(row)
-                for model, k, theta in zip(row.model_, row.k_, row.theta_):
-                    for state, (v, *far) in step(block, int(k), np.asarray(theta, float)).items():
-                        key = (row.node, int(model), state)
-                        if key not in held:
-                            held[key] = (v, tuple(far))
-                            size += v.nbytes
-                        else:
-                            before, away = held[key]
-                            nearer = away[0] is None or (far[0] is not None and (far[0], far[1]) < (away[0], away[1]))
-                            held[key] = (before + v, tuple(far) if nearer else away)
+                for model, k, theta in own:
+                    for state, (v, *far) in step(block, k, np.asarray(theta, float)).items():
+                        size += 0 if (row.node, model, state) in held else v.nbytes
+                        _added(held, (row.node, model, state), v, tuple(far))
                 if size > HELD:
-                    yield passed()
+                    yield _rows(PARTS, [(*key, v, *far) for key, (v, far) in held.items()])
                     held, size = {}, 0
-        if held:
-            yield passed()
+        yield _rows(PARTS, [(*key, v, *far) for key, (v, far) in held.items()])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # keys are sorted: of a batch's, only the last may go on in the next one
+        held: dict = {}
 
-    met = blocks.select(*columns).join(sized(packs, n_bytes), "node")
-    furthest = F.min(F.when(F.col("far").isNotNull(), F.struct("far", "far_h", "far_map"))).alias("f")
-    sums = met.mapInPandas(work, SUMS).groupBy("node", "model", "state").agg(vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("v"))["sum"]).alias("v"), furthest)
-    return sums.select("node", "model", "state", "v", "f.far", "f.far_h", "f.far_map")
+        def closed(rest: int) -> Iterator[pa.RecordBatch]:
+            out = [(*key, close(v) if close else v, *far) for key in list(held)[: len(held) - rest] for v, far in [held.pop(key)]]
+            if out:
+                yield _rows(SUMS, out)
+
+        for batch in batches:
+            for node, model, state, v, far, far_h, far_map in zip(*(c.to_pylist() for c in batch.columns)):
+                _added(held, (node, model, state), np.frombuffer(v), (far, far_h, None if far_map is None else np.frombuffer(far_map)))
+            yield from closed(1)
+        yield from closed(0)
+
+    keys = ["node", "model", "state"]
+    return met.mapInArrow(work, PARTS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(summed, SUMS)
 
 
 #: From k, parameters and each state's sums (v, far, its map): new parameters, the score of the old ones, and whether to end if the score settles.
 Update = Callable[[int, np.ndarray, dict[int, tuple]], tuple[np.ndarray, float, bool]]
 
 
-def iterated(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, update: Update, columns: Sequence[str], most: int, tol: float) -> DataFrame:
+def iterated(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, update: Update, columns: Sequence[str], most: int, tol: float, close: Close | None = None) -> DataFrame:
     """Models after rounds of ``step`` and ``update`` until their scores settle, ``most`` rounds at most.
 
     Up to FEW models are updated by the driver, which then gets each round's sums
@@ -161,14 +196,16 @@ def iterated(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, upd
     few = models.limit(FEW + 1).collect()
     if len(few) <= FEW:
         rows = {(r["node"], r["model"]): r.asDict() for r in few}
+        nodes = {node for node, _ in rows}
         while active := {key: r for key, r in sorted(rows.items()) if not r["done"]}:
-            nodes: dict[str, list] = {}
-            for (node, _), r in active.items():
-                nodes.setdefault(node, []).append(r)
-            packs = spark.createDataFrame([(node, [r["model"] for r in rs], [r["k"] for r in rs], [r["theta"] for r in rs]) for node, rs in nodes.items()], "node string, model_ array<int>, k_ array<int>, theta_ array<array<double>>", verifySchema=False)
+            packs: dict[str, list] = {}
+            for (node, model), r in active.items():
+                packs.setdefault(node, []).append((model, int(r["k"]), np.asarray(r["theta"], float)))
+            some = blocks if len(packs) == len(nodes) else blocks.where(F.col("node").isin(list(packs)))
             found: dict[tuple, dict] = {key: {} for key in active}
-            for r in swept(blocks, packs, step, columns, 0).collect():  # FEW models' sums
-                found[r["node"], r["model"]][r["state"]] = (np.array(r["v"]), r["far"], r["far_map"])
+            for batch in swept(some, packs, step, columns, 0, close).toArrow().to_batches():  # FEW models' sums
+                for node, model, state, v, far, far_map in zip(*(batch.column(c) for c in ("node", "model", "state", "v", "far", "far_map"))):
+                    found[node.as_py(), model.as_py()][state.as_py()] = v.values.to_numpy(), far.as_py(), far_map.values and far_map.values.to_numpy()
             for key, sums in found.items():
                 rows[key] = settled(rows[key], sums)
         return spark.createDataFrame([tuple(r[c] for c in models.columns) for r in rows.values()], models.schema, verifySchema=False)
@@ -177,7 +214,7 @@ def iterated(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, upd
         left = active.agg(F.count(F.lit(1)), F.sum(F.size("theta"))).first()
         if not left[0]:
             return models
-        sums = swept(blocks, active, step, columns, 8 * left[1])
+        sums = swept(blocks, active, step, columns, 8 * left[1], close)
         new = sums.groupBy("node", "model").cogroup(active.groupBy("node", "model")).applyInPandas(settle, MODEL)
         before, models = models, work.written(models.where("done").unionByName(new), "models")
         work.dropped(before)
@@ -199,12 +236,19 @@ def gram_sums(x: np.ndarray, w: np.ndarray, h: np.ndarray, labels: np.ndarray, s
         if len(at):
             own, wj = x[at], w[at]
             gram = (own * wj[:, None]).T @ own if weighted else own.T @ own
-            far = at[np.lexsort((h[at], similarity[at]))[0]]
+            least = at[similarity[at] == similarity[at].min()]
+            far = least[h[least].argmin()]
             v = np.concatenate([[len(at), float((wj * (1 - best[at] ** 2)).sum()), wj.sum()], own.sum(axis=0), gram.ravel()])
-            out[j] = (v, float(similarity[far]), int(h[far]), x[far].tolist())
+            out[j] = (v, float(similarity[far]), int(h[far]), x[far])
     return out
 
 
+def with_axis(v: np.ndarray) -> np.ndarray:
+    """Of the sums of :func:`gram_sums`, the first three and the principal axis."""
+    c = (math.isqrt(4 * (len(v) - 3) + 1) - 1) // 2
+    return np.concatenate([v[:3], principal(v[3 + c :].reshape(c, c), v[3 : 3 + c])])
+
+
 def nearest(weighted: bool) -> Step:
     def step(b: Block, k: int, theta: np.ndarray) -> dict[int, tuple]:
         r = np.abs(b.x @ theta.reshape(k, -1).T)
@@ -216,20 +260,19 @@ def nearest(weighted: bool) -> Step:
 
 def axes(k: int, theta: np.ndarray, sums: dict[int, tuple]) -> tuple[np.ndarray, float, bool]:
     """Each state's principal axis; an empty state begins at the map least like its own centre, of a state that has others."""
-    centres, residual, weight = theta.reshape(k, -1).copy(), 0.0, 0.0
-    c = centres.shape[1]
+    centres, residual = theta.reshape(k, -1).copy(), 0.0
     spare = sorted((far, j) for j, (v, far, _) in sums.items() if v[0] > 1)
     empty = [j for j in range(k) if j not in sums]
     for j, (v, _, _) in sums.items():
-        centres[j] = principal(v[3 + c :].reshape(c, c), v[3 : 3 + c])
-        residual, weight = residual + v[1], weight + v[2]
+        centres[j] = v[3:]
+        residual += v[1]
     for j, (_, of) in zip(empty, spare):
         centres[j] = np.asarray(sums[of][2], float)
     return normal(centres).ravel(), residual, not empty or not spare
 
 
 def kmeans(work: Rounds, blocks: DataFrame, models: DataFrame, method: str, most: int, tol: float) -> DataFrame:
-    return iterated(work, blocks, started(models), nearest(method == "koenig"), axes, ["node", "n", "x", "w", "h"], most, tol)
+    return iterated(work, blocks, started(models), nearest(method == "koenig"), axes, ["node", "n", "x", "w", "h"], most, tol, with_axis)
 
 
 # -- seeds
@@ -520,10 +563,10 @@ def maximisation(k: int, theta: np.ndarray, sums: dict[int, tuple]) -> tuple[np.
     return Posterior.of(*rest), Posterior(k, theta).divergence() - norm, True
 
 
-def from_first(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, made: Callable[[int, np.ndarray], np.ndarray], columns: Sequence[str]) -> DataFrame:
+def from_first(work: Rounds, blocks: DataFrame, models: DataFrame, step: Step, made: Callable[[int, np.ndarray], np.ndarray], columns: Sequence[str], close: Close | None = None) -> DataFrame:
     """Models whose parameters one pass's sums give."""
     n_bytes = 8 * (models.agg(F.sum(F.size("theta"))).first()[0] or 0)
-    sums = swept(blocks, models, step, columns, n_bytes).groupBy("node", "model").agg(F.sort_array(F.collect_list(F.struct("state", "v"))).alias("s"))
+    sums = swept(blocks, models, step, columns, n_bytes, close).groupBy("node", "model").agg(F.sort_array(F.collect_list(F.struct("state", "v"))).alias("s"))
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -544,11 +587,9 @@ def states_of(labels: Callable[[Block, int, np.ndarray], np.ndarray]) -> Step:
 
 def labelled_centres(k: int, vs: dict[int, np.ndarray]) -> np.ndarray:
     """Principal axes by labels; a state without maps is zeros, which the next round fills."""
-    c = next(c for c in range(1, 1 << 16) if 3 + c + c * c == len(next(iter(vs.values()))))
-    out = np.zeros((k, c))
+    out = np.zeros((k, len(next(iter(vs.values()))) - 3))
     for j, v in vs.items():
-        v = np.asarray(v, float)
-        out[j] = principal(v[3 + c :].reshape(c, c), v[3 : 3 + c])
+        out[j] = v[3:]
     return out.ravel()
 
 
@@ -655,7 +696,7 @@ def _run(work: Rounds, blocks: DataFrame, first: DataFrame, method: str, rounds:
         begun = from_first(work, featured, models, by_centres(0.0), lambda k, vs: new_means(k, np.empty(0), {0: (np.asarray(vs[0], float), None, None)})[0], ["node", "n", "x", "f"])
         mixed = iterated(work, featured, started(begun), feature_means, new_means, ["node", "n", "f"], rounds, min(tol, 1e-9))
         labels = lambda b, k, theta: feature_labels(b, k, theta)[0]
-    centres = from_first(work, featured, _kept(mixed), states_of(labels), labelled_centres, ["node", "n", "x", "w", "h", "f"])
+    centres = from_first(work, featured, _kept(mixed), states_of(labels), labelled_centres, ["node", "n", "x", "w", "h", "f"], with_axis)
     return work.written(kmeans(work, blocks, centres, method, 20, tol), "refined"), featured, extra
 
 
@@ -788,7 +829,7 @@ def completed(maps: DataFrame, states: DataFrame, by: list[str], k: int, id_: st
     def step(b: Block, _k: int, theta: np.ndarray) -> dict[int, tuple]:
         best = np.abs(b.x @ theta.reshape(-1, b.x.shape[1]).T).max(axis=1)
         at = np.lexsort((b.h, best))[0]
-        return {0: (np.array([float(b.n), float(b.x.shape[1]) * b.n]), float(best[at]), int(b.h[at]), b.x[at].tolist())}
+        return {0: (np.array([float(b.n), float(b.x.shape[1]) * b.n]), float(best[at]), int(b.h[at]), b.x[at])}
 
     def update(_k: int, theta: np.ndarray, sums: dict[int, tuple]) -> tuple[np.ndarray, float, bool]:
         v, _, away = sums[0]
@@ -823,7 +864,7 @@ def collapsed(maps: DataFrame, states: DataFrame, by: list[str], least: float =
     with Rounds(maps.sparkSession) as work:
         blocks = work.written(in_blocks(maps, by, id_, map_, gfp), "blocks")
         models = work.written(_packs(states, by, None), "models")
-        centres = from_first(work, blocks, models, states_of(joined), labelled_centres, ["node", "n", "x", "w", "h"])
+        centres = from_first(work, blocks, models, states_of(joined), labelled_centres, ["node", "n", "x", "w", "h"], with_axis)
 
         def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:

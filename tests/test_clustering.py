@@ -170,3 +170,30 @@ def test_models_are_completed_and_collapsed(spark):
     five = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate([truth[0], truth[1], -truth[0] + 0.01, truth[2], truth[3]])], "state int, map array<double>")
     rows = C.collapsed(data, five, []).orderBy("state").collect()
     assert [r["root"] for r in rows] == [0, 1, 3, 4] and alike(np.array([r["map"] for r in rows]), truth) > 0.99
+
+
+def test_one_set_is_dealt_to_many_tasks(spark, request):
+    _, _, x, g = planted()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    blocks = C.in_blocks(frame(spark, x, g).coalesce(1), [], "id", "map", "g").select(F.spark_partition_id().alias("p"), "n").collect()
+    assert len({r["p"] for r in blocks}) > 1 and sum(r["n"] for r in blocks) == len(x)
+
+
+@pytest.mark.parametrize("held", [1, 64 << 20])
+def test_a_pass_ends_with_axes_not_gram_matrices(spark, monkeypatch, held):
+    truth, _, x, g = planted()
+    monkeypatch.setattr(C, "HELD", held)
+    u, own = C.normal(x), np.abs(C.normal(x) @ truth.T)
+    labels, best = own.argmax(axis=1), own.max(axis=1)
+    with Rounds(spark) as work:
+        blocks = work.written(C.in_blocks(frame(spark, x, g).repartition(5), [], "id", "map", "g"), "blocks")
+        columns, models = ["node", "n", "x", "w", "h"], spark.createDataFrame([("{}", 7, 4, truth.ravel().tolist())], "node string, model int, k int, theta array<double>")
+        for given in ({"{}": [(7, 4, truth.ravel())]}, models):
+            rows = C.swept(blocks, given, C.nearest(False), columns, 0, C.with_axis).collect()
+            assert [(r["model"], r["state"]) for r in sorted(rows, key=lambda r: r["state"])] == [(7, j) for j in range(4)]
+            for r in rows:
+                at, v = labels == r["state"], np.array(r["v"])
+                assert len(v) == 3 + 12 and v[0] == at.sum() and v[2] == pytest.approx((g[at] ** 2).sum())
+                assert np.allclose(v[3:], C.principal(u[at].T @ u[at], u[at].sum(axis=0)), atol=1e-9)
+                assert r["far"] == pytest.approx(best[at].min()) and np.allclose(r["far_map"], u[at][best[at].argmin()])
