@@ -100,7 +100,7 @@ class Classes:
 
 def word_ids(distinct: Iterable[str]) -> np.ndarray:
     """48-bit ids of words; START has 0."""
-    return np.array([0, *(xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) >> 16 for w in distinct)], "<u8")
+    return np.concatenate((np.zeros(1, "<u8"), np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) >> 16 for w in distinct), "<u8")))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -129,18 +129,21 @@ def numbered(rows: DataFrame) -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             nonlocal stretch, size
-            for lang, (number, texts, ids, flags, said) in held.items():
+            for lang in list(held):
+                number, texts, ids, flags, said = held.pop(lang)
+                number.default_factory = None  # it refers to the numbers themselves, which else stay until Python looks for cycles
                 head = np.zeros(len(ids), HEAD)
                 head["id"], head["n"], head["flags"] = [i or 0 for i in ids], [len(x) for x in texts], [f | (i is None) * NULL_ID for f, i in zip(flags, ids)]
                 head["spelled"], head["again"] = zip(*said)
                 numbers = np.concatenate(texts)
+                texts.clear()
                 by_count = np.concatenate(([0], 1 + np.argsort(-np.bincount(numbers, minlength=len(number) + 1)[1:], kind="stable")))
                 new = np.empty(len(by_count), "<u4")
                 new[by_count] = np.arange(len(by_count))  # the most frequent get the smallest numbers, which pack best
                 values = [part << 24 | stretch, lang, packed(new[numbers]), packed(head), packed(word_ids(number)[by_count])]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()])], ["stretch", "lang", "numbers", "head", "words"])
                 stretch += 1
-            held.clear()
+                del number, numbers, ids, flags, said, head, by_count, new, values
             size = 0
 
         for batch in slices(batches):

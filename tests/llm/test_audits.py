@@ -231,3 +231,20 @@ def test_shards_change_nothing(spark, monkeypatch):
 def test_shares_are_exact(spark, count, size, terms):
     got = spark.range(1).selectExpr(f"{count}L as a", f"{size}L as b", f"{terms}L as c").select(divergence._share("a", "b", "c")).first()[0]
     assert got == 1 + 10**9 * (count + 1) // (size + terms)
+
+
+def test_what_is_written_reaches_python_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from stateflux.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    before = [spark.conf.get(c) for c in (common.BATCH, common.CLEANUP)]
+    texts = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("word "), 600).alias("text"))  # 27 MB in one part
+    found = common.written(texts.mapInArrow(sizes, "size long, n long"), "sizes").collect()
+    assert sum(r["n"] for r in found) == 9000 and len(found) > 4 and max(r["size"] for r in found) < 8 << 20
+    assert [spark.conf.get(c) for c in (common.BATCH, common.CLEANUP)] == before
