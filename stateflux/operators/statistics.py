@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stateflux.functions.special import p_value
 from stateflux.functions.text import finite, number
+from stateflux.operators.rounds import Rounds
 from stateflux.operators.tables import average_ranks, ranked_values, ratio, small
 
 #: Blocks of maps that meet, at most, unless one has more than MOST maps; cells of a product worked on at once.
@@ -96,14 +97,20 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, least: int = 3, with_
 
 
 def partial_spearman(df: DataFrame, by: list[str], a: str, b: str, one: str, two: str, least: int = 10, with_p: bool = False) -> DataFrame:
-    """by, n, rho: the rank correlation of a and b with two covariates held fixed, from the six pairwise ones of complete rows; null for fewer than ``least``."""
+    """by, n, rho: the rank correlation of a and b with two covariates held fixed, from the six pairwise ones of complete rows; null for fewer than ``least``.
+
+    Rows are written once: a sum of doubles may have another last digit each time it is
+    computed, and a value that meets its own rank has to be the same on both sides.
+    """
     rows = df
     for c in (a, b, one, two):
         rows = rows.where(finite(F.col(c)))
-    whole = rows
-    for i, c in enumerate((a, b, one, two)):
-        rows = average_ranks(rows, by, c, whole).withColumnRenamed("avg_rank", f"_r{i}")
-    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[correlation(f"_r{i}", f"_r{j}").alias(f"c{i}{j}") for i in range(4) for j in range(i + 1, 4)])
+    with Rounds(df.sparkSession) as work:
+        rows = whole = work.written(rows.select(*dict.fromkeys((*by, a, b, one, two))), "ranked")
+        for i, c in enumerate((a, b, one, two)):
+            rows = average_ranks(rows, by, c, whole).withColumnRenamed("avg_rank", f"_r{i}")
+        sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[correlation(f"_r{i}", f"_r{j}").alias(f"c{i}{j}") for i in range(4) for j in range(i + 1, 4)])
+        sums = work.result(sums, "correlations")
     c = lambda i, j: F.coalesce(F.col(f"c{min(i, j)}{max(i, j)}"), F.lit(0.0))  # noqa: E731  # a constant covariate takes nothing away
 
     def held(r, p, q):

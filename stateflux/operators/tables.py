@@ -50,6 +50,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def exact_sum(x: Column) -> Column:
+    """Aggregate: the sum of doubles of up to eight decimals, below 1e20 in size, in whatever order they come, so that equal sums are equal; what goes beyond is added as doubles."""
+    fixed = F.coalesce(x.try_cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)"))
+    return F.sum(fixed).cast("double") + F.sum(x - fixed.cast("double"))
+
+
 def first_row(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """One row for each key, the first in an order that leaves no tie."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
@@ -219,7 +225,7 @@ def ranked_values(counts: DataFrame, value: str, count: str = "c", by: Sequence[
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, of: DataFrame | None = None) -> DataFrame:
-    """Adds ``avg_rank``: ranks from 1, ties share their mean. They come from a table of distinct values with counts, so a group is many tasks. ``of`` has the same rows, before other columns were added."""
+    """Adds ``avg_rank``: ranks from 1, ties share their mean. They come from a table of distinct values with counts, so a group is many tasks. ``of`` has the same rows, before other columns were added. A value is computed on both sides and has to be the same there: one that depends on the order of rows is written first."""
     rows = df.withColumn("_value", F.col(value))
     counts = (df if of is None else of).select(*by, F.col(value).alias("_value")).groupBy(*by, "_value").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     ranks = ranked_values(counts, "_value", "_c", by).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_value").alias("_of"), (F.col("before") + (F.col("_c") + 1) / 2).alias("avg_rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stateflux.functions.special import p_value
 from stateflux.operators import statistics as S
 from stateflux.operators.regression import residualised
+from stateflux.operators.tables import exact_sum
 from stateflux.plans.registry import query
 from stateflux.sources.tables import sequence, table
 
@@ -58,7 +59,7 @@ def t8_spearman(spark, d):
 r AS (SELECT f, {", ".join(_RANKS.format(c, i) for i, c in enumerate("abce", 1))} FROM x), k AS (SELECT f, count(*) AS n, corr(r1, r2) AS ab, corr(r1, r3) AS ac, corr(r1, r4) AS ae, corr(r2, r3) AS bc, corr(r2, r4) AS be, corr(r3, r4) AS ce FROM r GROUP BY f),
 h AS (SELECT f, n, (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) AS x, (ae - ac * ce) / sqrt((1 - ac * ac) * (1 - ce * ce)) AS y, (be - bc * ce) / sqrt((1 - bc * bc) * (1 - ce * ce)) AS z FROM k) SELECT f AS feature, n, CASE WHEN n >= 10 THEN round((x - y * z) / sqrt((1 - y * y) * (1 - z * z)), 6) END AS rho FROM h""")
 def t8_partial_spearman(spark, d):
-    spent = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("b"))
+    spent = table(spark, d, "orders").groupBy("o_custkey").agg(exact_sum(F.col("o_totalprice")).alias("b"))
     x = table(spark, d, "customer").join(spent, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("feature"), F.col("c_acctbal").alias("a"), "b", F.col("c_nationkey").cast("double").alias("c"), (F.col("c_custkey") % 7).cast("double").alias("e"))
     return S.partial_spearman(x, ["feature"], "a", "b", "c", "e")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import random
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -25,10 +27,12 @@ from stateflux.operators import sequences as S
 from stateflux.operators import signals as G
 from stateflux.operators import statistics as ST
 from stateflux.operators import tables as T
+from stateflux.plans import QUERIES, SQL
 from stateflux.sinks import files as K
 from stateflux.sources import files as SF
 from tests import local_fits as local
 from tests import local_regression as LR
+from tests.oracle import same
 
 
 def one(df):
@@ -766,6 +770,32 @@ def test_average_ranks_of_a_group_in_ranges(spark):
         assert np.allclose([s[i] for i in range(500)], (other - own) / np.maximum(own, other), atol=1e-9)
 
 
+def test_partial_spearman_of_values_computed_anew_each_time(spark):
+    x = spark.range(400).selectExpr("id % 2 AS g", "cast(id * 7919 % 1009 AS double) AS a", "cast(id * 31 % 397 AS double) AS b", "cast(id % 25 AS double) AS c", "cast(id % 7 AS double) AS e")
+    digit = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    rows = lambda df: sorted(tuple(r) for r in ST.partial_spearman(df, ["g"], "a", "b", "c", "e").collect())
+    got = rows(x.withColumn("b", digit("b")))
+    assert [r[1] for r in got] == [200, 200] and got == rows(x)
+
+
+def test_equal_sums_in_any_order_are_equal(spark, tmp_path):
+    cents = [(i, 10 + (i // 2 * 7919 + j * j * 377) % 9973) for i in range(120) for j in (range(9) if i % 2 else range(8, -1, -1))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, 'A' AS c_mktsegment, (i * 31 % 101)::DOUBLE AS c_acctbal, (i % 25)::INT AS c_nationkey FROM range(120) t(i)")
+    con.execute("CREATE TABLE orders (o_custkey BIGINT, o_totalprice DOUBLE)")
+    con.executemany("INSERT INTO orders VALUES (?, ? / 100.0)", cents)
+    assert con.execute("SELECT count(DISTINCT s) > 60 FROM (SELECT sum(o_totalprice) AS s FROM orders GROUP BY o_custkey)").fetchone()[0]
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path / t}.parquet' (FORMAT parquet)")
+    con.execute("ALTER TABLE orders ALTER o_totalprice TYPE DECIMAL(18, 2)")
+    same(QUERIES["t8_partial_spearman"](spark, str(tmp_path)), con, SQL["t8_partial_spearman"])
+    odd = {"null": [None, None], "nan": [1.0, math.nan], "inf": [math.inf, 2.0], "large": [1e300, 1.5, None], "fine": [1e-12, 2e-12, 5.5], "less": [-0.1, -0.2, 0.1]}
+    got = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k string, v double").groupBy("k").agg(T.exact_sum(F.col("v")).alias("s"))
+    got = {r["k"]: r["s"] for r in got.collect()}
+    assert got["null"] is None and math.isnan(got["nan"]) and got["inf"] == math.inf and got["large"] == 1e300 and got["less"] == -0.2
+    assert abs(got["fine"] - 5.500000000003) < 1e-14
+
+
 def test_silhouettes_send_a_map_to_few_blocks(spark):
     maps = spark.range(3000).selectExpr("id", "id % 3 AS k", "array(sin(id), cos(id)) AS map")
     plan = ST.exact_silhouette(maps, block=10)._jdf.queryExecution().optimizedPlan().toString()
